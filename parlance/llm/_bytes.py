@@ -92,32 +92,41 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, separators: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Word hashes of one text of any length; no temporary array outgrows a chunk but for a longer word."""
-    out, at = [], 0
+def text_words(data: np.ndarray, separators: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of one text of any length, a chunk at a time; a word may be longer than a chunk."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
-        if end < len(data):  # cut before a word that would go on
-            cut = np.flatnonzero(separators[data[at:end]])
-            if len(cut):
-                end = at + int(cut[-1]) + 1
-        piece = LOWER[data[at:end]] if lower else data[at:end]
-        if end - at == CHUNK and end < len(data) and not separators[data[end - 1]]:  # a word longer than a chunk: hash its chunks in turn
-            h, go = np.uint64(0), True
-            with np.errstate(over="ignore"):
-                while go:
-                    stop = np.flatnonzero(separators[piece])
-                    part = piece[: stop[0]] if len(stop) else piece
-                    h = mix(np.array([h], np.uint64) + _STEP[0])[0] ^ (hash_spans(part, np.array([0]), np.array([len(part)]))[0] if len(part) else np.uint64(0))
-                    at += len(part)
-                    go = not len(stop) and at < len(data)
-                    piece = LOWER[data[at : at + CHUNK]] if lower else data[at : at + CHUNK]
-            out.append(np.array([h], np.uint64))
+        stops = np.flatnonzero(separators[data[at:end]]) if end < len(data) else ()
+        if len(stops):  # cut before a word that would go on
+            end = at + int(stops[-1]) + 1
+        elif end < len(data):
+            out.append(_long_word(data, at, separators, lower))
+            at = int(out[-1][1][0])
             continue
+        piece = LOWER[data[at:end]] if lower else data[at:end]
         starts, ends = spans(piece, np.array([0, len(piece)]), separators)
-        out.append(hash_spans(piece, starts, ends))
+        out.append((starts + at, ends + at, hash_spans(piece, starts, ends)))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _long_word(data: np.ndarray, at: int, separators: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word that starts at and is longer than a chunk; its hash chains those of its chunks."""
+    start, h = at, np.zeros(1, np.uint64)
+    while at < len(data):
+        piece = data[at : at + CHUNK]
+        stops = np.flatnonzero(separators[piece])
+        piece = piece[: stops[0]] if len(stops) else piece
+        if len(piece):
+            h = mix(h + _STEP[0]) ^ hash_spans(LOWER[piece] if lower else piece, np.array([0]), np.array([len(piece)]))
+        at += len(piece)
+        if len(stops):
+            break
+    return np.array([start]), np.array([at]), h
 
 
 def runs(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -131,17 +140,23 @@ def runs(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def batch_words(column: pa.Array, separators: np.ndarray, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, row offsets into them) for runs of rows."""
+    for first, _, _, _, hashes, own, _ in batch_spans(column, separators, lower):
+        yield first, hashes, own
+
+
+def batch_spans(column: pa.Array, separators: np.ndarray, lower: bool = True) -> Iterator[tuple]:
+    """(first row, bytes, word starts, word ends, word hashes, row offsets into the words, row offsets into the bytes) for runs of rows."""
     data, offsets = texts(column)
     for a, b in runs(offsets):
         lo, hi = offsets[a], offsets[b]
+        raw, own = data[lo:hi], offsets[a : b + 1] - lo
         if hi - lo > CHUNK:
-            words = word_hashes(data[lo:hi], separators, lower)
-            yield a, words, np.array([0, len(words)])
-            continue
-        piece = LOWER[data[lo:hi]] if lower else data[lo:hi]
-        own = offsets[a : b + 1] - lo
-        starts, ends = spans(piece, own, separators)
-        yield a, hash_spans(piece, starts, ends), np.searchsorted(starts, own)
+            starts, ends, hashes = text_words(raw, separators, lower)
+        else:
+            piece = LOWER[raw] if lower else raw
+            starts, ends = spans(piece, own, separators)
+            hashes = hash_spans(piece, starts, ends)
+        yield a, raw, starts, ends, hashes, np.searchsorted(starts, own), own
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
