@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, ngram_join, substring_dedup, toxicity
+from parlance.llm import decontaminate, ngram_join, substring_dedup, token_count, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"), least_words=20)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by byte_bpe_50k.json."""
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside an occurrence of 10 consecutive words of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -34,11 +46,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document by piece_bpe_32k.model, and whether they decode to its text."""
+    return unigram.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "piece_ids", "decodes")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_counts": op4_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
