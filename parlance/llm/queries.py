@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, ngram_join, substring_dedup, token_count, toxicity, unigram
+from parlance.llm import decontaminate, ngram_join, sharding, substring_dedup, token_count, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts, equal texts together where a shard can hold them."""
+    out = sharding.assign(_table(spark, sf_dir, "documents"), shards=40)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the repeated passages of 20 words or more that an earlier document holds."""
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"), least_words=20)
@@ -53,6 +60,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
