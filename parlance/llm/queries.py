@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, ngram_join, sharding, substring_dedup, token_count, toxicity, unigram
+from parlance.llm import decontaminate, ngram_join, rabitq, sharding, substring_dedup, token_count, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for each one whose vec_id is divisible by 20."""
+    return rabitq.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from confirmed toxic and unlabelled texts."""
     found = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
