@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, ngram_join, rabitq, sharding, substring_dedup, token_count, toxicity, unigram
+from parlance.llm import decontaminate, langid, ngram_join, rabitq, sharding, substring_dedup, token_count, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a byte convolutional network learnt from four folds of five."""
+    return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside an occurrence of 10 consecutive words of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
