@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, langid, ngram_join, rabitq, sharding, substring_dedup, token_count, toxicity, unigram
+from parlance.llm import decontaminate, html_text, langid, ngram_join, rabitq, sharding, substring_dedup, token_count, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside an occurrence of 10 consecutive words of a benchmark item."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
