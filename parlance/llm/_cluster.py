@@ -46,6 +46,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows of a few numbers each that may be broadcast, some 30 MB at most once hashed.
+SMALL_ROWS = 400_000
+
+
+def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Ask to broadcast a written table if it is counted to be small; a larger one is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step over distinct edges (a, b), a > b: large links each larger neighbour, small each smaller one, to the least."""
     near = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,7 +6,7 @@ over the whole corpus) choose its lists; shifted by their offsets, the lists mee
 those places are verified word by word on the text. `proximity` lets the two lists meet within a slop instead.
 
 Nothing is capped: a window of frequent words has long lists, which are joined like any other. Tables made from the
-benchmark are broadcast only while they hold fewer than BROADCAST_ROWS rows, and are shuffled beyond that.
+benchmark are broadcast only while they hold no more than SMALL_ROWS rows, and are shuffled beyond that.
 
 Words are the runs of characters outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F once A-Z are lower case; null or empty
 texts have none and are clean. Rows are told apart by a hash of doc_id and text, so repeated rows get equal answers
@@ -18,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm._cluster import Scratch
+from parlance.llm._cluster import Scratch, small
 
-BROADCAST_ROWS = 400_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Ends each text in the index, so that its position is the number of words.
 END = "end"
@@ -37,11 +36,6 @@ def words(text: Column) -> Column:
     return F.slice(F.filter(w, lambda x: x != ""), 1, F.size(F.filter(w, lambda x: x != "")) - 1)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table that is known to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class Index:
     """Postings of the corpus for the terms of the benchmark, and the windows of the benchmark."""
 
@@ -62,7 +56,7 @@ class Index:
         self.terms = s.table(terms.unionByName(end).distinct().withColumn("tid", F.xxhash64("term")))
         split = self.rows.select("key", words_and_end(F.col("text")).alias("w")).withColumn("skip", (F.col("w")[0] == "").cast("int"))
         tokens = split.select("key", "skip", F.posexplode("w").alias("at", "term"))
-        self.postings = s.table(tokens.join(_small(self.terms), "term").select("key", "tid", (F.col("at") - F.col("skip")).alias("pos")))
+        self.postings = s.table(tokens.join(small(self.terms), "term").select("key", "tid", (F.col("at") - F.col("skip")).alias("pos")))
         counts = self.postings.groupBy("tid").agg(F.count("*").alias("df"))
         each = self.windows.select("wid", "words", F.posexplode("words").alias("off", "term")).join(self.terms, "term").join(counts, "tid")
         first = each.groupBy("wid", "words", "tid").agg(F.min("df").alias("df"), F.min("off").alias("off"), F.count("*").alias("n"))
@@ -77,7 +71,7 @@ class Index:
 
     def _list(self, term: str) -> DataFrame:
         """(wid, key, start): the postings of one of each window's rarest terms, shifted by its offset."""
-        chosen = _small(self.scratch.table(self.rarest.where(f"{term} is not null").select("wid", F.col(f"{term}.tid").alias("tid"), F.col(f"{term}.off").alias("off"))))
+        chosen = small(self.scratch.table(self.rarest.where(f"{term} is not null").select("wid", F.col(f"{term}.tid").alias("tid"), F.col(f"{term}.off").alias("off"))))
         return self.postings.join(chosen, "tid").select("wid", "key", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0").distinct()
 
     def exact(self) -> DataFrame:
@@ -85,9 +79,9 @@ class Index:
         pairs = self._list("t1").join(self._list("t2"), ["wid", "key", "start"])
         single = self.rarest.where("t2 is null").select("wid")
         places = self.scratch.table(pairs.unionByName(self._list("t1").join(single, "wid", "left_semi")))
-        listed = places.join(_small(self.windows), "wid").groupBy("key").agg(F.collect_list(F.struct("wid", "start", "words")).alias("places"))
+        listed = places.join(small(self.windows, 100_000), "wid").groupBy("key").agg(F.collect_list(F.struct("wid", "start", "words")).alias("places"))
         keys = self.scratch.table(places.select("key").distinct())
-        texts = self.rows.join(_small(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+        texts = self.rows.join(small(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
         whole = texts.select("key", words(F.col("text")).alias("w")).join(listed, "key")
         held = F.filter("places", lambda p: F.slice(F.col("w"), p["start"] + 1, F.size(p["words"])) == p["words"])
         return self.scratch.table(whole.select("key", F.explode(held).alias("p")).select("key", "p.wid", "p.start", F.size("p.words").alias("n")))
@@ -107,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     before = F.max(F.col("start") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     places = found.select("key", "start", "n").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
     hit = places.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
-    items = found.select("key", "wid").distinct().join(_small(index.items.select("wid", "item_id")), "wid").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = found.select("key", "wid").distinct().join(small(index.items.select("wid", "item_id")), "wid").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     facts = index.counts().join(hit, "key", "left").join(items, "key", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return index.rows.select("doc_id", "key").join(facts, "key").select(
@@ -119,5 +113,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs in which no window of a benchmark item occurs."""
     index = Index(docs, benchmark, window)
-    hit = index.exact().select("key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(hit.withColumnRenamed("key", "_key"), "_key", "left_anti").select(docs.columns)
+    hit = small(index.scratch.table(index.exact().select(F.col("key").alias("_key")).distinct()))
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(hit, "_key", "left_anti").select(docs.columns)

@@ -7,8 +7,9 @@ their first size - ceil(t * size) + 1 shingles, so only those prefixes are joine
 
 1. Equal sets become one class, whose id is its least doc_id.
 2. Classes of one size and one prefix become one group; groups meet in the lists of their prefix shingles.
-3. Each list is first compared with one group of each size band (a star, so as many pairs as rows). What these
-   verified links connect needs no further comparison: a list of a thousand near copies costs a thousand pairs.
+3. Each list is first compared with one group of each size band (a star, so as many pairs as rows): the one with the
+   fewest rarer shingles, which is the text that near copies vary. What these verified links connect needs no further
+   comparison: a list of a thousand near copies costs a thousand pairs.
 4. Every pair of groups that share a list and are still in different components is filtered by size and position,
    expanded to member classes and verified on whole sets. No pair that could be linked is left out, so the
    components are exact.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import Scratch, components
+from parlance.llm._cluster import Scratch, components, small
 
 #: Size of the table of frequent shingles: what each task may report, and what is broadcast (16 bytes an entry).
 TASK_FREQUENT, FREQUENT = 1 << 15, 1 << 17
@@ -166,10 +167,15 @@ class Join:
         both = F.size(F.array_intersect("ta", "tb")).cast("long")
         return pairs.join(a, "a").join(b, "b").where(both * (self.num + self.den) >= (F.size("ta") + F.size("tb")).cast("long") * self.num).select("a", "b")
 
+    def _fetch(self, ids: DataFrame) -> DataFrame:
+        """(id, tokens): the whole sets of some documents, from their texts."""
+        wanted = small(self.scratch.table(ids.distinct()))
+        return self.scratch.table(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_whole(self.words), "id long, tokens array<long>"))
+
     def components(self) -> DataFrame:
         """(id, component) of the classes that link with another one."""
         s = self.scratch
-        reps = self.classes.select(F.col("cid").alias("doc_id"))
+        reps = small(s.table(self.classes.select(F.col("cid").alias("doc_id"))))
         prefixes = s.table(self.docs.mapInArrow(_prefixes(self.words, self.num, self.den, self.frequent), PREFIXES).join(reps, "doc_id", "left_semi"))
         groups = prefixes.groupBy("n", "prefix_hash").agg(F.min("doc_id").alias("gid"))
         members = s.table(prefixes.select(F.col("doc_id").alias("cid"), "n", "prefix_hash").join(groups, ["n", "prefix_hash"]).select("gid", "cid", "n"))
@@ -178,7 +184,7 @@ class Join:
         lists = s.table(lists.join(shared, "token"))
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num + 1e-12)).cast("int") if self.num < self.den else F.col("n")
         banded = lists.withColumn("band", band)
-        heads = banded.groupBy("token", "band").agg(F.min(F.struct("gid", "n", "pos")).alias("h")).select("token", "band", "h.*")
+        heads = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "gid", "n")).alias("h")).select("token", "band", "h.*")
         near = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
         stars = banded.alias("x").join(near.alias("y"), ["token", "band"]).where("x.gid <> y.gid").where(self._fits("x", "y")).select(F.col("y.gid").alias("ga"), F.col("x.gid").alias("gb")).distinct()
         crowded = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
@@ -186,8 +192,8 @@ class Join:
         ends = members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
         pairs = stars.join(ends, "gb").select(F.col("ga").alias("a"), "b").unionByName(inner.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b")))
         pairs = s.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = lists.select("gid").distinct().unionByName(crowded).distinct().join(members, "gid").select(F.col("cid").alias("doc_id")).distinct()
-        sets = s.table(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_whole(self.words), "id long, tokens array<long>"))
+        s.drop(prefixes)
+        sets = self._fetch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         links = s.table(self._verify(pairs, sets))
         found = s.table(components(s, links))
         # what the stars have not joined
@@ -203,8 +209,9 @@ class Join:
         left = state.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("component").alias("ca"))
         right = state.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("component").alias("cb"))
         more = apart.unionByName(split).join(left, "ga").join(right, "gb").where("ca <> cb and a <> b")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        added = self._verify(more, sets)
+        more = s.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        new = more.select(F.explode(F.array("a", "b")).alias("doc_id")).join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        added = self._verify(more, sets.unionByName(self._fetch(new)))
         star = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return components(s, star.unionByName(added))
 
@@ -226,6 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that are the least doc_id of their component. Rows without a doc_id stay; of rows that share one, one stays."""
-    ids = near_duplicates(docs, words, num, den).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    kept = ids.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    join = Join(docs, words, num, den)
+    found = join.scratch.table(join.members().where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    lost = small(join.scratch.table(found.where("doc_id <> component_id").select("doc_id")))
+    twice = small(join.scratch.table(found.where("doc_id = component_id and n > 1").select("doc_id")))
+    once = docs.join(lost, "doc_id", "left_anti").join(twice, "doc_id", "left_anti")
+    return once.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
