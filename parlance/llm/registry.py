@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from parlance.llm import queries as _queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries.QUERIES)
+    return {**_queries.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return dict(_queries.ORACLES)
+    return {**_queries.ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
