@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("text", "threads")
 
 
 def load() -> None:
