@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text", "threads")
+MODULES = ("text", "threads", "metrics")
 
 
 def load() -> None:
