@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text", "threads", "metrics")
+MODULES = ("text", "threads", "metrics", "decisions", "retrieval", "relational")
 
 
 def load() -> None:
