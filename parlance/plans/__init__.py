@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text", "threads", "metrics", "decisions", "retrieval", "relational")
+MODULES = ("text", "threads", "metrics", "decisions", "retrieval", "relational", "models")
 
 
 def load() -> None:
