@@ -210,8 +210,10 @@ class Join:
         right = state.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("component").alias("cb"))
         more = apart.unionByName(split).join(left, "ga").join(right, "gb").where("ca <> cb and a <> b")
         more = s.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        new = more.select(F.explode(F.array("a", "b")).alias("doc_id")).join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        added = self._verify(more, sets.unionByName(self._fetch(new)))
+        wanted = s.table(more.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        held = sets.join(small(wanted), "id", "left_semi")
+        new = wanted.join(sets.select("id"), "id", "left_anti").select(F.col("id").alias("doc_id"))
+        added = self._verify(more, s.table(held.unionByName(self._fetch(new))))
         star = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return components(s, star.unionByName(added))
 
