@@ -31,8 +31,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out of text that an earlier document holds; the document stays."""
-    cut = substring_dedup.strip_repeats(docs, substring_dedup.LEAST_WORDS)
+    """Cuts lines and passages out of text that occurred before; the document stays."""
+    cut = substring_dedup.strip_repeats(docs, substring_dedup.LEAST_WORDS, every_line=True)
     return cut.select(*[F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

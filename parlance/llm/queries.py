@@ -26,8 +26,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the repeated passages of 20 words or more that an earlier document holds."""
-    return substring_dedup.dedup(_table(spark, sf_dir, "documents"), least_words=20)
+    """Documents without the lines that occurred before and, within lines, without repeated sentences from 20 words or 100 characters on."""
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"), least_words=20, every_line=True, least_chars=100)
 
 
 def vocabulary(name: str) -> str:

@@ -4,7 +4,10 @@ Each text is cut into units at line ends and after words that end a sentence, so
 precedes or follows on its line still has the units that it has elsewhere. A unit is normalised (A-Z lower case,
 white space collapsed) and hashed to 128 bits. Digests are grouped over the whole corpus; the occurrence with the
 least (doc_id, position) is the original and every other one a repeat. Runs of neighbouring repeats that hold
-`least_words` words or more in all are removed; shorter ones, such as a stray common sentence, stay.
+`least_words` words or more in all are removed. With `every_line`, as the query and the pipeline have it, every repeat
+of a whole line goes too, whatever its length (a paragraph is one line or several), and so do runs of `least_chars`
+characters or more, which text without blanks reaches too. Lines of several sentences have a digest of their own, so
+that a line whose sentences occur only apart is no repeat; a line of one sentence repeats it wherever it stood. What stays is a shorter run of sentences within a line.
 
 The removed spans are given as offsets into the original text, in code points. A removed span that makes up whole
 lines takes a line break along; one that ends a line takes the blanks before it.
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from parlance.llm import _bytes as B
 from parlance.llm._cluster import Scratch
 
-LEAST_WORDS = 20
+LEAST_WORDS, LEAST_CHARS = 20, 100
+#: Marks the number of a line, which is that of its first unit.
+LINE = 1 << 30
 
 _LETTER = ~B.table([x for x in range(128) if not chr(x).isalnum()])
 _STOP = B.table(b".!?")
@@ -46,6 +51,15 @@ def _cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray
     return np.flatnonzero(first)
 
 
+def _opens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Whether each unit begins a line."""
+    breaks = np.concatenate([[0], np.cumsum(_BREAK[raw])])
+    out = np.ones(len(cut), bool)
+    out[1:] = breaks[starts[cut[1:]]] > breaks[ends[cut[1:] - 1]]
+    out[np.isin(cut, rows)] = True
+    return out
+
+
 def _digests(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the words of each unit, in which each word's place counts."""
     lens = np.diff(np.append(cut, len(hashes)))
@@ -56,30 +70,55 @@ def _digests(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return B.mix(one).view(np.int64), B.mix(two).view(np.int64)
 
 
-def _units(batches):
-    """(h1, h2, did, at) for each unit of (did, text_id, text) rows; at holds text_id and the unit's number."""
-    for batch in batches:
-        did, tid = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for first, raw, starts, ends, hashes, rows, _ in B.batch_spans(batch.column(2), B.SPACE):
-            cut = _cut(raw, starts, ends, rows)
-            if not len(cut):
-                continue
-            h1, h2 = _digests(hashes, cut)
-            row = np.searchsorted(rows, cut, "right") - 1
-            number = np.arange(len(cut)) - np.searchsorted(cut, rows[row])
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(did[first + row]), pa.array((tid[first + row].astype(np.int64) << 31) + number)], ["h1", "h2", "did", "at"])
-
-
-def _removed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray, repeats: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte spans of one text to remove; repeats are numbers of its units."""
-    flag = np.zeros(len(cut) + 2, np.int8)
-    flag[repeats + 1] = 1
-    edge = np.diff(flag)
-    out = []
+def _units(every_line: bool):
+    """(h1, h2, did, at) for each unit of (did, text_id, text) rows; at holds text_id and the unit's number. With every_line, lines of several units too."""
+
+    def run(batches):
+        for batch in batches:
+            did, tid = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for first, raw, starts, ends, hashes, rows, _ in B.batch_spans(batch.column(2), B.SPACE):
+                cut = _cut(raw, starts, ends, rows)
+                if not len(cut):
+                    continue
+                h1, h2 = _digests(hashes, cut)
+                row = np.searchsorted(rows, cut, "right") - 1
+                number = np.arange(len(cut)) - np.searchsorted(cut, rows[row])
+                if every_line:
+                    heads = np.flatnonzero(_opens(raw, starts, ends, rows, cut))
+                    several = np.diff(np.append(heads, len(cut))) > 1
+                    l1, l2 = _digests(hashes, cut[heads])
+                    heads = heads[several]
+                    h1, h2 = np.concatenate([h1, l1[several]]), np.concatenate([h2, l2[several]])
+                    row, number = np.concatenate([row, row[heads]]), np.concatenate([number, number[heads] + LINE])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(did[first + row]), pa.array((tid[first + row].astype(np.int64) << 31) + number)], ["h1", "h2", "did", "at"])
+
+    return run
+
+
+def _stretches(flag: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of each run of True."""
+    edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
+
+
+def _removed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray, repeats: np.ndarray, least: int, opens: np.ndarray | None, least_chars: int) -> list[tuple[int, int]]:
+    """Byte spans of one text to remove; repeats are numbers of its units and lines, opens the units that begin a line (None: lines don't matter)."""
+    flag, line = np.zeros(len(cut), bool), np.zeros(len(cut), bool)
+    flag[repeats[repeats < LINE]] = True
+    if opens is not None:
+        heads = np.flatnonzero(opens)
+        size = np.diff(np.append(heads, len(cut)))
+        again = np.where(size == 1, flag[heads], np.isin(heads + LINE, repeats))
+        line = np.repeat(again, size)
     bounds = np.append(cut, len(starts))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):  # units a to b - 1
-        if bounds[b] - bounds[a] < least:
-            continue
+    spans = []
+    for a, b in _stretches(flag | line):  # units a to b - 1
+        long = bounds[b] - bounds[a] >= least
+        if not long and opens is not None:
+            long = np.count_nonzero((raw[starts[bounds[a]] : ends[bounds[b] - 1]] & 0xC0) != 0x80) >= least_chars
+        spans += [(a, b)] if long else [(a + x, a + y) for x, y in _stretches(line[a:b])]
+    out = []
+    for a, b in spans:
         lo, hi = int(starts[bounds[a]]), int(ends[bounds[b] - 1])
         head, tail = lo, hi
         while head > 0 and _BLANK[raw[head - 1]]:
@@ -99,7 +138,7 @@ def _removed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndar
     return [(a, b) for a, b in out if a < b]
 
 
-def _strip(least: int, text_at: int, repeats_at: int, names: list[str]):
+def _strip(least: int, every_line: bool, least_chars: int, text_at: int, repeats_at: int, names: list[str]):
     def run(batches):
         for batch in batches:
             text, lists = batch.column(text_at), batch.column(repeats_at)
@@ -110,6 +149,7 @@ def _strip(least: int, text_at: int, repeats_at: int, names: list[str]):
             for first, raw, starts, ends, _, rows, own in B.batch_spans(text, B.SPACE):
                 cut = _cut(raw, starts, ends, rows)
                 by = np.searchsorted(cut, rows)
+                opens = _opens(raw, starts, ends, rows, cut) if every_line and len(cut) else None
                 n_units[first : first + len(rows) - 1] = np.diff(by)
                 for k in range(len(rows) - 1):
                     r = first + k
@@ -117,7 +157,7 @@ def _strip(least: int, text_at: int, repeats_at: int, names: list[str]):
                     if not len(repeats):
                         continue
                     part, w0, w1 = raw[own[k] : own[k + 1]], rows[k], rows[k + 1]
-                    gone = _removed(part, starts[w0:w1] - own[k], ends[w0:w1] - own[k], cut[by[k] : by[k + 1]] - w0, np.unique(repeats).astype(np.int64), least)
+                    gone = _removed(part, starts[w0:w1] - own[k], ends[w0:w1] - own[k], cut[by[k] : by[k + 1]] - w0, np.unique(repeats).astype(np.int64), least, opens if opens is None else opens[by[k] : by[k + 1]], least_chars)
                     if not gone:
                         continue
                     chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
@@ -134,11 +174,11 @@ def _strip(least: int, text_at: int, repeats_at: int, names: list[str]):
     return run
 
 
-def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = False, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs with repeats cut out of text, and _units, _removed (units) and _spans (offsets into the original text)."""
     s = Scratch(docs.sparkSession, "substring_dedup")
     keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_tid": F.crc32(F.coalesce("text", F.lit("")))})
-    units = keyed.select("_did", "_tid", "text").mapInArrow(_units, "h1 long, h2 long, did long, at long")
+    units = keyed.select("_did", "_tid", "text").mapInArrow(_units(every_line), "h1 long, h2 long, did long, at long")
     firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("did", "at")).alias("o"), F.max(F.struct("did", "at")).alias("z")).where("o <> z").select("h1", "h2", "o")
     again = units.join(firsts, ["h1", "h2"]).where("did <> o.did or at <> o.at")
     number = (F.col("at") % F.lit(1 << 31)).cast("int")
@@ -146,10 +186,10 @@ def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     joined = keyed.join(lists, ["_did", "_tid"], "left").select(*docs.columns, "_repeats")
     schema = docs.select(*docs.columns, F.lit(0).cast("long").alias("_units"), F.lit(0).cast("long").alias("_removed"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans")).schema
     at = docs.columns.index("text")
-    return joined.mapInArrow(_strip(least_words, at, len(docs.columns), schema.names), schema)
+    return joined.mapInArrow(_strip(least_words, every_line, least_chars, at, len(docs.columns), schema.names), schema)
 
 
-def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = False, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text without its repeats, n_units, n_removed and the removed spans, for each row of docs."""
-    out = strip_repeats(docs.select("doc_id", "text"), least_words)
+    out = strip_repeats(docs.select("doc_id", "text"), least_words, every_line, least_chars)
     return out.select("doc_id", "text", F.col("_units").alias("n_units"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("removed_spans"))

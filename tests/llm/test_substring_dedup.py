@@ -90,3 +90,64 @@ def test_keeps_other_columns(spark):
     df = docs(spark, [(1, PASSAGE), (2, PASSAGE)]).withColumnRenamed("lang", "_repeats_").withColumnRenamed("source", "h1")
     out = substring_dedup.strip_repeats(df)
     assert out.columns[: len(df.columns)] == df.columns and out.count() == 2
+
+
+def lines(text):
+    """Numbers of the units of each line."""
+    out, last = [], None
+    for n, u in enumerate(units(text)):
+        if last is None or "\n" in text[last : u[0].start()]:
+            out.append([])
+        out[-1].append(n)
+        last = u[-1].end()
+    return out
+
+
+def brute_lines(rows, least, chars):
+    """As brute(), for distinct doc_ids that are not null, with whole lines removed whatever their length."""
+    key = lambda us: tuple("".join(c.lower() if c.isascii() else c for c in m[0]) for u in us for m in u)
+    first, seen = {}, set()
+    out = []
+    for i, t in sorted((i, t or "") for i, t in rows):
+        us, whole, part = units(t), set(), set()
+        for line in lines(t):
+            k = key([us[n] for n in line])
+            if len(line) > 1 and k in seen:
+                whole.update(line)
+            seen.add(k)
+        for n, u in enumerate(us):
+            if first.setdefault(key([u]), (i, n)) != (i, n):
+                part.add(n)
+        whole.update(line[0] for line in lines(t) if len(line) == 1 and line[0] in part)
+        gone, run = set(whole), []
+        for n in [*range(len(us)), None]:
+            if n is not None and n in part | whole:
+                run.append(n)
+                continue
+            if run and (sum(len(us[x]) for x in run) >= least or us[run[-1]][-1].end() - us[run[0]][0].start() >= chars):
+                gone.update(run)
+            run = []
+        out.append((i, len(us), len(gone)))
+    return out
+
+
+def test_every_repeated_line_goes(spark):
+    licence, chinese = "Licensed under the terms of the file.", "这是一个没有空格的段落，它出现了两次。"
+    rows = [
+        (1, f"Own words\n{licence}\nmore own"), (2, f"{licence}\nOther words here"), (3, f"Third\n{chinese}"), (4, f"{chinese}\nFourth"), (5, "a. b. c"), (6, "x a. b."),
+        (7, "b. a."), (8, f"q. {chinese * 6}."), (9, f"r. {chinese * 6}. s."), (10, "Yes. No.\nend"), (11, "start\nYES.  no."),
+    ]
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, rows), 20, every_line=True, least_chars=100).collect()}
+    assert [(i, got[i].n_units, got[i].n_removed) for i, _ in rows] == brute_lines(rows, 20, 100)
+    assert got[2].text == "Other words here" and got[4].text == "Fourth" and got[11].text == "start"
+    assert got[6].text == "x a. b." and got[7].text == "b. a."  # its sentences occurred, but only apart
+    assert got[9].text == "r. s."
+
+
+def test_query_on_tables(spark):
+    from parlance.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = queries.op3_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.n_units, r.n_removed) for r in got) == brute_lines(rows, 20, 100)
+    assert sum(r.n_removed for r in got) > sum(n for _, _, n in brute(rows, 20))
