@@ -59,10 +59,13 @@ def _(d):
 
 
 def fused(d) -> str:
-    """f(qid, id, bm25_rank, dense_rank, rrf, sim): both channels of the documents; the dense one compares byte lengths and hashes as a stand-in for vectors."""
-    sim = f"{D('1')} / (1 + abs(length(b.text) - length(t.text)) / {D('100')})"
-    return f"""{bm25(d)}, lex AS ({top('s', DEPTH)}), near AS (SELECT b.item_id AS qid, t.doc_id AS id, {sim} AS score FROM benchmark b JOIN documents t ON t.doc_id % 16 = b.item_id % 16),
-den AS ({top('near', DEPTH)}),
+    """f(qid, id, bm25_rank, dense_rank, rrf, sim): both channels of the documents; the dense one compares the length of every passage with that of every document as a stand-in for vectors.
+
+    Lengths are taken before the join, and the limit is on the row number itself, so that Spark keeps the best of each partition before it shuffles."""
+    sim = f"{D('1')} / (1 + abs(b.n - t.n) / {D('100')})"
+    return f"""{bm25(d)}, lex AS ({top('s', DEPTH)}), dn AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL), bn AS (SELECT item_id, length(text) AS n FROM benchmark WHERE item_id IS NOT NULL),
+near AS (SELECT b.item_id AS qid, t.doc_id AS id, {sim} AS score FROM dn t CROSS JOIN bn b),
+den AS (SELECT qid, id, score, r - 1 AS rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM near) z WHERE r <= {DEPTH}),
 f AS (SELECT coalesce(l.qid, e.qid) AS qid, coalesce(l.id, e.id) AS id, l.rank AS bm25_rank, e.rank AS dense_rank, e.score AS sim,
   coalesce({D('1')} / ({P.RRF_K} + l.rank), 0) + coalesce({D('1')} / ({P.RRF_K} + e.rank), 0) AS rrf FROM lex l FULL OUTER JOIN den e ON l.qid = e.qid AND l.id = e.id)"""
 
