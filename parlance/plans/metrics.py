@@ -77,25 +77,25 @@ def _(d):
 SELECT a.system, a.bin, coalesce(n, 0) AS n, round(acc, 6) AS accuracy, round(conf, 6) AS confidence FROM a LEFT JOIN g ON a.system = g.system AND a.bin = g.bin"""
 
 
-def resample(d, value: str, keep: str = "TRUE", replicates: int = 200) -> str:
-    """b(system, replicate, mean) over resamples of x with replacement, drawn by md5; f(system, mean) over x itself."""
-    return f"""k AS (SELECT system, {value} AS v, row_number() OVER (PARTITION BY system ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM x WHERE {keep}),
+def resample(d, value: str, replicates: int = 1000) -> str:
+    """b(system, replicate, mean) over resamples of x with replacement, drawn by md5 alike for systems of one size; f(system, mean) over x itself."""
+    return f"""k AS (SELECT system, {value} AS v, row_number() OVER (PARTITION BY system ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM x),
 f AS (SELECT system, avg(v) AS mean, max(n) AS n FROM k GROUP BY system),
-q AS (SELECT f.system, r.replicate, {d.hex32("concat(" + d.text('r.replicate') + ", '-', " + d.text('j.i') + ", '-20260909')")} % f.n AS i FROM f, (SELECT {d.explode(d.range('0', str(replicates - 1)))} AS replicate) r, (SELECT DISTINCT i FROM k) j WHERE j.i < f.n),
-b AS (SELECT q.system, q.replicate, avg(k.v) AS mean FROM q JOIN k ON q.system = k.system AND q.i = k.i GROUP BY q.system, q.replicate)"""
+q AS (SELECT f.n, r.replicate, {d.hex32("concat(" + d.text('r.replicate') + ", '-', " + d.text('j.i') + ", '-20260909')")} % f.n AS i FROM (SELECT DISTINCT n FROM f) f, (SELECT {d.explode(d.range('0', str(replicates - 1)))} AS replicate) r, (SELECT DISTINCT i FROM k) j WHERE j.i < f.n),
+b AS (SELECT k.system, q.replicate, avg(k.v) AS mean FROM q JOIN k ON q.n = k.n AND q.i = k.i GROUP BY k.system, q.replicate)"""
 
 
 @both("bootstrap_ci")
 def _(d):
-    return f"""WITH {examples(d)}, {resample(d, D('CAST(gold = pred AS INT)'), 'id % 5 = 0')} SELECT f.system, round(f.mean, 6) AS point, c.lo, c.hi FROM f JOIN (
+    return f"""WITH {examples(d)}, {resample(d, D('CAST(gold = pred AS INT)'))} SELECT f.system, round(f.mean, 6) AS point, c.lo, c.hi FROM f JOIN (
   SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi FROM b GROUP BY system) c ON f.system = c.system"""
 
 
 @both("paired_bootstrap")
 def _(d):
     cost = "CASE WHEN gold_esc AND NOT pred_esc THEN 10.0 WHEN pred_esc AND NOT gold_esc THEN 1.0 ELSE 0.0 END"
-    return f"""WITH {examples(d)[:-1]}), y AS (SELECT id, system, {D(cost)} AS cost FROM x), diff AS (SELECT a.id, b.system, a.cost - b.cost AS v FROM y a JOIN y b ON a.id = b.id AND a.system = 3 AND b.system < 3 AND a.id % 5 = 0),
-{resample(d, 'v').replace('FROM x WHERE', 'FROM diff WHERE')} SELECT f.system, round(f.mean, 6) AS mean_diff, c.lo, c.hi, c.helps, c.hi < 0 AS meaningful FROM f JOIN (
+    return f"""WITH {examples(d)[:-1]}), y AS (SELECT id, system, {D(cost)} AS cost FROM x), diff AS (SELECT a.id, b.system, a.cost - b.cost AS v FROM y a JOIN y b ON a.id = b.id AND a.system = 3 AND b.system < 3),
+{resample(d, 'v').replace('FROM x)', 'FROM diff)', 1)} SELECT f.system, round(f.mean, 6) AS mean_diff, c.lo, c.hi, c.helps, c.hi < 0 AS meaningful FROM f JOIN (
   SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi, round(avg({D('CAST(mean < 0 AS INT)')}), 6) AS helps FROM b GROUP BY system) c ON f.system = c.system"""
 
 

@@ -1,7 +1,10 @@
 """Queries held against plain Python that reads every row and whole texts, where an oracle would share a cut with its query."""
 
+import hashlib
 from collections import defaultdict
 
+import numpy as np
+
 from parlance import catalog
 from parlance.plans.retrieval import DEPTH
 
@@ -20,3 +23,32 @@ def test_dense_channel_compares_every_document(spark):
     for b in table(spark, "benchmark"):
         order = sorted(docs, key=lambda t: (-round(1 / (1 + abs(len(b.text) - len(t.text)) / 100), 9), t.doc_id))
         assert [got[b.item_id][k] for k in range(len(got[b.item_id]))] == [t.doc_id for t in order[:DEPTH]]
+
+
+def resampled(v):
+    """Mean and the interval of 1000 resamples of v drawn by md5."""
+    v, n = np.array(v, float), len(v)
+    draws = [[int(hashlib.md5(f"{b}-{i}-20260909".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(1000)]
+    means = v[np.array(draws)].mean(axis=1)
+    return v.mean(), *np.quantile(means, [0.025, 0.975]), (means < 0).mean()
+
+
+def examples(spark):
+    """(right, cost) of each document and system."""
+    out = defaultdict(list)
+    for i in sorted(r.doc_id for r in table(spark, "documents")):
+        for s in range(4):
+            gold, pred = i % 11, i % 11 if (i * 13 + s * 5) % 10 < 5 + s else (i * 3 + s) % 11
+            must = i % 6 == 0
+            did = must if (i * 17 + s) % 10 < 6 + s else i % 4 == 0
+            out[s].append((gold == pred, 10 * (must and not did) + (did and not must)))
+    return out
+
+
+def test_bootstrap_draws_from_all_examples(spark):
+    found = examples(spark)
+    for r in catalog.queries()["bootstrap_ci"](spark, SF).collect():
+        assert np.allclose((r.point, r.lo, r.hi), resampled([x for x, _ in found[r.system]])[:3], atol=2e-6)
+    for r in catalog.queries()["paired_bootstrap"](spark, SF).collect():
+        want = resampled([a - b for (_, a), (_, b) in zip(found[3], found[r.system], strict=True)])
+        assert np.allclose((r.mean_diff, r.lo, r.hi, r.helps), want, atol=2e-6) and r.meaningful == (want[2] < 0)
