@@ -31,11 +31,11 @@ def brand(d) -> str:
 
 
 def messages(d) -> str:
-    """m(id, text, lang, reply): an ASCII message per document, and as reply the phrase of another one."""
+    """m(id, text, lang, reply): an ASCII message per document, of a phrase and its whole text, and as reply the phrase of another one."""
     n = len(PHRASES)
     fold = d.replace("text", r"[^\x00-\x7F]", " ")
     return f"""m AS (
-  SELECT doc_id AS id, concat({d.at(brand(d), f'doc_id % {n} + 1')}, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' ', {fold}) END) AS text, lang,
+  SELECT doc_id AS id, concat({d.at(brand(d), f'doc_id % {n} + 1')}, ' ', {fold}) AS text, lang,
     {d.at(brand(d), f'(doc_id * 7 + 3) % {n} + 1')} AS reply, doc_id % 4 = 1 AS has_context, {d.at(brand(d), f'(doc_id * 11 + 5) % {n} + 1')} AS context
   FROM documents WHERE doc_id IS NOT NULL)"""
 

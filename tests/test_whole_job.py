@@ -1,11 +1,16 @@
 """Queries held against plain Python that reads every row and whole texts, where an oracle would share a cut with its query."""
 
 import hashlib
+import os
+import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 from parlance import catalog
+from parlance.functions.dialect import DUCK, SPARK
+from parlance.plans.common import PHRASES, messages, run_sql
 from parlance.plans.retrieval import DEPTH
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +57,23 @@ def test_bootstrap_draws_from_all_examples(spark):
     for r in catalog.queries()["paired_bootstrap"](spark, SF).collect():
         want = resampled([a - b for (_, a), (_, b) in zip(found[3], found[r.system], strict=True)])
         assert np.allclose((r.mean_diff, r.lo, r.hi, r.helps), want, atol=2e-6) and r.meaningful == (want[2] < 0)
+
+
+def test_messages_hold_every_text(spark):
+    got = {r.id: r.text for r in run_sql(spark, SF, f"WITH {messages(SPARK)} SELECT id, text FROM m").collect()}
+    for r in table(spark, "documents"):
+        assert got[r.doc_id] == PHRASES[r.doc_id % len(PHRASES)] + " " + re.sub(r"[^\x00-\x7F]", " ", r.text)
+
+
+def test_short_messages(spark, tmp_path):
+    """Documents of few words or none, which the tables lack, behind every phrase."""
+    rows = [(i, ("", "ok", "a few more words")[i // 40], "en", "s", 0) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    os.symlink(f"{SF}/pages.parquet", f"{tmp_path}/pages.parquet")  # a phrase holds the word
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("quality_reason", "hard_flags", "english_filter", "tokenize", "scrub_pii"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalog.oracles()[name]).fetchall())
+        if name == "quality_reason":
+            assert "too_short" in {r.reason for r in got.collect()}
