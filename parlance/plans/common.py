@@ -67,7 +67,7 @@ def examples(d) -> str:
     {d.at(intents, 'CASE WHEN (doc_id * 13 + s * 5) % 10 < 5 + s THEN doc_id % 11 ELSE (doc_id * 3 + s) % 11 END + 1')} AS pred,
     CAST((doc_id * 7919 + s * 104729) % 1001 AS DOUBLE) / 1000 AS confidence, doc_id % 6 = 0 AS gold_esc,
     CASE WHEN (doc_id * 17 + s) % 10 < 6 + s THEN doc_id % 6 = 0 ELSE doc_id % 4 = 0 END AS pred_esc, doc_id % 5 = 0 AS is_hard,
-    CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, CAST(40 + doc_id % 300 AS INT)) END AS reply, CAST((doc_id * 31) % 997 AS DOUBLE) / 997 AS sim
+    CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS reply, CAST((doc_id * 31) % 997 AS DOUBLE) / 997 AS sim
   FROM documents, (SELECT {d.explode(d.array('0', '1', '2', '3'))} AS s) systems WHERE doc_id IS NOT NULL)"""
 
 

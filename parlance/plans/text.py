@@ -88,7 +88,7 @@ def _(d):
 
 @both("must_include")
 def _(d):
-    reply, item, never = T.content_words(d, "reply"), T.content_words(d, "context"), T.content_words(d, "substr(text, 1, 60)")
+    reply, item, never = T.content_words(d, "reply"), T.content_words(d, "context"), T.content_words(d, "text")
     share = lambda: f"CAST({d.size(d.filter('iw', 'w', d.has('rw', 'w')))} AS DOUBLE) / nullif({d.size('iw')}, 0)"
     against = f"CAST({d.size(d.filter('nw', 'w', d.has('rw', 'w')))} AS DOUBLE) / nullif({d.size('nw')}, 0)"
     return f"""WITH {messages(d)}, w AS (SELECT id, {reply} AS rw, {item} AS iw, {never} AS nw FROM m)
@@ -124,7 +124,7 @@ def _(d):
 
 @both("dedupe_first")
 def _(d):
-    return f"""WITH {messages(d)}, k AS (SELECT id, {T.dedupe_key(d, T.clean_customer(d, 'substr(text, 1, 60)'))} AS k FROM m)
+    return f"""WITH {messages(d)}, k AS (SELECT id, {T.dedupe_key(d, T.clean_customer(d, 'text'))} AS k FROM m)
 SELECT id, k AS dedupe_key FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM k) x WHERE r = 1"""
 
 

@@ -77,3 +77,33 @@ def test_short_messages(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalog.oracles()[name]).fetchall())
         if name == "quality_reason":
             assert "too_short" in {r.reason for r in got.collect()}
+
+
+LONG = "the account page keeps failing after every single update of the application on my phone "
+
+
+def whole_texts(spark, path):
+    """Documents 0 and 40 begin alike and differ at the end, 80 repeats 0; 5 and 45 have replies over 280 characters."""
+    rows = [(0, LONG * 4 + "first"), (40, LONG * 4 + "second"), (80, LONG * 4 + "first"), (5, "x" * 700), (45, "y" * 1500), (1, "short")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    os.symlink(f"{SF}/pages.parquet", f"{path}/pages.parquet")  # a phrase holds the word
+    return dict(rows)
+
+
+def test_keys_and_replies_come_from_whole_texts(spark, tmp_path):
+    texts = whole_texts(spark, tmp_path)
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in run("dedupe_first")) == [0, 1, 5, 40, 45]
+    replies = ["" if i % 9 == 0 else t for i, t in texts.items()]
+    for r in run("reply_checks"):
+        assert r.mean_chars == round(sum(map(len, replies)) / len(replies), 6) and r.empties == replies.count("")
+
+
+def test_must_include_compares_the_whole_text(spark, tmp_path):
+    """The words of the reply to document 5 stand in its message only after 60 characters."""
+    reply = PHRASES[(5 * 7 + 3) % len(PHRASES)]
+    rows = [(5, "1 " * 40 + reply), (45, "nothing of that reply")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    os.symlink(f"{SF}/pages.parquet", f"{tmp_path}/pages.parquet")
+    got = {r.id: r for r in catalog.queries()["must_include"](spark, str(tmp_path)).collect()}
+    assert got[5].violated and not got[45].violated
