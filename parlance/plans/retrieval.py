@@ -96,9 +96,8 @@ SELECT ql AS gold, label AS pred, count(*) AS n, round(avg(score), 6) AS confide
 
 @both("leakage_check")
 def _(d):
-    gram = d.map(d.filter(d.range("0", f"greatest({d.size('w')} - 13, 0)"), "i", f"i % 5 = 0"), "i", d.join("slice(w, CAST(i AS INT) + 1, 13)" if d.name == "spark" else "w[i + 1 : i + 13]", " "))
     every = d.map(d.range("0", f"greatest({d.size('w')} - 13, 0)"), "i", d.join("slice(w, CAST(i AS INT) + 1, 13)" if d.name == "spark" else "w[i + 1 : i + 13]", " "))
-    return f"""WITH b AS (SELECT DISTINCT {d.explode(gram)} AS g FROM (SELECT {T.terms(d, 'text')} AS w FROM benchmark) x WHERE {d.size('w')} >= 13), t AS (SELECT doc_id, {d.explode(every)} AS g FROM (SELECT doc_id, {T.terms(d, 'text')} AS w FROM documents) y WHERE {d.size('w')} >= 13)
+    return f"""WITH b AS (SELECT DISTINCT {d.explode(every)} AS g FROM (SELECT {T.terms(d, 'text')} AS w FROM benchmark) x WHERE {d.size('w')} >= 13), t AS (SELECT doc_id, {d.explode(every)} AS g FROM (SELECT doc_id, {T.terms(d, 'text')} AS w FROM documents) y WHERE {d.size('w')} >= 13)
 SELECT DISTINCT doc_id FROM t WHERE g IN (SELECT g FROM b)"""
 
 
