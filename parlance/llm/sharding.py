@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. Every document starts in a shard given by a hash. In each round, every set of
-linked documents that is not yet together proposes to move to the shard where most of its members are, among the
+Documents with equal texts are linked. Every document starts in a shard given by a hash. Sets of more than 1 / HEAVY of
+a quota, of which there are a few for each shard at most, settle first: one after another from the largest on, each in
+the shard with room where most of its members are. In each round after that, every smaller set of linked documents that is not yet together proposes to move to the shard where most of its members are, among the
 shards with room for all of it; a shard takes proposals in order of size until its quota of rows is full, and what
 it takes has settled. Proposals that meet a full shard try again with the room that is left. Sets larger than a
 quota are first split into blocks of a quota each, which settle as sets do. Documents without links have no cut edges
-to mind: they and what is left after the last round fill the shards up to sizes that are at most one row apart.
+to mind: they and what is left after the last round fill the shards up to sizes that are at most one row apart. The
+rows of a set that is left follow each other there, at every size of input.
 
 No shard's rows meet in one task: acceptance sums demand in a histogram of some 16,000 classes of size and hash a shard, and ranks (slots
 within a shard, places of the fillers) add the rank within one of many hash buckets to the sizes of those before it.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm._cluster import Scratch, small
 
-ROUNDS, BUCKET_ROWS = 6, 20_000
+ROUNDS, BUCKET_ROWS, HEAVY = 6, 20_000, 16
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], name: str, rows: int) -> DataFrame:
@@ -39,6 +41,38 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, rows: int)
     return out.join(offsets, keys).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_bucket", "_before", "_rank")
 
 
+def ranked_sets(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """df with a gapless 0-based rank in which the rows of a set follow each other; sets of more than BUCKET_ROWS rows have buckets of their own."""
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    many = df.groupBy("set").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_ROWS).select("set", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_parts"))
+    own = F.col("_parts").isNotNull()
+    df = df.join(F.broadcast(many), "set", "left").withColumns({  # many has 1 / BUCKET_ROWS of the rows at most
+        "_own": F.when(own, F.col("set")).otherwise(F.lit("")), "_bucket": F.when(own, F.pmod(F.xxhash64("row"), F.col("_parts"))).otherwise(F.pmod(F.xxhash64("set"), F.lit(buckets))), "_all": F.lit(0),
+    }).drop("_parts")
+    keys = ["_own", "_bucket"]
+    before = Window.partitionBy("_all").orderBy(F.desc("_own"), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy("_all", *keys).agg(F.count("*").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("set", "row")) - 1).join(offsets, keys)
+    return out.withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop(*keys, "_all", "_before", "_rank")
+
+
+def _heavy(nodes: DataFrame, room: list[int]) -> list[tuple[int, int]]:
+    """(hub, shard) of the sets of more than 1 / HEAVY of a quota, the largest first; takes their rows off room."""
+    shards, quota = len(room), max(room)
+    heavy = nodes.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > quota)
+    votes: dict[tuple[int, int], dict[int, int]] = {}
+    for r in nodes.join(F.broadcast(heavy), "hub").groupBy("hub", "n", "shard").agg(F.count("*").alias("votes")).collect():
+        votes.setdefault((-r["n"], r["hub"]), {})[r["shard"]] = r["votes"]
+    out = []
+    for (less, hub), of in sorted(votes.items()):
+        fits = [k for k in range(shards) if room[k] >= -less]
+        if fits:
+            home = max(fits, key=lambda k: (of.get(k, 0), room[k], -k))
+            room[home] += less
+            out.append((hub, home))
+    return out
+
+
 def _pick(values: list[int], shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), (shard + 1).cast("int"))
 
@@ -64,6 +98,10 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame
     nodes = s.table(nodes.where(F.col("n") <= max(quota, 1)).withColumn("block", F.lit(0).cast("long")).unionByName(split).select("row", F.xxhash64("set", "block").alias("hub"), "shard"))
     settled = None
     room = [quota] * shards
+    first = _heavy(nodes, room) if quota and rounds else []
+    if first:
+        each = F.explode(F.array(*[F.struct(F.lit(hub).cast("long").alias("hub"), F.lit(home).cast("int").alias("home")) for hub, home in first])).alias("x")
+        settled = s.table(docs.sparkSession.range(1).select(each).select("x.*"))
     for _ in range(rounds if quota else 0):
         open_nodes = nodes if settled is None else nodes.join(settled, "hub", "left_anti")
         votes = open_nodes.groupBy("hub", "shard").agg(F.count("*").alias("votes"))
@@ -94,7 +132,7 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame
     placed = rows.join(homes.select("row", "home"), "row", "left")
     free = [t - (quota - r) for t, r in zip(targets, room, strict=True)]
     bounds = [sum(free[: k + 1]) for k in range(shards)]
-    fill = ranked(placed.where("home is null").withColumn("all", F.lit(0)), ["all"], ["set", "row"], "place", total).drop("all")
+    fill = ranked_sets(placed.where("home is null"), "place", total)
     shard = reduce(lambda a, b: a + b, [(F.col("place") >= F.lit(b)).cast("int") for b in bounds[:-1]], F.lit(0))
     whole = placed.where("home is not null").withColumn("shard", F.col("home").cast("int")).unionByName(fill.withColumn("shard", shard).drop("place"))
     whole = s.table(whole.select("row", "doc_id", "size", "text_crc32", "shard"))
