@@ -10,7 +10,8 @@ benchmark are broadcast only while they hold no more than SMALL_ROWS rows, and a
 
 Words are the runs of characters outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F once A-Z are lower case; null or empty
 texts have none and are clean. Rows are told apart by a hash of doc_id and text, so repeated rows get equal answers
-and a repeated or null doc_id does no harm. Items without words have no window. Extra columns are ignored.
+and a repeated or null doc_id does no harm. Items without words have no window. Items without an
+id have windows like any other and count as one item together in n_items; items_sha256 leaves them out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class Index:
         self.window = window
         self.scratch = s = Scratch(docs.sparkSession, "decontaminate")
         self.rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-        items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
+        items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
         n = F.least(F.lit(window), F.size("w"))
         starts = items.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)))
         cut = starts.select("item_id", F.slice("w", F.col("at"), n).alias("words"))
@@ -101,11 +102,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     before = F.max(F.col("start") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     places = found.select("key", "start", "n").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
     hit = places.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "before"))).cast("long").alias("n_hit"))
-    items = found.select("key", "wid").distinct().join(small(index.items.select("wid", "item_id")), "wid").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = found.select("key", "wid").distinct().join(small(index.items.select("wid", "item_id")), "wid").groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
     facts = index.counts().join(hit, "key", "left").join(items, "key", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return index.rows.select("doc_id", "key").join(facts, "key").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), (F.size(names) + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
