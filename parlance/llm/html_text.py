@@ -1,15 +1,19 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its elements with its text blocks as leaves. Each node is content or not; a node's own
-evidence (tag, words of class, id and role, and for blocks length, links and punctuation) and a table of
+evidence (tag, words of class, id and role, and for blocks length, links, punctuation and length against the page's longest
+block outside links, apart for pages with and without an article element) and a table of
 parent-child potentials give the joint distribution. Messages passed from the leaves up and from the root down
 (sum-product) yield each block's exact marginal; blocks with EVEN or more are the text. The potentials are trained by
 gradient ascent on the likelihood of labelled pages, which this module makes by laying out known articles among known
-menus, notices, adverts, forms and comments in many ways (see `labelled_page`).
-
-Within a block, references are decoded and white space, <br> included, becomes one blank; blocks are joined by a line
-feed in page order. Null or empty pages give an empty text. Unclosed, stray and unknown tags are taken as browsers
-mostly take them. Whole pages are read; nesting and length have no limit. Rows stand alone, whatever other columns hold.
+menus, notices, adverts, forms and comments in many ways: with and without telling names, as one paragraph or many, as
+bare text (see `SHAPES`).
+
+Within a block, references are decoded and white space of any kind, <br> included, becomes one blank; blocks are joined
+by a line feed in page order. Null or empty pages give an empty text. Unclosed, stray and unknown tags are taken as
+browsers mostly take them; a tag that the page breaks off in is no text. Whole pages are read in time that grows as
+their length; nesting and length have no limit. Rows stand alone: repeated rows, null ids and urls and further columns
+make no difference, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 
 from parlance.session import ship
 
-EVEN, PAGES, ROUNDS, SEED = 0.5, 300, 120, 3
+EVEN, PAGES, ROUNDS, SEED = 0.5, 800, 200, 3
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)/?>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+#: A tag's name; a name with its value, or what stands between two. Quantifiers that give nothing back keep both linear.
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|\s++|.""", re.S)
+_STOP = re.compile(r"""[>"']""")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 #: Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,12 +45,13 @@ RAW = frozenset("script style textarea title noscript iframe template svg math n
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAGS = "html body article main section div p h1 h2 h3 h4 ul ol li dl table tr td blockquote pre figure nav header footer aside form button select fieldset details address".split()
 HINTS = "article content main post entry story body text page nav menu header masthead top footer bottom copyright legal sidebar side aside rail widget ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal gdpr comment comments reply discussion respond share social related recommended breadcrumb breadcrumbs login signup form search newsletter subscribe pagination tags meta toolbar skip disclaimer".split()
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 _HINT_AT = {h: len(TAGS) + 1 + k for k, h in enumerate(HINTS)}
 _BLOCK_AT = len(TAGS) + 1 + len(HINTS)
-SIZE = _BLOCK_AT + 12
+SIZE = _BLOCK_AT + 21
 
 
 class Tree:
@@ -64,7 +71,7 @@ class Tree:
 def _element(tag: str, attributes: str) -> tuple[list[int], str]:
     found, mark = {_TAG_AT.get(tag, len(TAGS))}, ""
     for m in _ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
+        name = m[1].lower() if m[1] else ""
         if name in ("class", "id", "role"):
             words = _WORD.findall((m[2] or m[3] or m[4] or "").lower())
             found.update(_HINT_AT[w] for w in words if w in _HINT_AT)
@@ -88,14 +95,40 @@ def _block(text: str, linked: int) -> list[int]:
     return out
 
 
+class Scanner:
+    """Tags of a page, each found by moving forward only."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag, past quoted values; -1 if the page breaks off before."""
+        while at <= self.last[">"]:
+            m = _STOP.search(self.page, at)
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if at <= self.last[m[0]]:
+                at = self.page.find(m[0], at) + 1
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place after the end tag of an element whose content is no markup."""
+        m = re.compile(f"</{re.escape(tag)}", re.I).search(self.page, at)
+        close = self.page.find(">", m.end()) if m else -1
+        return close + 1 or len(self.page)
+
+
 def parse(page: str) -> Tree:
     """The tree of a page."""
     tree = Tree()
     stack = [("", tree.add(-1, [len(TAGS)]))]  # block elements that are open, with their nodes
-    inline: list[str] = []
+    is_open: dict[str, int] = {}  # how many of each there are
+    scan = Scanner(page)
     parts: list[str] = []
-    linked = at = 0
-    n = len(page)
+    linked = links = at = 0
+    n, met = len(page), False
 
     def flush():
         nonlocal linked
@@ -107,63 +140,83 @@ def parse(page: str) -> Tree:
         linked = 0
 
     def close(upto: int):
+        nonlocal links
         flush()
+        for tag, _ in stack[upto:]:
+            is_open[tag] -= 1
         del stack[upto:]
-        inline.clear()
+        links = 0
+
+    def write(piece: str):
+        nonlocal linked
+        parts.append(piece)
+        if links:
+            linked += len(piece.strip())
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stray = page[at:]
-            parts.append(stray)
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            write(page[at:lt])
+        if lt == n:
             break
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if "a" in inline:
-                linked += len(piece.strip())
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        tag = tag.lower()
+        if page.startswith(("<!", "<?"), lt):
+            end = page.find(">", lt + 2)
+            at = end + 1 if end >= 0 else n
+            continue
+        m = _NAME.match(page, lt + 1)
+        if m is None:
+            write("<")
+            at = lt + 1
+            continue
+        end = scan.end(m.end())
+        if end < 0:
+            break
+        at, tag, attributes = end + 1, m[2].lower(), page[m.end() : end]
         if m[1]:
-            if tag in INLINE:
-                if tag in inline:
-                    inline.remove(tag)
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if tag == "a":
+                links = max(0, links - 1)
+            elif tag not in INLINE and is_open.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
-            if not m[0].endswith("/>") or tag not in ("svg", "math"):
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.endswith("/") or tag not in ("svg", "math"):
+                at = scan.raw_end(tag, at)
             continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
-            elif tag not in VOID:
-                inline.append(tag)
+            elif tag == "a":
+                links += 1
             continue
         flush()
         if tag in VOID:
             continue
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in HOLDS[tag]:
-                    break
-                if stack[k][0] in CLOSES[tag]:
-                    close(k)
-        elif stack[-1][0] == "p" or (tag[0] == "h" and tag[1:].isdigit() and stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit()):
+            if any(map(is_open.get, CLOSES[tag])):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in HOLDS[tag]:
+                        break
+                    if stack[k][0] in CLOSES[tag]:
+                        close(k)
+        elif stack[-1][0] == "p" or (tag in HEADINGS and stack[-1][0] in HEADINGS):
             close(len(stack) - 1)
-        active, mark = _cached_element(tag, m[3]) if len(m[3]) < 200 else _element(tag, m[3])
+        active, mark = _cached_element(tag, attributes) if len(attributes) < 200 else _element(tag, attributes)
+        if tag in ("article", "main") and not met:
+            met, active = True, [*active, _BLOCK_AT + 20]  # the first one is rarely a comment
         stack.append((tag, tree.add(stack[-1][1], active, None, mark)))
-        if "a" not in inline:
-            inline.clear()
+        is_open[tag] = is_open.get(tag, 0) + 1
     flush()
+    loose = [len(t) if t is not None and _BLOCK_AT + 7 in a else 0 for t, a in zip(tree.text, tree.active, strict=True)]
+    longest = max(loose)
+    for size, active in zip(loose, tree.active, strict=True):
+        if size:
+            active.append(_BLOCK_AT + (12 if met else 16) + (0 if size == longest else 1 if size * 3 >= longest else 2 if size * 10 >= longest else 3))
     return tree
 
 
@@ -207,22 +260,46 @@ class Model:
             c[1, 1] += s[3] / total
         return p, counts
 
-    def fit(self, pages: list[tuple[Tree, list[int]]], rounds: int = ROUNDS, rate: float = 0.15, l2: float = 1e-3) -> Model:
+    def fit(self, pages: list[tuple[Tree, list[int]]], rounds: int = ROUNDS, rate: float = 0.15, l2: float = 1e-4) -> Model:
+        """Gradient ascent on all pages at once: messages pass a level of depth at a time, over all trees."""
+        sizes = [len(y) for _, y in pages]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        nodes = int(first[-1])
+        parent = np.concatenate([np.array(tree.parent) + at for (tree, _), at in zip(pages, first, strict=False)])
+        root = np.zeros(nodes, bool)
+        root[first[:-1]] = True
+        parent[root] = 0
+        block = np.array([t is not None for tree, _ in pages for t in tree.text], int)
+        y = np.array([v for _, ys in pages for v in ys])
+        lens = np.array([len(a) for tree, _ in pages for a in tree.active])
+        at, active = np.repeat(np.arange(nodes), lens), np.array([x for tree, _ in pages for a in tree.active for x in a])
+        depth = np.zeros(nodes, int)
+        for k in range(nodes):
+            depth[k] = 0 if root[k] else depth[parent[k]] + 1
+        levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        below = np.flatnonzero(~root)
+        seen = np.zeros((2, 2, 2))
+        np.add.at(seen, (block[below], y[parent[below]], y[below]), 1)
         m, v = [np.zeros_like(self.w), np.zeros_like(self.pair)], [np.zeros_like(self.w), np.zeros_like(self.pair)]
-        facts = []
-        for tree, y in pages:
-            seen = np.zeros((2, 2, 2))
-            for k in range(1, len(y)):
-                seen[int(tree.text[k] is not None), y[tree.parent[k]], y[k]] += 1
-            lens = [len(a) for a in tree.active]
-            facts.append((np.repeat(np.arange(len(y)), lens), np.array([x for a in tree.active for x in a]), np.array(y, float), seen))
-        nodes = sum(len(y) for _, y in pages)
         for t in range(1, rounds + 1):
-            gw, gp = -l2 * nodes * self.w / 10, -l2 * nodes * self.pair / 10
-            for (tree, _), (at, active, y, seen) in zip(pages, facts, strict=True):
-                p, counts = self.marginals(tree)
-                gw += np.bincount(active, (y - np.array(p))[at], SIZE)
-                gp += seen - counts
+            e = np.exp(self.pair)[block]  # node, parent state, own state
+            up, sent = np.bincount(at, self.w[active], nodes), np.zeros(nodes)
+            for own in reversed(levels):
+                o = np.exp(np.clip(up[own], -50, 50))
+                sent[own] = np.log((e[own, 1, 0] + e[own, 1, 1] * o) / (e[own, 0, 0] + e[own, 0, 1] * o))
+                np.add.at(up, parent[own], sent[own])
+            both, counts = up.copy(), np.zeros((2, 2, 2))
+            for own in levels:
+                rest = np.exp(np.clip(both[parent[own]] - sent[own], -50, 50))
+                o = np.exp(np.clip(up[own], -50, 50))
+                s = np.stack([e[own, 0, 0], e[own, 0, 1] * o, e[own, 1, 0] * rest, e[own, 1, 1] * rest * o], 1)
+                both[own] = up[own] + np.log(((s[:, 1] + s[:, 3]) / o) / (s[:, 0] + s[:, 2]))
+                share = s / s.sum(1, keepdims=True)
+                for kind in (0, 1):
+                    counts[kind] += share[block[own] == kind].sum(0).reshape(2, 2)
+            p = 1 / (1 + np.exp(-np.clip(both, -50, 50)))
+            gw = np.bincount(active, (y - p)[at], SIZE) - l2 * nodes * self.w / 10
+            gp = seen - counts - l2 * nodes * self.pair / 10
             for k, (x, g) in enumerate(((self.w, gw / nodes), (self.pair, gp / nodes))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -235,8 +312,12 @@ class Model:
         return "\n".join(t for t, x in zip(tree.text, p, strict=True) if t is not None and x >= EVEN)
 
 
-def labelled_page(r: random.Random) -> str:
-    """A made-up page whose content blocks and boilerplate are known by a data-label attribute."""
+#: What made-up pages look like: a telling layout; an article element and little else; text among links without telling names; bare text.
+SHAPES = ("laid out", "short article", "plain", "bare")
+
+
+def labelled_page(r: random.Random, shape: str = SHAPES[0]) -> str:
+    """A made-up page of a shape whose content blocks and boilerplate are known by a data-label attribute."""
     word = lambda: "".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
     link = lambda t: f'<a href="/{word()}">{t}</a>'
@@ -263,7 +344,8 @@ def labelled_page(r: random.Random) -> str:
             return f"<{tag}>{words(1, 8)}</{tag}>"
         if kind < 0.92:
             tag = r.choice(["ul", "ol"])
-            return f"<{tag}>" + "".join(f"<li>{words(2, 20)}{shut('li')}" for _ in range(r.randint(2, 5))) + f"</{tag}>"
+            inner = lambda: r.choice(["", "", "", f"<ul><li>{words(2, 9)}{shut('li')}<li>{words(2, 12)}{shut('li')}</ul>"])
+            return f"<{tag}>" + "".join(f"<li>{words(2, 20)}{inner()}{shut('li')}" for _ in range(r.randint(2, 5))) + f"</{tag}>"
         if kind < 0.96:
             return f"<blockquote>{r.choice(['<p>', ''])}{words(5, 40)}.</blockquote>"
         return r.choice([f"<pre>{words(4, 20)}</pre>", f"<div>{words(5, 40)}.</div>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<figure><img src=x><figcaption>{words(3, 9)}</figcaption></figure>"])
@@ -283,6 +365,28 @@ def labelled_page(r: random.Random) -> str:
         "comments": lambda: f"<{(tag := r.choice(['div', 'section', 'ol']))}{sure('comment', 'comments', 'discussion', 'respond', 'reply')}>{r.choice(['', '<h3>' + words(1, 3) + '</h3>'])}" + "".join(f"<{(t := r.choice(['div', 'article', 'li']))}{named('comment', 'reply')}>{r.choice(['', '<b>' + word() + '</b>'])}<p>{paragraph()}</p></{t}>" for _ in range(r.randint(1, 5))) + f"</{tag}>",
     }
     marked = lambda kind: f'<div data-label="no">{junk[kind]()}</div>'
+    page = lambda inside: f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{inside}" + r.choice(["</body></html>", ""])
+    no = lambda x: f'<div data-label="no">{x}</div>'
+    long = lambda: words(*r.choice([(5, 12), (10, 30), (25, 80), (60, 160)])) + r.choice([".", ".", ".", "!", "?", ""])
+    several = lambda: r.choice([1, 1, 2, 3, 5, 9])
+    if shape == "short article":
+        inside = [r.choice(["", f"<h1>{words(2, 10)}</h1>", f"<h2>{words(2, 10)}</h2>"])]
+        for k in range(several()):
+            inside.append(r.choice([content(), f"<p>{long()}{shut('p')}", f"<p>{long()}{shut('p')}", f"<p>{long()}{shut('p')}", long() if not k else f"<div>{long()}</div>"]))
+            if r.random() < 0.15:
+                inside.append(no(f"<div{sure('newsletter', 'signup', 'promo', 'ad', 'related', 'share')}>{r.choice([f'<p>{words(3, 15)}.</p>', words(3, 15), f'<h3>{words(1, 4)}</h3>' + links(2, 4)])}</div>"))
+        tag = r.choice(["article", "article", "main"])
+        tail = "".join(marked(k) for k in ("comments", "footer", "sidebar", "menu") if r.random() < 0.2)
+        head = "".join(marked(k) for k in ("header", "menu", "notice") if r.random() < 0.2)
+        return page(head + f'<{tag}{named("post", "entry", word())} data-label="yes">' + "".join(inside) + f"</{tag}>" + tail)
+    if shape in ("plain", "bare"):
+        tag = r.choice(["p", "p", "div"])
+        one = lambda: f"<{tag}>{long()}{shut(tag)}" if shape == "plain" else long() + r.choice(["<br><br>", "<p>", "<hr>"])
+        text = r.choice(["", f"<h1>{words(2, 10)}</h1>"]) + "".join(one() for _ in range(several()))
+        text = f'<div data-label="yes">{text}</div>' if r.random() < 0.3 else f'<center data-label="yes">{text}</center>' if shape == "bare" else f'<div data-label="yes">{r.choice(["<div>", ""])}{text}</div>'
+        menu = lambda: no(r.choice([links(2, 6), "".join(f"<div>{link(words(1, 3))}</div>" for _ in range(r.randint(2, 5))), "<p>" + " | ".join(link(words(1, 2)) for _ in range(r.randint(2, 6))) + "</p>", " ".join(link(words(1, 2)) for _ in range(3)), f"<table><tr><td>{link(words(1, 2))}<td>{link(words(1, 2))}</table>"]))
+        foot = lambda: no(r.choice([f"<p>&copy; {words(1, 6)}</p>", f"<div>Copyright {words(2, 8)}.</div>", f"<hr><small>&copy; {words(2, 6)}</small>"]))
+        return page(r.choice(["", "", menu()]) + text + r.choice(["", menu()]) + r.choice(["", "", foot()]))
     body = [r.choice([f"<h1>{words(2, 12)}</h1>", f"<h1>{words(2, 12)}</h1>", f"<header><h1>{words(2, 12)}</h1></header>", ""])]
     for _ in range(r.choice([1, 2, 4, 8, 15])):
         body.append(content())
@@ -301,7 +405,7 @@ def labelled_page(r: random.Random) -> str:
     before = [marked(k) for k in ("notice", "header", "menu", "ad", "form") if r.random() < 0.5]
     after = [marked(k) for k in ("comments", "sidebar", "ad", "form", "notice", "footer") if r.random() < 0.45]
     r.shuffle(before)
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>" + "".join(before) + article + "".join(after) + r.choice(["</body></html>", ""])
+    return page("".join(before) + article + "".join(after))
 
 
 def labels(tree: Tree) -> list[int]:
@@ -328,16 +432,19 @@ def _bare(tree: Tree) -> Tree:
     return out
 
 
+def known(page: str) -> tuple[Tree, list[int]]:
+    """The tree of a labelled page, without its labels, and the states of the nodes."""
+    tree = parse(page)
+    return _bare(tree), [s for s, m in zip(labels(tree), tree.mark, strict=True) if m != "no"]
+
+
 @lru_cache(maxsize=1)
 def trained(pages: int = PAGES, seed: int = SEED) -> Model:
     """The model fitted to made-up pages; the same on every call."""
     r = random.Random(seed)
     sample = []
-    for _ in range(pages):
-        tree = parse(labelled_page(r))
-        y = labels(tree)
-        kept = [s for s, m in zip(y, tree.mark, strict=True) if m != "no"]
-        sample.append((_bare(tree), kept))
+    for k in range(pages):
+        sample.append(known(labelled_page(r, SHAPES[k % len(SHAPES)] if k % 2 else SHAPES[0])))
     return Model().fit(sample)
 
 

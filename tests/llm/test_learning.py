@@ -35,18 +35,46 @@ def test_languages_are_told_apart(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
-def test_main_text_of_made_up_pages():
+def test_main_text_of_made_up_pages_of_every_shape():
     r, m = random.Random(99), html_text.trained()
-    right = total = 0
-    for _ in range(100):
-        tree = html_text.parse(html_text.labelled_page(r))
-        want = [s for s, k in zip(html_text.labels(tree), tree.mark, strict=True) if k != "no"]
-        bare = html_text._bare(tree)
-        p, _ = m.marginals(bare)
-        blocks = [k for k in range(len(want)) if bare.text[k] is not None]
-        right += sum((p[k] >= 0.5) == bool(want[k]) for k in blocks)
-        total += len(blocks)
-    assert right >= 0.93 * total
+    for shape in html_text.SHAPES:
+        right = total = 0
+        for _ in range(150):
+            tree, want = html_text.known(html_text.labelled_page(r, shape))
+            p, _ = m.marginals(tree)
+            blocks = [k for k in range(len(want)) if tree.text[k] is not None]
+            right += sum((p[k] >= 0.5) == bool(want[k]) for k in blocks)
+            total += len(blocks)
+        assert right >= 0.95 * total, shape
+
+
+def test_articles_without_telling_names():
+    m = html_text.trained()
+    sign = '<div class="newsletter-signup"><p>Sign up for our newsletter today</p></div>'
+    assert m.text(f"<body><article><p>Main words of the story are written here at length.</p>{sign}<p>The end of story.</p></article></body>") == "Main words of the story are written here at length.\nThe end of story."
+    assert m.text("<article><p>One paragraph alone is here.</p></article>") == "One paragraph alone is here."
+    first, second = "The first paragraph has words. " * 8, "The second one has others. " * 8
+    assert m.text(f"<body><div>{first}</div><div>{second}</div><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></body>") == f"{first.strip()}\n{second.strip()}"
+    assert m.text('<div class="menu"><a href=x>Home</a></div>just bare text in a body that is not in any tag.<section class=comments><article class=comment><p>Nice post, thanks.</p></article></section>') == "just bare text in a body that is not in any tag."
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    m = html_text.trained()
+    for part in ("<div", '<div a="', "<a b='", "<", "</script", "<b>", "<div></p>", "<script>", "<!--", "&", "<p x=y z "):
+        began = time.process_time()
+        m.text(part * 100_000)
+        assert time.process_time() - began < 5, part
+
+
+def test_tables_of_pages(spark):
+    """Every page of the tables against the text of its article element, cut out by hand."""
+    import re
+
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inside = re.search(r"<article\b[^>]*>(.*)</article>", r.html, re.S)[1]
+        assert r.text == "\n".join(t for t in html_text.parse(inside).text if t)
 
 
 def test_marginals_are_exact():
@@ -70,10 +98,14 @@ def test_pages(spark):
     pages = [
         (1, "u", "<html><body><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>First  line<br>goes\non.<p>Second &lt;b&gt;.</article><footer>&copy; x</footer>"),
         (2, "u", None), (3, "u", ""), (4, None, "<article>" + "<p>long paragraph text here.</p>" * 3000 + "</article>"), (5, "u", "<div" * 50), (6, "u", "<div>" * 3000 + "deep"),
+        (7, "u", "<article><p>no-break\u2003\u00a0\x0bspaces\u3000fold &nbsp; here</p></article>"), (None, "u", "<article><p>A page without an id.</p></article>"), (7, "u", ""),
     ]
-    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "url AS text", "url AS n_chars")
+    assert html_text.extract(table).count() == len(pages) and html_text.extract(table.limit(0)).count() == 0
+    got = {r.page_id: r for r in html_text.extract(table.where("not (page_id = 7 and html = '') or page_id is null")).collect()}
+    assert got[7].text == "no-break spaces fold here" and got[None].text == "A page without an id."
     assert got[1].text == "A & B\nFirst line goes on.\nSecond <b>." and got[1].n_chars == len(got[1].text)
-    assert got[2].text == got[3].text == "" and got[4].text.count("\n") == 2999 and len(got) == 6
+    assert got[2].text == got[3].text == "" and got[4].text.count("\n") == 2999 and len(got) == 8
 
 
 def test_pipeline(spark, tmp_path):
