@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch sent to Python, where the session does not set it: texts are long, and a worker holds a batch several times over.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context, for the operators that run Python there."""
+    """Send this package to the executors, once for each Spark context, for the operators that run Python there; bound Arrow batches."""
     import tempfile
     import zipfile
     from pathlib import Path
@@ -39,6 +43,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_parlance_shipped", False):
         return
+    if not context.getConf().contains(ARROW_BYTES[0]):
+        spark.conf.set(*ARROW_BYTES)
     here = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp(prefix="parlance-")) / "parlance.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
