@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.session import ship
 
@@ -41,18 +42,74 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this scratch that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        self._delete(df._scratch)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables of this scratch so far that the given ones don't read."""
+        files = [f for t in tables for f in t.inputFiles()]
+        for k in range(1, self.n + 1):
+            if not any(f"{self.root}/{k}/".rpartition("/parlance/")[2] in f for f in files):
+                self._delete(f"{self.root}/{k}")
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Rows of a few numbers each that may be broadcast, some 30 MB at most once hashed.
-SMALL_ROWS = 400_000
+#: Rows that may be broadcast, some 30 MB at most once hashed, and bytes of their texts and arrays.
+SMALL_ROWS, SMALL_BYTES = 400_000, 16 << 20
+
+
+def _bytes(field: T.StructField) -> Column:
+    """Bytes of a value beyond the few that a number takes."""
+    c = F.col(quoted(field.name))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(field.dataType, T.ArrayType):
+        return F.octet_length(F.array_join(c, "")) + F.size(c) * 8 if isinstance(field.dataType.elementType, T.StringType) else F.size(c) * 8
+    return F.lit(0)
 
 
 def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Ask to broadcast a written table if it is counted to be small; a larger one is joined by a shuffle."""
-    return F.broadcast(table) if table.count() <= rows else table
+    """Ask to broadcast a written table if its rows are counted and its texts measured to be few; a larger one is joined by a shuffle."""
+    size = sum((F.coalesce(_bytes(f), F.lit(0)) for f in table.schema), F.lit(0)).cast("long")
+    seen = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(table) if seen["n"] <= rows and seen["b"] <= SMALL_BYTES else table
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, as F.col() takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with numbered columns, as mapInArrow() doesn't take names with dots; its schema gives the names back."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def one_row_each(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs(doc_id, text) without the repeats of a (doc_id, text); ids has the doc_id of every row and is cheap to read."""
+    twice = scratch.table(ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return docs
+    twice = small(twice)
+    return docs.join(twice, "doc_id", "left_anti").unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
