@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
     """(node, hop): everything within so many hops of the seeds, either way along edges, with its least hop."""
-    ways = edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).distinct()
-    level = seeds.toDF("node").distinct()
-    levels = [level.withColumn("hop", F.lit(0))]
+    ways = _cut(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).distinct())
+    level = seen = _cut(seeds.toDF("node").distinct().withColumn("hop", F.lit(0)))
     for k in range(1, hops + 1):
-        level = level.join(ways, level.node == ways.a).select(F.col("b").alias("node")).distinct()
-        levels.append(level.withColumn("hop", F.lit(k)))
-    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("hop").alias("hop"))
+        after = level.join(ways, level.node == ways.a).select(F.col("b").alias("node")).distinct()
+        level = _cut(after.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
 
 
 def roots(tweets: DataFrame) -> DataFrame:
@@ -49,5 +52,11 @@ def best_branches(tweets: DataFrame, edges: DataFrame, brand: str, depth: int =
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """Cut the lineage in the folder of spark.checkpoint.dir, or in local mode without one in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="parlance-"))
+    return df.checkpoint()

@@ -157,25 +157,37 @@ def _(d):
 e AS (SELECT max(n.same) / max(n.n) AS po, sum(ka * kb) / max(n.n * n.n) AS pe FROM m, n) SELECT round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM e"""
 
 
+def ranks(name: str, source: str, c: str) -> str:
+    """name(v, r): the average rank of each distinct value; only distinct values are ordered."""
+    return f"{name} AS (SELECT v, {D('sum(n) OVER (ORDER BY v) - n + 1')} + (n - 1) / {D('2')} AS r FROM (SELECT {c} AS v, count(*) AS n FROM {source} GROUP BY {c}) {name}_n)"
+
+
 def spearman(source: str, x: str, y: str) -> str:
-    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / {D('2')}"
-    return f"""k AS (SELECT {D(rank(x))} AS rx, {D(rank(y))} AS ry FROM {source}), z AS (SELECT {D('count(*)')} AS n, avg(rx * ry) - avg(rx) * avg(ry) AS cov, avg(rx * rx) - avg(rx) * avg(rx) AS vx, avg(ry * ry) - avg(ry) * avg(ry) AS vy FROM k)
-SELECT CAST(n AS BIGINT) AS n, round(CASE WHEN n < 2 OR vx <= 1e-9 OR vy <= 1e-9 THEN 0 ELSE cov / sqrt(CASE WHEN vx * vy > 0 THEN vx * vy ELSE 1 END) END, 6) AS rho FROM z"""
+    """z(n, cov, vx, vy, rho) of average ranks."""
+    return f"""{ranks('rx', source, x)}, {ranks('ry', source, y)}, k AS (SELECT rx.r AS rx, ry.r AS ry FROM {source} s JOIN rx ON s.{x} = rx.v JOIN ry ON s.{y} = ry.v),
+m AS (SELECT {D('count(*)')} AS n, avg(rx * ry) - avg(rx) * avg(ry) AS cov, avg(rx * rx) - avg(rx) * avg(rx) AS vx, avg(ry * ry) - avg(ry) * avg(ry) AS vy FROM k),
+z AS (SELECT CAST(n AS BIGINT) AS n, round(CASE WHEN n < 2 OR vx <= 1e-9 OR vy <= 1e-9 THEN 0 ELSE cov / sqrt(CASE WHEN vx * vy > 0 THEN vx * vy ELSE 1 END) END, 6) AS rho FROM m)"""
 
 
 @both("average_rank")
 def _(d):
-    return f"WITH {raters(d)} SELECT id, {D('rank() OVER (ORDER BY a)')} + (count(*) OVER (PARTITION BY a) - 1) / {D('2')} AS average_rank FROM p"
+    return f"WITH {raters(d)}, {ranks('r', 'p', 'a')} SELECT p.id, r.r AS average_rank FROM p JOIN r ON p.a = r.v"
 
 
 @both("spearman_rho")
 def _(d):
-    return f"WITH {raters(d)}, {spearman('p', 'a', 'b')}"
+    return f"WITH {raters(d)}, {spearman('p', 'a', 'b')} SELECT n, rho FROM z"
 
 
 @both("length_bias")
 def _(d):
-    return f"WITH l AS (SELECT length(d.text) AS words, l.quality * 2 + l.toxic AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id), {spearman('l', 'words', 'score')}"
+    words = f"{d.size(T.terms(d, 'd.text'))}"
+    return f"WITH l AS (SELECT {words} AS words, l.quality * 2 + l.toxic AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id), {spearman('l', 'words', 'score')} SELECT n, rho, abs(rho) > 0.4 AS biased FROM z"
+
+
+@both("full_pass_on_sample")
+def _(d):
+    return f"WITH {examples(d)} SELECT l.doc_id, x.pred, x.confidence, l.quality FROM labels l JOIN x ON x.id = l.doc_id AND x.system = 3"
 
 
 @both("krippendorff_alpha")

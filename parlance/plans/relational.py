@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.catalog import query
 from parlance.functions import patterns as P
+from parlance.operators.ordering import numbered
 from parlance.plans.common import both, messages
 from parlance.plans.metrics import D, N
 
@@ -52,7 +57,9 @@ def _(d):
 
 @both("budget_running")
 def _(d):
-    return f"SELECT event_id, spent >= 25 AS over, spent >= 20 AS near FROM (SELECT event_id, sum({D('event_id % 97')} / 10000) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9 AS spent FROM events) s"
+    return f"""WITH e AS (SELECT event_id, event_type, ts, date_trunc('hour', ts) AS h, {D('event_id % 97')} / 10000 AS usd FROM events), t AS (SELECT event_type, h, sum(usd) AS usd FROM e GROUP BY event_type, h),
+b AS (SELECT event_type, h, sum(usd) OVER (PARTITION BY event_type ORDER BY h ROWS UNBOUNDED PRECEDING) - usd AS before FROM t), s AS (SELECT e.event_id, b.before + sum(e.usd) OVER (PARTITION BY e.event_type, e.h ORDER BY e.ts, e.event_id ROWS UNBOUNDED PRECEDING) + 1e-7 AS spent
+  FROM e JOIN b ON e.event_type = b.event_type AND e.h = b.h) SELECT event_id, spent >= 25 AS over, spent >= 20 AS near FROM s"""
 
 
 @both("recency")
@@ -60,16 +67,35 @@ def _(d):
     return f"SELECT event_id, round(coalesce(({d.seconds('lo', 'ts')}) / nullif({d.seconds('lo', 'hi')}, 0), 0.5), 6) AS recency FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events) m"
 
 
-@both("time_split")
+SPLIT = "CASE WHEN r <= floor(n * 0.70) THEN 'corpus' WHEN r <= floor(n * 0.85) THEN 'dev' ELSE 'test' END AS split"
+SPLITS = f"SELECT event_id, {SPLIT} FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events) e"
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, split) by place in the order of time."""
+    rows, n = numbered(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts"), "ts", "event_id", "r")
+    return rows.withColumn("n", F.lit(n)).selectExpr("event_id", SPLIT)
+
+
+@query("time_split", SPLITS)
+def _(spark, sf_dir):
+    return splits(spark, sf_dir)
+
+
+@query("split_ranges", f"SELECT split, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM ({SPLITS}) s GROUP BY split")
+def _(spark, sf_dir):
+    return splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@both("iso_timestamp")
 def _(d):
-    return f"""SELECT event_id, CASE WHEN r <= floor(n * 0.70) THEN 'corpus' WHEN r <= floor(n * 0.85) THEN 'dev' ELSE 'test' END AS split
-FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events) e"""
+    iso = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ssxx\")" if d.name == "spark" else "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0000'"
+    return f"SELECT event_id, {iso} AS iso FROM events"
 
 
-@both("split_ranges")
+@both("sorted_by_intent_and_size")
 def _(d):
-    return f"""SELECT split, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, CASE WHEN r <= floor(n * 0.70) THEN 'corpus' WHEN r <= floor(n * 0.85) THEN 'dev' ELSE 'test' END AS split
-FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events) e) s GROUP BY split"""
+    return "SELECT intent, source, size, row_number() OVER (ORDER BY intent, size DESC, source) AS place FROM (SELECT lang AS intent, source, count(*) AS size FROM documents GROUP BY lang, source) g"
 
 
 @both("bad_ts")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
+from parlance.functions.dialect import DUCK
+from parlance.operators.dense import nearest
 from parlance.plans.common import both
 from parlance.plans.metrics import D
 
@@ -28,8 +34,8 @@ def top(source: str, k: int) -> str:
 
 
 def dense(d) -> str:
-    """v(qid, id, score): inner products of the last 15 in 100 vectors with the first 70."""
-    return f"""n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS id, embedding, label FROM embeddings, n WHERE vec_id < floor(n * 0.7)), q AS (SELECT vec_id AS qid, embedding AS qe, label AS ql FROM embeddings, n WHERE vec_id >= floor(n * 0.85)),
+    """v(qid, id, score): inner products of the last 30 in 100 vectors, the dev and test splits, with the first 70, the corpus. The oracle's form; the engine compares blocks."""
+    return f"""n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS id, embedding, label FROM embeddings, n WHERE vec_id < floor(n * 0.7)), q AS (SELECT vec_id AS qid, embedding AS qe, label AS ql FROM embeddings, n WHERE vec_id >= floor(n * 0.7)),
 v AS (SELECT q.qid, c.id, {d.dot('q.qe', 'c.embedding')} AS score, q.ql, c.label FROM q CROSS JOIN c)"""
 
 
@@ -48,14 +54,22 @@ def _(d):
     return f"WITH {bm25(d)} SELECT qid, id, round(least({D('1')}, score / 25), 6) AS confidence FROM ({top('s', 1)}) t WHERE score > 0"
 
 
-@both("dense_topk")
-def _(d):
-    return f"WITH {dense(d)} SELECT qid, id, rank, round(score, 6) AS score FROM ({top('v', DEPTH)}) t"
+def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k nearest corpus vectors of each query vector, and the table of vectors."""
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    cut = F.lit(int(((table.agg(F.max("vec_id").alias("m")).first()["m"] or 0) + 1) * 0.7))
+    rows = table.select("vec_id", "embedding")
+    return nearest(rows.where(F.col("vec_id") >= cut), rows.where(F.col("vec_id") < cut), k), table
 
 
-@both("channel_ranks")
-def _(d):
-    return f"WITH {dense(d)} SELECT qid, id, rank FROM ({top('v', 10)}) t"
+@query("dense_topk", f"WITH {dense(DUCK)} SELECT qid, id, rank, round(score, 6) AS score FROM ({top('v', DEPTH)}) t")
+def _(spark, sf_dir):
+    return dense_hits(spark, sf_dir, DEPTH)[0].select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("channel_ranks", f"WITH {dense(DUCK)} SELECT qid, id, rank FROM ({top('v', 10)}) t")
+def _(spark, sf_dir):
+    return dense_hits(spark, sf_dir, 10)[0].select("qid", "id", "rank")
 
 
 def fused(d) -> str:
@@ -83,18 +97,35 @@ g AS (SELECT a.qid, a.id, rrf * 1000 + 0.35 * least(a.id % 9, 6) + 0.25 * {D('a.
 SELECT qid, id, round(final, 6) AS final, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank FROM g) z WHERE rank <= {P.TOP_K}"""
 
 
-@both("max_similarity")
+@query("max_similarity", f"WITH {dense(DUCK)} SELECT qid, round(coalesce(max(score), 0), 6) AS max_sim FROM v GROUP BY qid")
+def _(spark, sf_dir):
+    return dense_hits(spark, sf_dir, 1)[0].select("qid", F.round("score", 6).alias("max_sim"))
+
+
+@query("nearest_label", f"""WITH {dense(DUCK)}, b AS (SELECT qid, ql, label, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM v) x WHERE r = 1)
+SELECT ql AS gold, label AS pred, count(*) AS n, round(avg(score), 6) AS confidence FROM b GROUP BY ql, label""")
+def _(spark, sf_dir):
+    hits, table = dense_hits(spark, sf_dir, 1)
+    gold, pred = table.select(F.col("vec_id").alias("qid"), F.col("label").alias("gold")), table.select(F.col("vec_id").alias("id"), F.col("label").alias("pred"))
+    return hits.join(gold, "qid").join(pred, "id").groupBy("gold", "pred").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("confidence"))
+
+
+def leaks(d) -> str:
+    """l(qid, id): retrieved documents that belong to the dev or test split, the last 30 in 100 by id."""
+    return f"{bm25(d)}, c AS (SELECT floor((max(doc_id) + 1) * 0.7) AS c FROM documents), l AS (SELECT qid, id FROM ({top('s', P.TOP_N)}) t CROSS JOIN c WHERE id >= c.c)"
+
+
+@both("leakage_check")
 def _(d):
-    return f"WITH {dense(d)} SELECT qid, round(coalesce(max(score), 0), 6) AS max_sim FROM v GROUP BY qid"
+    return f"WITH {leaks(d)} SELECT qid, id FROM l"
 
 
-@both("nearest_label")
+@both("leakage_summary")
 def _(d):
-    return f"""WITH {dense(d)}, b AS (SELECT qid, ql, label, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM v) x WHERE r = 1)
-SELECT ql AS gold, label AS pred, count(*) AS n, round(avg(score), 6) AS confidence FROM b GROUP BY ql, label"""
+    return f"WITH {leaks(d)} SELECT count(*) AS hits, count(DISTINCT id) AS leaked, min(id) AS first_id FROM l"
 
 
-@both("leakage_check")
+@both("ngram_overlap")
 def _(d):
     every = d.map(d.range("0", f"greatest({d.size('w')} - 13, 0)"), "i", d.join("slice(w, CAST(i AS INT) + 1, 13)" if d.name == "spark" else "w[i + 1 : i + 13]", " "))
     return f"""WITH b AS (SELECT DISTINCT {d.explode(every)} AS g FROM (SELECT {T.terms(d, 'text')} AS w FROM benchmark) x WHERE {d.size('w')} >= 13), t AS (SELECT doc_id, {d.explode(every)} AS g FROM (SELECT doc_id, {T.terms(d, 'text')} AS w FROM documents) y WHERE {d.size('w')} >= 13)

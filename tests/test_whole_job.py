@@ -114,4 +114,4 @@ def test_leaks_off_any_grid_are_found(spark, tmp_path):
     rows = [(i, "before " + " ".join(item[i : i + 13]) + " after") for i in range(28)] + [(99, " ".join(item[:12]))]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert sorted(r.doc_id for r in catalog.queries()["leakage_check"](spark, str(tmp_path)).collect()) == list(range(28))
+    assert sorted(r.doc_id for r in catalog.queries()["ngram_overlap"](spark, str(tmp_path)).collect()) == list(range(28))
