@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm._cluster import tidy
 from parlance.session import ship
 
 EVEN, PAGES, ROUNDS, SEED = 0.5, 800, 200, 3
@@ -459,5 +460,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [m.text(page) if page else "" for page in (x.as_py() for x in batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string")
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(tidy(run), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

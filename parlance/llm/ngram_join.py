@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import Scratch, components, one_row_each, own, small
+from parlance.llm._cluster import Scratch, components, one_row_each, own, small, tidy
 
 #: Size of the table of frequent shingles: what each task may report, and what is broadcast (16 bytes an entry).
 TASK_FREQUENT, FREQUENT = 1 << 15, 1 << 17
@@ -200,7 +200,7 @@ class Join:
         self.words, self.num, self.den = words, num, den
         self.scratch = s = Scratch(self.spark, "ngram_join")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        described = s.table(self.docs.mapInArrow(_describe(words), SETS))
+        described = s.table(self.docs.mapInArrow(tidy(_describe(words)), SETS))
         self.rows = described.where("n is not null").select("doc_id", "n", "sig1", "sig2")
         top = described.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
         token, seen = top["token"].to_numpy().view(np.uint64), top["seen"].to_numpy()
@@ -230,14 +230,14 @@ class Join:
         dealt = s.table(pairs.join(cells, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"), F.lit(1).alias("member"), F.col("b").alias("id")))
         wanted = dealt.unionByName(dealt.select("a", "cell", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
         texts = self.docs.join(small(s.table(wanted)), F.col("doc_id") == F.col("id")).select("a", "cell", "member", "id", "text")
-        return s.table(texts.repartition("a", "cell").sortWithinPartitions("a", "cell", "member").mapInArrow(_linked(self.words, self.num, self.den), "a long, b long").distinct())
+        return s.table(texts.repartition("a", "cell").sortWithinPartitions("a", "cell", "member").mapInArrow(tidy(_linked(self.words, self.num, self.den)), "a long, b long").distinct())
 
     def components(self) -> DataFrame:
         """(id, component) of the classes that link with another one."""
         s = self.scratch
         more = self.rows.join(small(self.classes), ["n", "sig1", "sig2"]).where("doc_id <> cid").select("doc_id", "sig1", "sig2")
         more = small(s.table(more.distinct()))
-        prefixes = self.docs.mapInArrow(_prefixes(self.words, self.num, self.den, self.frequent), PREFIXES).join(more, ["doc_id", "sig1", "sig2"], "left_anti")
+        prefixes = self.docs.mapInArrow(tidy(_prefixes(self.words, self.num, self.den, self.frequent)), PREFIXES).join(more, ["doc_id", "sig1", "sig2"], "left_anti")
         prefixes = s.table(prefixes.drop("sig1", "sig2"))
         self.frequent.unpersist()
         groups = prefixes.groupBy("n", "prefix_hash").agg(F.min("doc_id").alias("gid"))

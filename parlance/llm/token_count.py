@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parlance.llm._cluster import tidy
 from parlance.session import ship
 
 CACHE = 400_000
@@ -252,4 +253,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), n, pa.array([x > limit for x in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([*docs.select("doc_id").schema.fields, *new]))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), T.StructType([*docs.select("doc_id").schema.fields, *new]))

@@ -8,7 +8,8 @@ cuts before each run of markers; distinct cuts are spelled once, all at a time:
 batch of cuts at each byte. CACHE spelled cuts are remembered at most.
 
 Decoding joins the pieces' bytes, turns markers into blanks and drops the first one. For a text without U+2581 that is
-the text itself, which the query reports. Null and empty texts have no pieces. Rows stand alone; further columns pass.
+the text itself, which the query reports. Null and empty texts have no pieces, an empty table gives an empty result. Rows stand
+alone; further columns pass, and where they have the names of the new ones, those get an underscore before theirs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from parlance.llm._cluster import free, plain, release, tidy
 from parlance.llm.token_count import groups
 from parlance.session import ship
 
@@ -105,7 +107,7 @@ class Model:
         at = 0
         while at < len(order):
             longest = max(8, 1 << (len(cuts[order[at]]) - 1).bit_length() if cuts[order[at]] else 8)
-            most = max(1, (1 << 21) // longest)
+            most = max(1, (1 << 20) // longest)
             end = at
             while end < len(order) and end - at < most and len(cuts[order[end]]) <= longest:
                 end += 1
@@ -219,11 +221,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """The rows of docs with piece_ids, n_pieces and decodes (whether decoding gives the text back) for text; path is a .model file that the driver can read."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(path))
+    release()
     at = docs.columns.index("text")
-    added = ["piece_ids", "n_pieces", "decodes"]
-    if set(added) & set(docs.columns):
-        raise ValueError(f"docs already has one of {added}")
-    new = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decodes", T.BooleanType())]
+    added = free(docs, "piece_ids", "n_pieces", "decodes")
+    new = [T.StructField(n, k) for n, k in zip(added, (T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType()), strict=True)]
     schema = T.StructType([*docs.schema.fields, *new])
     names = schema.names
 
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, len(texts)).columns, ids, pa.array(lens), pa.array(same, pa.bool_())], names)
                 row += len(texts)
 
-    return docs.mapInArrow(run, schema)
+    return plain(docs).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -253,4 +254,4 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = [None if ids is None else model.value.decode(ids) for ids in (x.as_py() for x in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return plain(rows).mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
