@@ -12,8 +12,14 @@ that a line whose sentences occur only apart is no repeat; a line of one sentenc
 The removed spans are given as offsets into the original text, in code points. A removed span that makes up whole
 lines takes a line break along; one that ends a line takes the blanks before it.
 
-Null texts stay null and have no units; null doc_ids rank last. Repeated rows with one doc_id and text count as the
-same document, so they don't repeat each other. Other columns pass through untouched.
+A row is known by its doc_id and a 64-bit hash of its text, or by 128 bits of hash where it has no doc_id. Repeated
+rows with one doc_id and text count as the same document, so they don't repeat each other; rows without a doc_id rank
+last, and of texts under one doc_id that of the lesser hash comes first. Null texts stay null and, like empty ones,
+have no units; an empty table gives an empty result. Texts have no limit of length: what a task holds at least is one
+text and the numbers of its repeats. Other columns pass through untouched, whatever their names.
+
+The originals of repeated digests are written before units meet them, so that a join whose digest holds a large share
+of all units can be split.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import Scratch
+from parlance.llm._cluster import Scratch, free, own, plain, quoted, small, tidy
 
 LEAST_WORDS, LEAST_CHARS = 20, 100
 #: Marks the number of a line, which is that of its first unit.
@@ -71,12 +77,11 @@ def _digests(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _units(every_line: bool):
-    """(h1, h2, did, at) for each unit of (did, text_id, text) rows; at holds text_id and the unit's number. With every_line, lines of several units too."""
+    """(h1, h2, late, did, tid, number) for each unit of (late, did, tid, text) rows. With every_line, lines of several units too."""
 
     def run(batches):
         for batch in batches:
-            did, tid = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for first, raw, starts, ends, hashes, rows, _ in B.batch_spans(batch.column(2), B.SPACE):
+            for first, raw, starts, ends, hashes, rows, _ in B.batch_spans(batch.column(3), B.SPACE):
                 cut = _cut(raw, starts, ends, rows)
                 if not len(cut):
                     continue
@@ -90,7 +95,8 @@ def _units(every_line: bool):
                     heads = heads[several]
                     h1, h2 = np.concatenate([h1, l1[several]]), np.concatenate([h2, l2[several]])
                     row, number = np.concatenate([row, row[heads]]), np.concatenate([number, number[heads] + LINE])
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(did[first + row]), pa.array((tid[first + row].astype(np.int64) << 31) + number)], ["h1", "h2", "did", "at"])
+                at = pa.array(first + row)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *(batch.column(k).take(at) for k in range(3)), pa.array(number.astype(np.int32))], ["h1", "h2", "late", "did", "tid", "number"])
 
     return run
 
@@ -175,21 +181,34 @@ def _strip(least: int, every_line: bool, least_chars: int, text_at: int, repeats
 
 
 def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = False, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows of docs with repeats cut out of text, and _units, _removed (units) and _spans (offsets into the original text)."""
+    """The rows of docs with repeats cut out of text, and last of all _units, _removed (units) and _spans (offsets into the original text); with more underscores where docs has such columns."""
     s = Scratch(docs.sparkSession, "substring_dedup")
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_tid": F.crc32(F.coalesce("text", F.lit("")))})
-    units = keyed.select("_did", "_tid", "text").mapInArrow(_units(every_line), "h1 long, h2 long, did long, at long")
-    firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("did", "at")).alias("o"), F.max(F.struct("did", "at")).alias("z")).where("o <> z").select("h1", "h2", "o")
-    again = units.join(firsts, ["h1", "h2"]).where("did <> o.did or at <> o.at")
-    number = (F.col("at") % F.lit(1 << 31)).cast("int")
-    lists = s.table(again.groupBy(F.col("did").alias("_did"), F.shiftright("at", 31).alias("_tid")).agg(F.collect_list(number).alias("_repeats")))
-    joined = keyed.join(lists, ["_did", "_tid"], "left").select(*docs.columns, "_repeats")
-    schema = docs.select(*docs.columns, F.lit(0).cast("long").alias("_units"), F.lit(0).cast("long").alias("_removed"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans")).schema
+    late, did, tid, repeats, units_, removed, spans = free(docs, "_late", "_did", "_tid", "_repeats", "_units", "_removed", "_spans")
+    text = F.col("text")
+    key = [F.col("doc_id").isNull().alias(late), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias(did), F.xxhash64(text).alias(tid)]
+    units = docs.select(*key, "text").mapInArrow(tidy(_units(every_line)), "h1 long, h2 long, late boolean, did long, tid long, number int")
+    where = F.struct("late", "did", "tid", "number")
+    firsts = units.groupBy("h1", "h2").agg(F.min(where).alias("o"), F.max(where).alias("z")).where("o <> z").select("h1", "h2", "o")
+    firsts = s.table(firsts)
+    again = units.join(small(firsts), ["h1", "h2"]).where(where != F.col("o"))
+    lists = again.groupBy(*(F.col(a).alias(b) for a, b in (("late", late), ("did", did), ("tid", tid)))).agg(F.collect_set("number").alias(repeats))
+    lists = s.table(lists)
+    s.drop(firsts)
+    joined = docs.select("*", *key).join(small(lists), [late, did, tid], "left").select(*own(docs), repeats)
+    facts = [F.lit(0).cast("long").alias(units_), F.lit(0).cast("long").alias(removed), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias(spans)]
+    schema = docs.select(*own(docs), *facts).schema
     at = docs.columns.index("text")
-    return joined.mapInArrow(_strip(least_words, every_line, least_chars, at, len(docs.columns), schema.names), schema)
+    return plain(joined).mapInArrow(tidy(_strip(least_words, every_line, least_chars, at, len(docs.columns), schema.names)), schema)
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = False, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text without its repeats, n_units, n_removed and the removed spans, for each row of docs."""
     out = strip_repeats(docs.select("doc_id", "text"), least_words, every_line, least_chars)
     return out.select("doc_id", "text", F.col("_units").alias("n_units"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("removed_spans"))
+
+
+def keep_rest(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = True, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The rows and columns of docs with repeats cut out of text; n_chars, where there is one, tells the length of a text that was cut."""
+    out = strip_repeats(docs, least_words, every_line, least_chars)
+    cut = F.col(quoted(out.columns[-2])) > 0
+    return out.select(*[F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])

@@ -151,3 +151,39 @@ def test_query_on_tables(spark):
     got = queries.op3_substring_dedup(spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id, r.n_units, r.n_removed) for r in got) == brute_lines(rows, 20, 100)
     assert sum(r.n_removed for r in got) > sum(n for _, _, n in brute(rows, 20))
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Texts of equal crc32 and no doc_id, one of them shorter than the other."""
+    import random
+    import zlib
+
+    seen, pair, r = {}, None, random.Random(1)
+    for _ in range(400_000):
+        t = f"w{r.getrandbits(60):x} and more" + " then one more" * r.randrange(2)
+        if pair is None and (crc := zlib.crc32(t.encode())) in seen:
+            pair = seen[crc], t
+        seen[crc] = t
+    a, b = pair
+    line = "A line that is in many rows."
+    rows = [(None, a), (None, b), (1, f"own\n{line}"), (None, f"{line}\n{a}")]
+    got = sorted((str(r.doc_id), r.text) for r in substring_dedup.dedup(docs(spark, rows), 20, every_line=True).collect())
+    assert len(got) == 4 and ("None", b) in got and ("1", rows[2][1]) in got
+    assert sum(t.count(a) for _, t in got) == 1 and sum(t.count(line) for _, t in got) == 1
+
+
+def test_one_id_with_two_texts_and_repeated_rows(spark):
+    line = "A line that both texts hold."
+    rows = [(5, f"first\n{line}"), (5, f"second\n{line}"), (6, line), (6, line), (7, None), (None, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in substring_dedup.dedup(docs(spark, rows), 20, every_line=True).collect()]
+    assert len(got) == len(rows) and sorted(t for i, t in got if i == 6) == ["", ""]
+    assert sum(line in t for i, t in got if i == 5) == 1 and (7, None) in got and (None, None) in got
+
+
+def test_columns_that_clash(spark):
+    df = docs(spark, [(1, PASSAGE), (2, PASSAGE)])
+    for a, b in (("lang", "_did"), ("source", "_removed"), ("n_chars", "_spans")):
+        df = df.withColumnRenamed(a, b)
+    df = df.withColumn("_tid", df.doc_id).withColumn("a.b", df.doc_id)
+    out = substring_dedup.keep_rest(df)
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["", PASSAGE]
