@@ -1,31 +1,31 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
 Bytes (A-Z lower case) are embedded in EMBED dimensions; filters of several widths pass over a window of WINDOW bytes,
-each keeps its largest response, and softmax over these gives the languages. Training takes the texts of the least
-hash of doc_id, DOCS of them at most and PIECES windows of each; prediction cuts the whole text into windows, padded
-with blanks at its end, and averages their probabilities weighted by the letters in them.
+each keeps its largest response, and softmax over these gives the languages. Training takes DOCS texts at most and
+PIECES windows of each: of the LANGS most frequent languages, as many texts of each, those of the least hash of doc_id
+(one for each doc_id and language, the least of those that share it). Prediction cuts the whole text, of any length,
+into windows, padded with blanks at its end, and averages their probabilities weighted by the letters in them.
 
 Only text and lang of usable rows are learnt from; lang, source and doc_id never enter a prediction. A text that is
-null or has no letters is `und` with score 0, and so is every text when there is nothing to learn from. Ties go to the
-language first by name. Rows stand alone: repeated rows, null ids and further columns make no difference.
+null or has no letters (Unicode category L: numerals such as ½ or Ⅷ are none) is `und` with score 0, and so is every
+text when there is nothing to learn from. Ties go to the language first by name. Rows stand alone: repeated rows, null
+ids and further columns make no difference; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
+from parlance.llm._cluster import tidy
 from parlance.session import ship
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
-DOCS, PIECES, EPOCHS, BATCH = 4000, 3, 6, 128
+DOCS, LANGS, PIECES, EPOCHS, BATCH = 4000, 200, 3, 6, 128
 _LETTER = B.table([*range(65, 91), *range(97, 123), *range(128, 256)])
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Network:
@@ -127,15 +127,21 @@ def train(docs: DataFrame, usable: Column, most: int = DOCS):
     """(languages, network) from at most so many usable rows, or None if there are none."""
     ship(docs.sparkSession)
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = F.broadcast(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct())
-    found = rows.join(chosen, "doc_id").select("lang", "text").mapInArrow(_samples, "lang string, piece binary").toArrow()
+    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(each))
+    chosen = F.broadcast(ids.where(F.col("k") <= max(1, most // max(1, len(langs)))).select("lang", "doc_id"))
+    texts = rows.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    found = texts.select("lang", "text").mapInArrow(tidy(_samples), "lang string, piece binary").toArrow()
     if not found.num_rows:
         return None
     names = np.array(found["lang"].to_pylist())
     x = np.frombuffer(b"".join(found["piece"].to_pylist()), np.uint8).reshape(-1, WINDOW)
     order = np.lexsort((*x.T[:8], names))  # whatever order the rows came in
     langs, y = np.unique(names[order], return_inverse=True)
-    return langs.tolist(), Network(len(langs)).fit(x[order].astype(np.int64), y)
+    counts = np.bincount(y)
+    often = np.repeat(np.arange(len(y)), -(-counts.max() // (4 * counts))[y])  # so that rare languages are seen a quarter as often as the most frequent one
+    return langs.tolist(), Network(len(langs)).fit(x[order][often].astype(np.int64), y[often])
 
 
 def _predict(model, most: int = 32):
@@ -173,7 +179,7 @@ def _predict(model, most: int = 32):
             blank = weight == 0
             for k in np.flatnonzero(~blank):
                 raw = data[offsets[k] : offsets[k + 1]]
-                if not (_LETTER[raw] & (raw < 128)).any() and not _HAS_LETTER.search(raw.tobytes().decode()):
+                if not (_LETTER[raw] & (raw < 128)).any() and not any(map(str.isalpha, raw.tobytes().decode())):
                     blank[k] = True
             share = total / np.maximum(weight, 1)[:, None]
             best = share.argmax(1)
@@ -195,4 +201,4 @@ def identify(docs: DataFrame) -> DataFrame:
     model = train(docs, F.col("doc_id").isNotNull() & ~held_out())
     if model is None:
         return ids.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return ids.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+    return ids.mapInArrow(tidy(_predict(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double")
