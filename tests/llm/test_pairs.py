@@ -68,6 +68,28 @@ def test_odd_rows_and_empty_table(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_many_documents_that_share_one_passage(spark):
+    """One boilerplate shingle in the prefixes of 5,000 documents that don't link, in cells, beside two that do."""
+    r = random.Random(8)
+    rows = [(i, f"the one shared passage u{r.randrange(10**9)}" if i % 2 else f"a{i} b{i} c{i} d{i} the one shared passage e{i}") for i in range(5000)]
+    rows += [(6000, rows[8][1] + " more"), (6001, rows[8][1])]
+    got = ngram_join.near_duplicates(docs(spark, rows), 4, 80, 100).where("component_id <> doc_id").collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(6000, 8), (6001, 8)]
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "some words that are here to stay for long"), (2, "some words that are here to stay for long"), (3, "others")]
+    df = docs(spark, rows).withColumnRenamed("lang", "component_id").withColumnRenamed("source", "n").withColumnRenamed("n_chars", "a.b")
+    assert ngram_join.near_duplicates(df).where("component_id = 1").count() == 2
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == [1, 3]
+
+
+def test_rows_that_share_an_id_keep_the_first_as_json(spark):
+    rows = [(3, "text b of the two"), (3, "text a of the two"), (4, "other words in this row"), (4, "other words in this row")]
+    assert sorted((x.doc_id, x.text) for x in ngram_join.keep_one(docs(spark, rows)).collect()) == [(3, "text a of the two"), (4, "other words in this row")]
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "some words that are here to stay for long"), (2, "some words that are here to stay for long"), (3, "others"), (None, "others"), (3, "others"), (4, None), (5, "")]
     out = ngram_join.keep_one(docs(spark, rows))
@@ -105,14 +127,27 @@ def test_exact_and_near_passages(spark):
     assert len(got) == len(rows)
     assert got[1, 27].n_hit == 25 and got[1, 27].n_items == 1 and got[2, 6].n_hit == 4 and got[3, 9].n_hit == 0 and got[4, 30].n_hit == 30
     assert got[5, 0].n_hit == got[6, 0].n_hit == 0 and got[6, 2].n_hit == 2 and got[7, 11].n_hit == 0 and got[None, 2].contaminated and not got[8, 3].contaminated
-    near = decontaminate.Index(docs(spark, rows), items).proximity(2).select("key").distinct()
+    near = decontaminate.Index(docs(spark, rows), items).proximity(2).select("key", "key2").distinct()
     assert near.count() >= 5
     kept = decontaminate.keep_clean(docs(spark, rows), items)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "5", "6", "7", "8"]
     assert decontaminate.contamination(docs(spark, []), items).count() == 0
+    named = docs(spark, rows).withColumnRenamed("lang", "key").withColumnRenamed("source", "_key").withColumnRenamed("n_chars", "wid")
+    assert sorted(map(str, decontaminate.keep_clean(named, items).collect())) == sorted(str(r) for r in named.collect() if str(r.doc_id) in ("3", "5", "7", "8") or r.doc_id == 6 and not r.text)
     assert decontaminate.contamination(docs(spark, rows), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_long_texts_and_long_lists(spark, monkeypatch):
+    """Occurrences across the pieces of a long text, with every list met."""
+    monkeypatch.setattr(decontaminate, "LONG", 0)
+    item = " ".join(f"t{k}" for k in range(14))
+    items = spark.createDataFrame([(1, item), (2, "pair here")], "item_id long, text string")
+    own = lambda n: "x y " * n
+    rows = [(1, own(497) + item + " " + own(3000) + "pair here"), (2, own(500) + item), (3, own(4000) + "pair, but not here")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs(spark, rows), items).collect()}
+    assert got == {1: (7010, 16, 2), 2: (1014, 14, 1), 3: (8004, 0, 0)}
+
+
 def test_nearest_neighbours(spark):
     import numpy as np
 
@@ -136,3 +171,46 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 20 * len(got)
     assert rabitq.nearest(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
     assert rabitq.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).count() == 2
+
+
+def exact(spark, table, k=20):
+    """The oracle: every query against every row, in SQL that DuckDB runs."""
+    import duckdb
+
+    return duckdb.sql(f"""SELECT query_id, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS r
+      FROM '{table}' q JOIN '{table}' c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE r <= {k}""").fetchall()
+
+
+def test_recall_of_all_queries_of_the_tables(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    got = rabitq.nearest(spark.read.parquet(path), F.col("vec_id") % 20 == 0).collect()
+    want = {(q, v): s for q, v, s in exact(spark, path)}
+    assert len(got) == len(want)
+    hit = [(r.query_id, r.vec_id) in want for r in got]
+    assert sum(hit) >= 0.92 * len(want)
+    assert all(abs(r.score - want[r.query_id, r.vec_id]) < 1e-6 for r in got if (r.query_id, r.vec_id) in want)
+
+
+def test_vectors_of_any_size_and_repeated_ids(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 12)) * 10.0 ** r.integers(-40, 41, (300, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, (-x[20]).tolist())] * 5 + [(1000, [3.0] + [0.0] * 11)] * 200
+    first = None
+    for shuffle in (0, 1):
+        df = spark.createDataFrame(rows[::-1] if shuffle else rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id AS cell", "vec_id AS rank").repartition(3 + shuffle)
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rabitq.nearest(df, F.col("vec_id") % 20 == 0).collect())
+        assert sorted({g[0] for g in got}) == [*range(0, 300, 20), 1000] and len(got) == 20 * 16
+        assert all(q != v for q, _, v, _ in got)
+        first = first or got
+        assert got == first
+    every, names = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    ask = {q: min(v for i, v in rows if i == q) for q in {g[0] for g in first}}
+    hit = total = 0
+    for q, v in ask.items():
+        s = np.where(names == q, -np.inf, every @ np.array(v))
+        want = set(names[np.lexsort((names, -s))[:20]].tolist())
+        hit, total = hit + len({g[2] for g in first if g[0] == q} & want), total + len(want)
+    assert hit >= 0.9 * total
