@@ -1,16 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over the words of a text and their beginnings (4 to 8 bytes, A-Z lower case), each a 64-bit hash and
-counted by level of occurrence. It is trained in numpy on the driver from confirmed toxic texts and unlabelled ones alone: with prior p of toxic
-text, the risk is p * E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - p * E_toxic[loss(-)]), and where the second
-part turns negative its gradient is reversed, so that a flexible model can't overfit the confirmed texts. Features are
-those of the confirmed texts, FEATURES at most, that the prior-corrected counts
-tie to toxic text, and an L1 step keeps their weights sparse.
-
-At most TOXIC confirmed and UNLABELLED unlabelled texts are used, those of the least hash of doc_id; scoring covers
-every row and the whole of its text. Labels of doc_ids in the held-out fold are never read. Null and empty texts have
+A linear model over the words of a text and their beginnings (4 to 8 bytes, A-Z lower case), each hashed to one of
+2 ** BITS buckets and counted by level of occurrence; a feature weighs by how few texts have it, a text by the root of
+how many features it has. It is trained in numpy on the driver from confirmed toxic texts and unlabelled ones alone,
+on all features that two of these texts or more have: with prior p of toxic text, the risk is
+p * E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - p * E_toxic[loss(-)]), and where the second part turns negative
+its gradient is reversed, so that a flexible model can't overfit the confirmed texts. An L1 step keeps weights sparse.
+
+At most TOXIC confirmed and UNLABELLED unlabelled texts are used, those of the least hash of doc_id and one for each
+doc_id (the least of those that share it); their features are hashed on the executors. Scoring covers every row and
+the whole of its text, of any length. Labels of doc_ids in the held-out fold are never read. Null and empty texts have
 no features and score by the intercept. A null doc_id is never labelled and never held out. Without any confirmed
-toxic text every score is 0. Rows that repeat a doc_id are scored one by one; of labels that disagree, toxic wins.
+toxic text every score is 0. Rows that repeat a doc_id are scored one by one; of labels that disagree, toxic wins. An
+empty table gives an empty result; further columns are ignored by scores() and kept by keep_civil(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
+from parlance.llm._cluster import plain, release, tidy
 from parlance.session import ship
 
-TOXIC, UNLABELLED, FEATURES = 2000, 6000, 1 << 16
-#: Least share of toxic texts among the texts with a feature; how strongly the reversed gradient counts.
-TELLING, BACK = 0.25, 0.1
+TOXIC, UNLABELLED, BITS = 1000, 3000, 18
+#: How strongly the reversed gradient counts; the texts whose features are unpacked at a time.
+BACK, BLOCK = 0.1, 250
 #: Occurrences in a text from which a feature counts anew.
 LEVELS = (1, 2, 4)
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -51,118 +54,100 @@ def features(column: pa.Array):
             yield first + k, table[rows[k] : rows[k + 1]].ravel()
 
 
-class Names:
-    """Quick lookup of the features that a model knows."""
-
-    def __init__(self, names: np.ndarray):
-        self.names = names
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(names >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, found: np.ndarray) -> np.ndarray:
-        """Distinct ids of the known ones: LEVELS ids a name, for one occurrence and for more."""
-        found = found[self.bits[(found >> np.uint64(44)).astype(np.int64)]]
-        if not len(found) or not len(self.names):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
-        at, n = np.unique(at[self.names[at] == found], return_counts=True)
-        return np.concatenate([at[n >= least] * len(LEVELS) + k for k, least in enumerate(LEVELS)])
-
-
-def _extract(known):
-    """(toxic, features) of sampled texts: all distinct hashes, or ids of known names."""
-
-    def run(batches):
-        names = Names(known.value) if known else None
-        for batch in batches:
-            out = [(names.find(f) if names else np.unique(f).view(np.int64)) for _, f in features(batch.column(1))]
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))], ["toxic", "found"])
-
-    return run
-
-
-def fit(toxic: list[np.ndarray], rest: list[np.ndarray], prior: float, size: int, rounds: int = 250, rate: float = 0.1, l1: float = 1e-5) -> tuple[np.ndarray, float]:
-    """The weights of the ids below size and the intercept of the model of least non-negative PU risk."""
-    rows = [*toxic, *rest]
-    at, names = np.concatenate(rows), np.arange(size)
-    lens = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), lens)
-    sure = np.arange(len(rows)) < len(toxic)
+def ids(found: np.ndarray) -> np.ndarray:
+    """The distinct features of a text: LEVELS ids a bucket, for one occurrence and for more."""
+    at, n = np.unique((found >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+    return np.concatenate([at[n >= least] * len(LEVELS) + k for k, least in enumerate(LEVELS)])
+
+
+def _extract(batches):
+    """(toxic, features) of sampled texts."""
+    for batch in batches:
+        out = [ids(f) for _, f in features(batch.column(1))]
+        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))], ["toxic", "found"])
+
+
+def fit(rows: list[np.ndarray], sure: np.ndarray, prior: float, rounds: int = 100, rate: float = 0.1, l1: float = 0.15) -> tuple[np.ndarray, float]:
+    """The weights of all features and the intercept of the model of least non-negative PU risk; sure marks the confirmed texts, l1 is shared by the texts."""
+    size, n = len(LEVELS) << BITS, len(rows)
+    df = sum((np.bincount(np.concatenate(rows[a : a + BLOCK]), minlength=size) for a in range(0, n, BLOCK)), np.zeros(size, np.int64))
+    names = np.flatnonzero(df >= 2)
+    rare = np.log((n + 1) / (df[names] + 1))
+    slot = np.full(size, -1, np.int32)
+    slot[names] = np.arange(len(names), dtype=np.int32)
+    scale = 1 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
+    blocks = []
+    for a in range(0, n, BLOCK):
+        known = [slot[r] for r in rows[a : a + BLOCK]]
+        known = [r[r >= 0] for r in known]
+        blocks.append((slice(a, min(a + BLOCK, n)), np.concatenate(known), np.array([len(r) for r in known])))
     n_p, n_u = max(1, sure.sum()), max(1, (~sure).sum())
-    in_p, in_u = (np.bincount(at[m[doc]], minlength=size) for m in (sure, ~sure))
-    often = prior * (in_p / n_p) / ((in_u + 1) / n_u) >= TELLING  # the share of toxic texts among those with the feature, as the prior tells it
-    keep = often[at]
-    slot = np.cumsum(often) - 1
-    at, doc, names = slot[at[keep]], doc[keep], names[often]
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
-        z = np.bincount(doc, w[at], len(rows)) + b
+        weight, z = w * rare, np.zeros(n)
+        for part, at, lens in blocks:
+            total = np.concatenate([[0.0], np.cumsum(weight[at])])
+            end = np.cumsum(lens)
+            z[part] = total[end] - total[end - lens]
+        z = z * scale + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         loss_no = np.logaddexp(0, z)
         clean = loss_no[~sure].mean() - prior * loss_no[sure].mean()
         g = np.where(sure, -prior * p / n_p, p / n_u)  # of the part for clean text
         g = np.where(sure, prior * (p - 1) / n_p, 0) + g if clean >= 0 else -BACK * g
-        gw, gb = np.bincount(at, g[doc], len(names)), g.sum()
+        gw, gb = np.zeros_like(w), g.sum()
+        for part, at, lens in blocks:
+            gw += np.bincount(at, np.repeat(g[part] * scale[part], lens), len(names))
+        gw *= rare
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate / (1 - 0.9**k)
-        scale = np.sqrt(v / (1 - 0.999**k)) + 1e-7
-        w -= step * m / scale
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / scale, 0)
+        spread = np.sqrt(v / (1 - 0.999**k)) + 1e-7
+        w -= step * m / spread
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / n / spread, 0)
         b -= step * mb / (np.sqrt(vb / (1 - 0.999**k)) + 1e-7)
-    out = np.zeros(size)
-    out[names] = w
+    out = np.zeros(size, np.float32)
+    out[names] = w * rare
     return out, float(b)
 
 
 def _score(model):
     def run(batches):
-        names, w, b = model.value
-        known = Names(names)
+        w, b = model.value
         for batch in batches:
-            z = np.array([float(w[known.find(f)].sum()) for _, f in features(batch.column(1))]) + b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
+            z = np.zeros(batch.num_rows)
+            for k, f in features(batch.column(1)):
+                own = ids(f)
+                z[k] = w[own].sum(dtype=np.float64) / np.sqrt(max(1, len(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z + b, -40, 40))))], ["doc_id", "score"])
 
     return run
 
 
-def _lists(df: DataFrame, known=None) -> tuple[np.ndarray, list[np.ndarray]]:
-    found = df.mapInArrow(_extract(known), "toxic int, found array<long>").toArrow()
-    lists = found["found"].combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return found["toxic"].to_numpy(zero_copy_only=False), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC, unlabelled: int = UNLABELLED):
     """The broadcast model, or None without a confirmed toxic text. usable is a condition on doc_id."""
     ship(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     told = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = told.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
     if not share:
         return None
     by = F.xxhash64("doc_id")
     sure = told.where("toxic = 1").select("doc_id").orderBy(by, "doc_id").limit(toxic).withColumn("toxic", F.lit(1))
-    rest = docs.where(usable).select("doc_id").orderBy(by, "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
-    texts = docs.select("doc_id", "text")
-    _, confirmed = _lists(texts.join(F.broadcast(sure), "doc_id").select("toxic", "text"))
-    if not confirmed:
+    rest = docs.where(usable).select("doc_id").distinct().orderBy(by, "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sure.unionByName(rest)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = chosen.select("toxic", "text").mapInArrow(tidy(_extract), "toxic int, found array<int>").toArrow()
+    marks, lists = found["toxic"].to_numpy(zero_copy_only=False) == 1, found["found"].combine_chunks()
+    if not marks.any() or marks.all():
         return None
-    names, n = np.unique(np.concatenate(confirmed).view(np.uint64), return_counts=True)
-    del confirmed
-    least = 3 if (n >= 3).any() else 1
-    names = np.sort(names[np.argsort(-n, kind="stable")[: min(FEATURES, int((n >= least).sum()))]])
-    known = context.broadcast(names)
-    marks, rows = _lists(texts.join(F.broadcast(sure.unionByName(rest)), "doc_id").select("toxic", "text"), known)
-    yes, no = [r for r, t in zip(rows, marks, strict=True) if t], [r for r, t in zip(rows, marks, strict=True) if not t]
-    if not no:
-        return None
-    w, b = fit(yes, no, min(max(share, 1e-4), 0.9), len(names) * len(LEVELS))
-    on = w.reshape(-1, len(LEVELS)).any(1)
-    return context.broadcast((names[on], w.reshape(-1, len(LEVELS))[on].ravel(), b))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    end = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    rows = [flat[b - n : b] for b, n in zip(end, np.diff(np.concatenate([[0], end])), strict=True)]
+    model = fit(rows, marks, min(max(share, 1e-4), 0.9))
+    del found, lists, flat, rows
+    release()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def held_out() -> Column:
@@ -175,7 +160,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, F.col("doc_id").isNotNull() & ~held_out())
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_score(model)), "doc_id long, score double")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -190,4 +175,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
             score = next(_score(model)([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])])).column(1).to_numpy()
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(civil, docs.schema)
+    return plain(docs).mapInArrow(tidy(civil), docs.schema)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parlance.llm import html_text, langid, toxicity
 from tests.llm.common import DOCS, ODD, docs
@@ -24,6 +26,23 @@ def test_toxic_texts_are_found(spark):
     assert sum(p for p, bad in told if not bad) <= 0.05 * len(told)
     assert toxicity.scores(docs(spark, rows[:5]), labels.limit(0)).where("score <> 0").count() == 0
     assert toxicity.scores(docs(spark, []), labels).count() == 0
+    odd = docs(spark, rows + ODD).withColumnRenamed("lang", "score").withColumnRenamed("source", "toxic").withColumnRenamed("n_chars", "a.b")
+    kept = toxicity.keep_civil(odd, labels)
+    assert kept.columns == odd.columns and toxicity.keep_civil(odd.limit(0), labels).count() == 0
+    left = kept.collect()
+    assert sum(r.doc_id is None for r in left) == 1 and sum(r.doc_id == 4 for r in left) == 2 + (rows[4][1] in [r.text for r in left])
+    assert not any("vileword" in (r.text or "") for r in left)
+
+
+def test_toxic_texts_of_the_tables_are_found_in_every_language(spark):
+    """The held-out fold, whose labels are not learnt from."""
+    sf = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = toxicity.scores(table, labels).join(labels.where(toxicity.held_out()), "doc_id").join(table.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r.lang for r in told}:
+        bad = [r.score >= 0.3 for r in told if r.lang == lang and r.toxic == 1]
+        good = [r.score >= 0.3 for r in told if r.lang == lang and r.toxic == 0]
+        assert sum(bad) >= 0.85 * len(bad) and sum(good) <= 0.02 * len(good), lang
 
 
 def test_languages_are_told_apart(spark):
@@ -35,6 +54,21 @@ def test_languages_are_told_apart(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_letters_rare_languages_and_repeated_ids(spark):
+    r = random.Random(7)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(i, text("abcdeno"), "aa", "s", 1) for i in range(3000)] + [(5000 + i, text("жшщыэя"), "bb", "s", 1) for i in range(8)]
+    rows += [(1, text("abcdeno"), "aa", "s", 1)] * 3000 + [(None, text("жшщыэя"), None, None, None), (9000, "½ ² Ⅷ ① 12", "aa", "s", 1), (9001, "_ \u0301", None, "s", 1), (9002, "Ⅷ жшщыэя жшщ", None, "s", 1)]
+    table = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "lang_pred").withColumnRenamed("n_chars", "score").repartition(3)
+    got = langid.identify(table).collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+    by = {x.doc_id: x.lang_pred for x in got}
+    assert by[9000] == by[9001] == "und" and by[9002] == by[None] == "bb" and all(by[5000 + i] == "bb" for i in range(8)) and by[17] == "aa"
+    one = langid.identify(table.where("lang = 'aa'")).select("lang_pred").distinct().collect()
+    assert {x.lang_pred for x in one} == {"aa", "und"}
+
+
 def test_main_text_of_made_up_pages_of_every_shape():
     r, m = random.Random(99), html_text.trained()
     for shape in html_text.SHAPES:
@@ -108,6 +142,36 @@ def test_pages(spark):
     assert got[2].text == got[3].text == "" and got[4].text.count("\n") == 2999 and len(got) == 8
 
 
+def test_every_stage_takes_odd_rows_and_empty_tables(spark):
+    """Null ids and texts, empty and long texts, repeated rows and columns of the operators' own names, in each stage by itself."""
+    for rows in (ODD, []):
+        table = docs(spark, rows).withColumnRenamed("source", "key").withColumn("_did", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("n_pieces", F.lit(0.5))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            got = out.collect()
+            if name != "sentencepiece":
+                assert out.columns == table.columns, name
+            kept = {None, 1, 2, 3, 4, 5, 6, 7, 8, 9, -3} if rows else set()
+            assert {r.doc_id for r in got} == kept, name
+            if name in ("toxicity", "decontamination", "sentencepiece"):
+                assert len(got) == len(rows), name
+
+
+def brute_pipeline(rows, vile, item):
+    """The pipeline in plain Python: rows (doc_id, text); a text with a vile word is toxic."""
+    from tests.llm.test_pairs import components, lower
+    from tests.llm.test_substring_dedup import brute_lines
+
+    import re
+
+    rows = [(i, t) for i, t in rows if vile not in t]
+    rows = [(i, t) for i, t in rows if (str(i), str(i)) in {(a, c) for a, _, c in components(rows, 5, 80, 100)}]
+    gone = {i: n for i, _, n in brute_lines(rows, 20, 100)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    grams = {tuple(words(item)[k : k + 10]) for k in range(len(words(item)) - 9)}
+    return {i: gone[i] for i, t in rows if not any(tuple(words(t)[k : k + 10]) in grams for k in range(len(words(t)) - 9))}
+
+
 def test_pipeline(spark, tmp_path):
     passage = " ".join(f"Shared part {k} of a passage." for k in range(12))
     item = " ".join(f"question{k}" for k in range(15))
@@ -120,5 +184,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [*range(40), 102, 103]
+    want = brute_pipeline([(i, t) for i, t, *_ in rows], "vileword", item)
+    assert sorted(want) == [*range(40), 102, 103] and {i for i, n in want.items() if n} == {103}
     assert all(r.decodes and r.n_pieces == len(r.piece_ids) for r in out)
     assert {r.doc_id: r.n_pieces for r in out}[103] < {r.doc_id: r.n_pieces for r in out}[102] * 0.8
