@@ -7,7 +7,6 @@ documents; n_chars is kept in step with text where a stage changes it. run() app
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, ngram_join, queries, substring_dedup, toxicity, unigram
 from parlance.llm._cluster import Scratch
@@ -32,8 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines and passages out of text that occurred before; the document stays."""
-    cut = substring_dedup.strip_repeats(docs, substring_dedup.LEAST_WORDS, every_line=True)
-    return cut.select(*[F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return substring_dedup.keep_rest(docs, substring_dedup.LEAST_WORDS, every_line=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
