@@ -19,7 +19,7 @@ have no units; an empty table gives an empty result. Texts have no limit of leng
 text and the numbers of its repeats. Other columns pass through untouched, whatever their names.
 
 The originals of repeated digests are written before units meet them, so that a join whose digest holds a large share
-of all units can be split.
+of all units can be split. Both joins are shuffled at every size: neither side has a bound.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import Scratch, free, own, plain, quoted, small, tidy
+from parlance.llm._cluster import Scratch, free, own, plain, quoted, tidy
 
 LEAST_WORDS, LEAST_CHARS = 20, 100
 #: Marks the number of a line, which is that of its first unit.
@@ -190,11 +190,11 @@ def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: b
     where = F.struct("late", "did", "tid", "number")
     firsts = units.groupBy("h1", "h2").agg(F.min(where).alias("o"), F.max(where).alias("z")).where("o <> z").select("h1", "h2", "o")
     firsts = s.table(firsts)
-    again = units.join(small(firsts), ["h1", "h2"]).where(where != F.col("o"))
+    again = units.join(firsts, ["h1", "h2"]).where(where != F.col("o"))
     lists = again.groupBy(*(F.col(a).alias(b) for a, b in (("late", late), ("did", did), ("tid", tid)))).agg(F.collect_set("number").alias(repeats))
     lists = s.table(lists)
     s.drop(firsts)
-    joined = docs.select("*", *key).join(small(lists), [late, did, tid], "left").select(*own(docs), repeats)
+    joined = docs.select("*", *key).join(lists, [late, did, tid], "left").select(*own(docs), repeats)
     facts = [F.lit(0).cast("long").alias(units_), F.lit(0).cast("long").alias(removed), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias(spans)]
     schema = docs.select(*own(docs), *facts).schema
     at = docs.columns.index("text")
