@@ -114,6 +114,9 @@ AUTO_CODES = ["known_troubleshooting_flow", "informational_answer", "chitchat_or
 COST_MISSED, COST_NEEDLESS = 10.0, 1.0
 RRF_K, TOP_N, TOP_K, REPLY_CHARS = 60, 8, 3, 280
 TARGET, FLOOR, HARD_QUOTA = 220, 12, 0.15
+#: Replies that are fixed values: the one of the trivial baseline and the one where drafting failed.
+CANNED = "Hey there! Sorry about the trouble. Try logging out and back in, and let us know how it goes /AI"
+HANDED_ON = "Hey there! We want to get this sorted properly - we're passing you to a teammate who can dig into it. /AI"
 MUST_STOP = "the a an to of for and or is in on with that".split()
 CLUSTER_INTENT = {
     "content_availability_issue": "content_missing_or_metadata", "album_availability_request": "content_missing_or_metadata", "music_feature_requests": "content_missing_or_metadata",

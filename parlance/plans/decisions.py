@@ -10,11 +10,11 @@ from parlance.plans.metrics import D
 BLOB = "CASE WHEN has_context THEN concat(text, ' ', context) ELSE text END"
 
 
-def heads(d) -> str:
+def heads(d, source: str | None = None, sim: str | None = None) -> str:
     """h(id, blob, intent, confidence, sim, verdict columns): messages with the outputs of the model heads, as a replay table would hold them."""
     intents = d.array(*[f"'{i}'" for i in P.INTENTS])
     codes = d.array("'troubleshooting_already_failed'", "'requires_account_specific_pii'", "NULL")
-    return f"""{messages(d)}, h AS (SELECT id, text, {BLOB} AS blob, {d.at(intents, 'id % 11 + 1')} AS intent, {D('(id * 7919) % 1000')} / 1000 AS confidence, {D('(id * 31) % 997')} / 997 AS sim,
+    return f"""{source or messages(d)}, h AS (SELECT id, text, {BLOB} AS blob, {d.at(intents, 'id % 11 + 1')} AS intent, {D('(id * 7919) % 1000')} / 1000 AS confidence, {sim or D('(id * 31) % 997') + ' / 997'} AS sim,
   id % 23 <> 0 AS parsed, id % 6 = 1 AS model_escalates, {d.at(codes, 'id % 3 + 1')} AS model_code, CASE WHEN id % 5 = 0 THEN 0.5 ELSE {D('id % 100')} / 100 END AS model_confidence FROM m)"""
 
 
@@ -43,10 +43,10 @@ def _(d):
     return f"WITH {heads(d)} SELECT id, CASE WHEN confidence < 0.1 THEN 'low_model_confidence' WHEN sim < 0.3 THEN 'no_retrieval_support' END AS gate FROM h"
 
 
-def cascade(d, tau: float = 0.0, sigma: float = 0.3) -> str:
+def cascade(d, tau: float = 0.0, sigma: float = 0.3, source: str | None = None, sim: str | None = None) -> str:
     """c(id, layer, code): the first layer that decides, and its code."""
-    return f"""{heads(d)}, r AS (SELECT *, {T.first_rule(d, 'blob', P.RULES)} AS rule, {corroborated(d)} AS joined FROM h),
-c AS (SELECT id, confidence, sim, model_confidence, parsed, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN joined IS NOT NULL THEN 'intent_rule' WHEN NOT parsed OR model_escalates THEN 'model' WHEN confidence < {tau} OR sim < {sigma} THEN 'gate' ELSE 'model' END AS layer,
+    return f"""{heads(d, source, sim)}, r AS (SELECT *, {T.first_rule(d, 'blob', P.RULES)} AS rule, {corroborated(d)} AS joined FROM h),
+c AS (SELECT id, text, intent, confidence, sim, model_confidence, parsed, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN joined IS NOT NULL THEN 'intent_rule' WHEN NOT parsed OR model_escalates THEN 'model' WHEN confidence < {tau} OR sim < {sigma} THEN 'gate' ELSE 'model' END AS layer,
   CASE WHEN rule IS NOT NULL THEN rule WHEN joined IS NOT NULL THEN joined WHEN NOT parsed THEN 'low_model_confidence' WHEN model_escalates THEN coalesce(model_code, 'requires_account_specific_pii')
     WHEN confidence < {tau} THEN 'low_model_confidence' WHEN sim < {sigma} THEN 'no_retrieval_support' ELSE 'informational_answer' END AS code FROM r)"""
 
@@ -66,7 +66,9 @@ def _(d):
 
 @both("baseline_b0")
 def _(d):
-    return f"WITH {heads(d)}, t AS (SELECT intent FROM (SELECT intent, count(*) AS n, min(id) AS f FROM h GROUP BY intent) g ORDER BY n DESC, f LIMIT 1) SELECT h.id, t.intent, 'escalate' AS route, 1.0 AS confidence FROM h, t".replace("1.0 AS", f"{D('1')} AS")
+    """The majority intent, one canned reply and always a human."""
+    return f"""WITH {heads(d)}, t AS (SELECT intent FROM (SELECT intent, count(*) AS n, min(id) AS f FROM h GROUP BY intent) g ORDER BY n DESC, f LIMIT 1)
+SELECT h.id, t.intent, {d.lit(P.CANNED)} AS reply, 'escalate' AS route, 'low_model_confidence' AS code, {D('0')} AS max_sim, {D('1')} AS confidence FROM h, t"""
 
 
 @both("baseline_b1_rules")
@@ -92,3 +94,11 @@ SELECT p.id, c.k IS NOT NULL AS hit, coalesce(c.answer, -1) AS answer FROM p LEF
 def _(d):
     key = lambda x: d.sha256(f"concat('mini|', {x})")
     return f"WITH {messages(d)}, c AS (SELECT {key('text')} AS k FROM m WHERE id % 3 <> 0) SELECT count(*) AS misses FROM (SELECT {key('text')} AS k FROM m) p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = p.k)"
+
+
+@both("draft_head")
+def _(d):
+    """Drafts from replayed answers: a fixed reply where there was none, else the answer cut to its limit and the ids among those retrieved, in order and with repeats."""
+    hits, used = d.array("'a'", "'b'", "'c'"), d.array("'b'", "'z'", "'b'", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'q' END")
+    return f"""WITH {heads(d)}, g AS (SELECT id, parsed, {T.trim(d, 'text')} AS reply, CASE WHEN id % 5 = 0 THEN {d.filter(used, 'g', "g = 'never'")} ELSE {d.filter(used, 'g', d.has(hits, 'g'))} END AS kept FROM h)
+SELECT id, NOT parsed AS failed, CASE WHEN parsed THEN {T.truncate_reply(d, 'reply')} ELSE {d.lit(P.HANDED_ON)} END AS reply, parsed AND length(reply) > {P.REPLY_CHARS} AS truncated, CASE WHEN parsed THEN {d.join('kept', ',')} ELSE '' END AS grounded_in, parsed AND id % 3 <> 0 AND {d.size('kept')} > 0 AS used_retrieval FROM g"""

@@ -8,6 +8,8 @@ from parlance.plans.common import both, examples, messages
 
 D = lambda x: f"CAST({x} AS DOUBLE)"
 N = lambda cond: f"CAST(sum(CAST({cond} AS INT)) AS BIGINT)"
+#: Pairs of the position probe, messages of the self-preference probe.
+PAIRS, TWICE = 40, 30
 
 
 def prf(d) -> str:
@@ -106,7 +108,7 @@ def _(d):
 
 @both("meaningful_gap")
 def _(d):
-    return f"""WITH {examples(d)}, a AS (SELECT system, avg({D('CAST(gold = pred AS INT)')}) AS m, {D('count(*)')} AS n FROM x GROUP BY system), c AS (SELECT system, m - 1.96 * sqrt(m * (1 - m) / n) AS lo, m + 1.96 * sqrt(m * (1 - m) / n) AS hi FROM a)
+    return f"""WITH {examples(d)}, {resample(d, D('CAST(gold = pred AS INT)'))}, c AS (SELECT system, {d.quantile('mean', 0.025)} AS lo, {d.quantile('mean', 0.975)} AS hi FROM b GROUP BY system)
 SELECT p.system AS a, q.system AS b, p.lo > q.hi OR q.lo > p.hi AS meaningful FROM c p JOIN c q ON p.system < q.system"""
 
 
@@ -182,7 +184,7 @@ def _(d):
 @both("length_bias")
 def _(d):
     words = f"{d.size(T.terms(d, 'd.text'))}"
-    return f"WITH l AS (SELECT {words} AS words, l.quality * 2 + l.toxic AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id), {spearman('l', 'words', 'score')} SELECT n, rho, abs(rho) > 0.4 AS biased FROM z"
+    return f"WITH l AS (SELECT {words} AS words, l.quality * 2 + l.toxic AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id), {spearman('l', 'words', 'score')} SELECT n, CASE WHEN n >= 10 THEN rho END AS rho, CASE WHEN n >= 10 THEN abs(rho) > 0.4 END AS biased, CASE WHEN n < 10 THEN 'too few' END AS note FROM z"
 
 
 @both("full_pass_on_sample")
@@ -208,8 +210,10 @@ def _(d):
 
 @both("judge_means")
 def _(d):
-    return f"""WITH {raters(d)}, j AS (SELECT {d.at(d.array("'groundedness'", "'actionability'", "'brand_fit'", "'safety'"), 'id % 4 + 1')} AS axis, CASE WHEN id % 10 <> 0 THEN a END AS score, b >= 4 AS send FROM p)
-SELECT axis, count(score) AS n, round(avg({D('score')}), 6) AS mean, round(avg({D('CAST(send AS INT)')}), 6) AS send_rate FROM j GROUP BY axis"""
+    """Scored axes and, as one more, whether a reply may go out unedited; means, and intervals of their resamples."""
+    axes = d.array("'groundedness'", "'actionability'", "'brand_fit'", "'safety'")
+    return f"""WITH {raters(d)}, x AS (SELECT {d.at(axes, 'id % 4 + 1')} AS system, id, {D('a')} AS score FROM p WHERE id % 10 <> 0 UNION ALL SELECT 'send_unedited', id, {D('CAST(b >= 4 AS INT)')} FROM p), {resample(d, 'score')}
+SELECT f.system AS axis, f.n, round(f.mean, 6) AS mean, c.lo, c.hi FROM f JOIN (SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi FROM b GROUP BY system) c ON f.system = c.system"""
 
 
 @both("judge_clamp")
@@ -226,12 +230,22 @@ SELECT round({D('sum(k)')} / sum(n), 6) AS rate, {N('k = n')} AS full_count FROM
 
 @both("flip_rate")
 def _(d):
-    return f"WITH {raters(d)}, v AS (SELECT id, CASE WHEN a >= b THEN 'A' ELSE 'B' END AS first, CASE WHEN a >= b + id % 2 THEN 'B' ELSE 'A' END AS swapped FROM p) SELECT count(*) AS n, round(avg({D('CAST(first = swapped AS INT)')}), 6) AS inconsistent FROM v"
+    """Seeded pairs of answered messages, judged in both orders; a pair is consistent if the letter of the winner flips with the order."""
+    seed = d.hex32(f"concat({d.text('x.id')}, '-20260909')")
+    return f"""WITH {examples(d)}, {raters(d)}, s AS (SELECT x.id, p.a, p.b, {seed} AS h FROM x JOIN p ON x.id = p.id WHERE x.system = 3 AND {T.trim(d, 'x.reply')} <> '' ORDER BY h, x.id LIMIT {2 * PAIRS}),
+o AS (SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS k FROM s), v AS (SELECT CASE WHEN l.a >= r.a THEN 'A' ELSE 'B' END AS first, CASE WHEN r.b >= l.b THEN 'A' ELSE 'B' END AS swapped FROM o l JOIN o r ON l.k + 1 = r.k AND l.k % 2 = 0)
+SELECT count(*) AS n_pairs, coalesce({N('first = swapped')}, 0) AS inconsistent_pairs, round(avg({D('CAST(first = swapped AS INT)')}), 4) AS flip_rate FROM v"""
 
 
 @both("self_preference")
 def _(d):
-    return f"WITH {raters(d)} SELECT round(avg(CASE WHEN id % 2 = 0 THEN {D('a')} END) - avg(CASE WHEN id % 2 = 1 THEN {D('a')} END), 6) AS delta, count(*) AS n FROM p"
+    """Mean scores of two generators' replies to the same seeded messages, over the axes that were scored, and their difference."""
+    seed = d.hex32(f"concat({d.text('id')}, '-20260909')")
+    score = lambda c, k: f"CASE WHEN (id + {k}) % 7 <> 0 THEN {D(f'1 + ({c} + {k} * id) % 5')} END"
+    mean = lambda c: " + ".join(f"coalesce({score(c, k)}, 0)" for k in range(4))
+    n = " + ".join(f"CAST({score('a', k)} IS NOT NULL AS INT)" for k in range(4))
+    return f"""WITH {raters(d)}, s AS (SELECT id, a, b, {seed} AS h FROM p ORDER BY h, id LIMIT {TWICE}), m AS (SELECT ({mean('a')}) / nullif({n}, 0) AS own, ({mean('b')}) / nullif({n}, 0) AS other FROM s)
+SELECT count(own) AS n, round(avg(own), 6) AS own, round(avg(other), 6) AS other, round(avg(own) - avg(other), 6) AS delta FROM m"""
 
 
 @both("verdict_band")
@@ -308,21 +322,60 @@ SELECT m.id, coalesce(h.intent, m.intent, m.a) AS intent, coalesce(h.escalate, m
 
 @both("validate_rows")
 def _(d):
-    return f"""WITH {passes(d)}, r AS (SELECT id, a AS intent, CASE WHEN id % 13 = 0 THEN 'odd' ELSE 'easy' END AS difficulty, ea AS escalate, CASE WHEN id % 10 = 0 THEN 'informational_answer' ELSE 'refund_request' END AS reason FROM v)
-SELECT count(*) AS n, count(*) - count(DISTINCT id) AS duplicates, {N('difficulty NOT IN (' + "'easy', 'medium', 'hard'" + ')')} AS bad_difficulty, {N('escalate AND ' + ordinal('reason', P.AUTO_CODES))} AS inconsistent, count(*) BETWEEN 150 AND 250 AS in_band FROM r"""
+    thin = f"(SELECT count(*) FROM (SELECT {d.explode(d.array(*[f'{chr(39)}{i}{chr(39)}' for i in P.INTENTS]))} AS intent) i LEFT JOIN (SELECT intent, count(*) AS n FROM r GROUP BY intent) k ON i.intent = k.intent WHERE coalesce(k.n, 0) < {P.FLOOR})"
+    return f"""WITH {passes(d)}, r AS (SELECT v.id, CASE WHEN v.id % 17 = 0 THEN 'unheard_of' ELSE a END AS intent, CASE WHEN v.id % 13 = 0 THEN 'odd' ELSE 'easy' END AS difficulty, ea AS escalate,
+  CASE WHEN v.id % 10 = 0 THEN 'informational_answer' WHEN v.id % 19 = 0 THEN 'no_such_code' ELSE 'refund_request' END AS reason, CASE WHEN v.id % 23 = 0 THEN 'nobody' ELSE 'majority' END AS labeler, t.text FROM v JOIN documents t ON v.id = t.doc_id)
+SELECT count(*) AS n, count(*) - count(DISTINCT id) AS duplicates, {N('NOT ' + ordinal('intent', P.INTENTS))} AS bad_intent, {N('difficulty NOT IN (' + "'easy', 'medium', 'hard'" + ')')} AS bad_difficulty,
+  {N('NOT ' + ordinal('reason', P.ESCALATION_CODES + P.AUTO_CODES))} AS bad_reason, {N("labeler NOT IN ('human', 'majority', 'pass_a')")} AS bad_labeler, {N(f"coalesce({T.trim(d, 'text')}, '') = ''")} AS empty_text,
+  {N('escalate AND ' + ordinal('reason', P.AUTO_CODES))} AS inconsistent, count(*) BETWEEN 150 AND 250 AS in_band, max({thin}) AS thin_intents FROM r"""
+
+
+def allocation(d) -> str:
+    """al(intent, pool, short, take): the floor for every intent, the rest in proportion, then single places off the largest surplus or onto the largest deficit until the target is met or the pool is empty."""
+    places = {i: k for k, i in enumerate(P.INTENTS)}
+    place = "CASE intent " + " ".join(f"WHEN '{i}' THEN {k}" for i, k in places.items()) + " END"
+    even = "bround" if d.name == "spark" else "round_even"
+    return f"""c AS (SELECT gold AS intent, count(*) AS pool FROM x WHERE system = 0 GROUP BY gold), f AS (SELECT intent, pool, {place} AS place, least({P.FLOOR}, pool) AS floor_n FROM c),
+l AS (SELECT *, {P.TARGET} - sum(floor_n) OVER () AS remaining, sum(pool - floor_n) OVER () AS total_left FROM f),
+e AS (SELECT intent, pool, place, CAST(least(pool, floor_n + CASE WHEN remaining > 0 AND total_left > 0 THEN CAST({even}({D('remaining')} * (pool - floor_n) / nullif(total_left, 0), 0) AS BIGINT) ELSE 0 END) AS BIGINT) AS n FROM l),
+s AS (SELECT sum(n) - {P.TARGET} AS over FROM e), u AS (SELECT intent, pool, place, n, over, k FROM e CROSS JOIN s CROSS JOIN (SELECT {d.explode(d.range('0', str(P.TARGET)))} AS k) z),
+one AS (SELECT intent, over, row_number() OVER (ORDER BY CASE WHEN over > 0 THEN n - k ELSE pool - n - k END DESC, place) AS r FROM u WHERE CASE WHEN over > 0 THEN n - k > 0 ELSE pool - n - k > 0 END),
+move AS (SELECT intent, sum(CASE WHEN r <= over THEN -1 WHEN r <= -over THEN 1 ELSE 0 END) AS by FROM one GROUP BY intent),
+al AS (SELECT e.intent, e.pool, e.pool < {P.FLOOR} AS short, CAST(e.n + coalesce(move.by, 0) AS BIGINT) AS take FROM e LEFT JOIN move ON e.intent = move.intent)"""
 
 
 @both("stratified_alloc")
 def _(d):
-    return f"""WITH {examples(d)}, c AS (SELECT gold AS intent, count(*) AS pool FROM x WHERE system = 0 GROUP BY gold), f AS (SELECT intent, pool, least({P.FLOOR}, pool) AS floor_n FROM c),
-l AS (SELECT *, {P.TARGET} - sum(floor_n) OVER () AS remaining, sum(greatest(pool - floor_n, 0)) OVER () AS total_left FROM f)
-SELECT intent, pool, CAST(least(pool, floor_n + CAST(round({D('remaining')} * greatest(pool - floor_n, 0) / nullif(total_left, 0) - 1e-9) AS BIGINT)) AS BIGINT) AS take FROM l"""
+    return f"WITH {examples(d)}, {allocation(d)} SELECT intent, pool, short, take FROM al"
 
 
 @both("quota_pick")
 def _(d):
-    return f"""WITH {examples(d)}, r AS (SELECT id, gold, is_hard, row_number() OVER (PARTITION BY gold, is_hard ORDER BY id) AS k, sum(CAST(is_hard AS INT)) OVER (PARTITION BY gold) AS hard FROM x WHERE system = 0),
-p AS (SELECT *, CASE WHEN is_hard AND k <= 3 THEN 0 WHEN NOT is_hard THEN 1 ELSE 2 END AS tier FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY gold ORDER BY tier, k) AS pick FROM p) SELECT gold, id, is_hard FROM o WHERE pick <= 20"""
+    """Of each intent as many as its allocation says, in seeded order: hard ones up to the quota, at least one, then easy ones, then more hard ones."""
+    even = "bround" if d.name == "spark" else "round_even"
+    seed = d.hex32(f"concat({d.text('id')}, '-20260909')")
+    return f"""WITH {examples(d)}, {allocation(d)}, r AS (SELECT * FROM (SELECT id, gold, is_hard, row_number() OVER (PARTITION BY gold, is_hard ORDER BY {seed}, id) AS k FROM x WHERE system = 0) z WHERE k <= {P.TARGET}),
+p AS (SELECT r.*, al.take, CASE WHEN is_hard AND k <= greatest(1, {even}({D('al.take')} * {P.HARD_QUOTA}, 0)) THEN 0 WHEN NOT is_hard THEN 1 ELSE 2 END AS tier FROM r JOIN al ON r.gold = al.intent),
+o AS (SELECT *, row_number() OVER (PARTITION BY gold ORDER BY tier, k) AS pick FROM p) SELECT gold, id, is_hard FROM o WHERE pick <= take"""
+
+
+@both("label_pass")
+def _(d):
+    """A labelling pass over all documents from replayed answers: the intents in an order shuffled for each one, answers coerced to the lists, notes cut."""
+    intents = d.array(*[f"'{i}'" for i in P.INTENTS])
+    raw = d.array(*[f"'{c}'" for c in [*P.INTENTS[:4], "unknown_thing", ""]])
+    codes = d.array(*[f"'{c}'" for c in [*P.ESCALATION_CODES[:3], "made_up"]])
+    level = d.array("'easy'", "'hard'", "NULL", "'extreme'")
+    seed = d.hex32(f"concat({d.text('id')}, '-', i)")
+    return f"""WITH t AS (SELECT doc_id AS id, {d.at(raw, 'doc_id % 6 + 1')} AS raw, doc_id % 4 = 0 AS e, {d.at(codes, 'doc_id % 4 + 1')} AS code, {d.at(level, 'doc_id % 4 + 1')} AS level, text FROM documents WHERE doc_id IS NOT NULL),
+o AS (SELECT id, {d.explode(intents)} AS i FROM (SELECT DISTINCT id FROM t) q), s AS (SELECT id, {d.join(d.collect('i', f"concat(lpad({d.text(seed)}, 10, '0'), i)"), ',')} AS options FROM o GROUP BY id)
+SELECT t.id, s.options, CASE WHEN {ordinal('raw', P.INTENTS)} THEN raw ELSE 'other' END AS intent, NOT {ordinal('raw', P.INTENTS)} AS failed, coalesce(e, false) AS escalate, CASE WHEN {ordinal('code', P.ESCALATION_CODES + P.AUTO_CODES)} THEN code ELSE '' END AS reason,
+  coalesce(level, 'medium') AS difficulty, substr(coalesce(text, ''), 1, 160) AS notes FROM t JOIN s ON t.id = s.id"""
+
+
+@both("taxonomy_gate")
+def _(d):
+    return f"WITH i AS (SELECT {d.explode(d.array(*[f'{chr(39)}{x}{chr(39)}' for x in P.INTENTS]))} AS intent) SELECT count(*) AS n, count(*) BETWEEN 9 AND 13 AS in_band, {N(chr(39).join(['intent = ', 'other', '']))} = 1 AS has_other FROM i"
 
 
 @both("topup")

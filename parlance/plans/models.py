@@ -49,20 +49,25 @@ def logreg_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silhouette of k-means over the embeddings for k from 8 to 14, and which k is best."""
+    """Silhouette of k-means over the embeddings for k from 6 to 20, taken on 2000 seeded vectors at most; the highest of all, and the best within 8 to 14, which is the one to use."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     vectors = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
     judge = ClusteringEvaluator(distanceMeasure="cosine")
-    rows = [(k, float(judge.evaluate(KMeans(k=k, seed=20260909, maxIter=10).fit(vectors).transform(vectors)))) for k in (8, 10, 12, 14)]
-    best = max(rows, key=lambda r: r[1])[0]
-    return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in rows], "k int, silhouette double, best boolean")
+    sample = vectors.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("-20260909"))), "vec_id").limit(2000).cache()
+    if sample.isEmpty():
+        return spark.createDataFrame([], "k int, silhouette double, highest boolean, best boolean")
+    rows = [(k, float(judge.evaluate(KMeans(k=k, seed=20260909, maxIter=10).fit(vectors).transform(sample)))) for k in range(6, 21)]
+    for held in (sample, vectors):
+        held.unpersist()
+    highest, best = max(rows, key=lambda r: r[1])[0], max((r for r in rows if 8 <= r[0] <= 14), key=lambda r: r[1])[0]
+    return spark.createDataFrame([(k, round(s, 6), k == highest, k == best) for k, s in rows], "k int, silhouette double, highest boolean, best boolean")
 
 
 @query("agent_decide")
 def agent_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision for a batch of messages: replayed heads, the cascade, and the reply cut to its limit."""
+    """The route of a batch of messages: replayed heads and the cascade; agent_handle has all steps."""
     out = run_sql(spark, sf_dir, f"WITH {cascade(SPARK)} SELECT id, layer, code FROM c")
     return out.withColumn("route", F.when(F.col("code").isin(P.AUTO_CODES), "auto").otherwise("escalate"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from parlance.catalog import query
 from parlance.functions import patterns as P
+from parlance.functions import text as T
+from parlance.functions.dialect import DUCK, SPARK
 from parlance.operators.ordering import numbered
-from parlance.plans.common import both, messages
+from parlance.plans.common import both, messages, run_sql
 from parlance.plans.metrics import D, N
 
 
@@ -105,9 +107,19 @@ def _(d):
     return f"WITH r AS (SELECT event_id, {d.at(raw, 'event_id % 4 + 1')} AS raw FROM events), t AS (SELECT {parse} AS ts FROM r) SELECT count(*) AS n, {N('ts IS NULL')} AS bad, {d.text('max(year(ts))')} AS last_year FROM t"
 
 
-@both("data_funnel")
-def _(d):
-    return "SELECT 'documents' AS stage, count(*) AS n FROM documents UNION ALL SELECT 'labelled', count(*) FROM labels UNION ALL SELECT 'good', count(*) FROM labels WHERE quality = 1 UNION ALL SELECT 'clean', count(*) FROM labels WHERE quality = 1 AND toxic = 0"
+def funnel(d) -> str:
+    """Rows left after each step, rows dropped for each reason, and the rows of bad quality among them."""
+    return f"""WITH {messages(d)}, r AS (SELECT {T.quality_reason(d, 'text')} AS reason FROM m)
+SELECT 'stage: documents' AS step, count(*) AS n, NULL AS first_ts, NULL AS last_ts FROM documents UNION ALL SELECT 'stage: labelled', count(*), NULL, NULL FROM labels UNION ALL SELECT 'stage: good', count(*), NULL, NULL FROM labels WHERE quality = 1
+UNION ALL SELECT 'stage: clean', count(*), NULL, NULL FROM labels WHERE quality = 1 AND toxic = 0 UNION ALL SELECT concat('reason: ', coalesce(reason, 'none')), count(*), NULL, NULL FROM r GROUP BY reason"""
+
+
+@query("data_funnel", f"{funnel(DUCK)} UNION ALL SELECT concat('split: ', split), count(*), strftime(min(ts), '%Y-%m-%d'), strftime(max(ts), '%Y-%m-%d') FROM ({SPLITS}) s JOIN events e ON s.event_id = e.event_id GROUP BY split")
+def _(spark, sf_dir):
+    rows = splits(spark, sf_dir).join(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts"), "event_id")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    parts = rows.groupBy(F.concat(F.lit("split: "), "split").alias("step")).agg(F.count("*").alias("n"), day(F.min("ts")).alias("first_ts"), day(F.max("ts")).alias("last_ts"))
+    return run_sql(spark, sf_dir, funnel(SPARK)).unionByName(parts)
 
 
 @both("left_lookup")

@@ -11,7 +11,8 @@ from parlance.functions import text as T
 from parlance.functions.dialect import DUCK
 from parlance.operators.dense import nearest
 from parlance.plans.common import both
-from parlance.plans.metrics import D
+from parlance.plans.decisions import cascade
+from parlance.plans.metrics import D, ordinal
 
 DEPTH = 3 * P.TOP_N
 
@@ -146,3 +147,51 @@ def _(d):
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), n AS (SELECT {D('count(DISTINCT id)')} AS n FROM tf),
 w AS (SELECT tf.id, tf.term, (1 + ln({D('tf')})) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term CROSS JOIN n)
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w"""
+
+
+@both("cluster_profile")
+def _(d):
+    """Of each cluster its size, the 20 vectors nearest to its mean and 10 seeded ones of the rest."""
+    spread = f"SELECT vec_id, label, i, {D('x')} AS x FROM embeddings LATERAL VIEW posexplode(embedding) p AS i, x" if d.name == "spark" else f"SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, {D('unnest(embedding)')} AS x FROM embeddings"
+    seed = d.hex32(f"concat({d.text('vec_id')}, '-20260909')")
+    return f"""WITH e AS ({spread}), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i), s AS (SELECT e.label, e.vec_id, sum(e.x * c.m) AS score FROM e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY e.label, e.vec_id),
+n AS (SELECT label, count(*) AS size FROM s GROUP BY label), near AS (SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS place FROM s) r WHERE place <= 20),
+other AS (SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {seed}, vec_id) AS place FROM (SELECT s.label, s.vec_id FROM s LEFT JOIN near ON s.vec_id = near.vec_id AND s.label = near.label WHERE near.vec_id IS NULL) t) r WHERE place <= 10)
+SELECT p.label, n.size, p.kind, p.place, p.vec_id FROM (SELECT label, 'near' AS kind, place, vec_id FROM near UNION ALL SELECT label, 'random', place, vec_id FROM other) p JOIN n ON p.label = n.label"""
+
+
+@both("baseline_b1")
+def _(d):
+    """The best match of each passage by BM25, its text as reply up to the limit, and the keyword rules; without a match no reply."""
+    return f"""WITH {bm25(d)}, t AS (SELECT qid, id, score FROM ({top('s', 1)}) z WHERE score > 0), k AS (SELECT item_id, {T.first_rule(d, 'text', P.KEYWORD_RULES)} AS code FROM benchmark)
+SELECT k.item_id AS qid, t.id AS retrieved, coalesce(substr(r.text, 1, {P.REPLY_CHARS}), '') AS reply, t.id IS NOT NULL AS used_retrieval, round(coalesce(least({D('1')}, t.score / 25), 0), 6) AS max_sim,
+  CASE WHEN k.code IS NULL THEN 'auto' ELSE 'escalate' END AS route, coalesce(k.code, 'known_troubleshooting_flow') AS code, CASE WHEN k.code IS NULL THEN {D('0.5')} ELSE {D('1')} END AS confidence
+FROM k LEFT JOIN t ON k.item_id = t.qid LEFT JOIN documents r ON r.doc_id = t.id"""
+
+
+@both("agent_handle")
+def _(d):
+    """Each passage of the benchmark through all steps: search in the corpus split, the leakage guard's finding, the replayed class, a draft and the cascade."""
+    source = f"""{bm25(d)}, cut AS (SELECT floor((max(doc_id) + 1) * 0.7) AS cut FROM documents), own AS (SELECT s.* FROM s CROSS JOIN cut WHERE id < cut.cut), hits AS (SELECT qid, id, score, rank FROM ({top('own', P.TOP_K)}) z),
+hl AS (SELECT qid, max(least({D('1')}, score / 25)) AS max_sim, {d.join(d.collect(d.text('id'), 'rank'), ',')} AS retrieved, sum(CASE WHEN id >= cut.cut THEN 1 ELSE 0 END) AS leaked FROM hits CROSS JOIN cut GROUP BY qid),
+m AS (SELECT b.item_id AS id, b.text, FALSE AS has_context, '' AS context, hl.max_sim, hl.retrieved, hl.leaked FROM benchmark b LEFT JOIN hl ON b.item_id = hl.qid WHERE b.item_id IS NOT NULL)"""
+    auto = ordinal("code", P.AUTO_CODES)
+    return f"""WITH {cascade(d, source=source, sim='round(coalesce(max_sim, 0), 6)')}
+SELECT c.id, c.intent, CASE WHEN c.parsed THEN {T.truncate_reply(d, 'c.text')} ELSE {d.lit(P.HANDED_ON)} END AS reply, coalesce(m.retrieved, '') AS retrieved, CAST(coalesce(m.leaked, 0) AS BIGINT) AS leaked, round(c.sim, 4) AS max_sim, CASE WHEN {auto} THEN 'auto' ELSE 'escalate' END AS route, code, layer FROM c JOIN m ON c.id = m.id"""
+
+
+@both("tfidf_union")
+def _(d):
+    """Sublinear weights of words and word pairs of two texts or more, and of 3 to 5 characters within blank-padded words of three texts or more, each half scaled to length 1."""
+    sub = (lambda a, i, n: f"substr({a}, CAST({i} AS INT), {n})") if d.name == "spark" else (lambda a, i, n: f"substr({a}, {i}, {n})")
+    item = (lambda a, i: f"{a}[CAST({i} AS INT)]") if d.name == "spark" else (lambda a, i: f"{a}[{i} + 1]")
+    pairs = d.map(d.range("0", f"greatest({d.size('w')} - 2, 0)"), "i", f"concat({item('w', 'i')}, ' ', {item('w', 'i + 1')})")
+    grams = " UNION ALL ".join(f"SELECT id, tf, {d.explode(d.map(d.range('1', f'greatest(length(p) - {n} + 1, 1)'), 'i', sub('p', 'i', n)))} AS term FROM c WHERE length(p) >= {n} OR {n} = 3" for n in (3, 4, 5))
+    words = d.filter(T.terms(d, "text"), "v", "length(v) >= 2")
+    half = lambda k, least: f"""{k}f AS (SELECT id, term, sum(tf) AS tf FROM {k}t GROUP BY id, term), {k}d AS (SELECT term, count(*) AS df FROM {k}f GROUP BY term HAVING count(*) >= {least}),
+{k}w AS (SELECT f.id, f.term, (1 + ln({D('f.tf')})) * (ln((1 + n) / (1 + df)) + 1) AS w FROM {k}f f JOIN {k}d e ON f.term = e.term CROSS JOIN n)"""
+    out = lambda k, name: f"SELECT id, '{name}' AS half, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS total, round(max(w) / sqrt(sum(w * w)), 6) AS highest FROM {k}w GROUP BY id"
+    return f"""WITH t AS (SELECT doc_id AS id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), n AS (SELECT {D('count(*)')} AS n FROM t),
+wt AS (SELECT id, 1 AS tf, {d.explode('w')} AS term FROM t UNION ALL SELECT id, 1, {d.explode(pairs)} FROM t WHERE {d.size('w')} >= 2),
+c AS (SELECT id, concat(' ', v, ' ') AS p, count(*) AS tf FROM (SELECT doc_id AS id, {d.explode(T.terms(d, 'text'))} AS v FROM documents WHERE doc_id IS NOT NULL) z GROUP BY id, v), ct AS ({grams}),
+{half('w', 2)}, {half('c', 3)} {out('w', 'word')} UNION ALL {out('c', 'char')}"""

@@ -115,3 +115,66 @@ def test_leaks_off_any_grid_are_found(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(r.doc_id for r in catalog.queries()["ngram_overlap"](spark, str(tmp_path)).collect()) == list(range(28))
+
+
+def test_allocation_meets_the_target_and_the_quota_is_kept(spark):
+    from collections import Counter
+
+    from parlance.functions import patterns as P
+
+    rows = {r.doc_id: (P.INTENTS[r.doc_id % 11], r.doc_id % 5 == 0) for r in table(spark, "documents")}
+    pool = Counter(i for i, _ in rows.values())
+    take = {i: min(P.FLOOR, pool[i]) for i in P.INTENTS}
+    left, room = P.TARGET - sum(take.values()), {i: pool[i] - take[i] for i in P.INTENTS}
+    take = {i: min(pool[i], n + round(left * room[i] / sum(room.values()))) if sum(room.values()) else n for i, n in take.items()}
+    while sum(take.values()) > P.TARGET:
+        take[max(take, key=take.get)] -= 1
+    while sum(take.values()) < min(P.TARGET, len(rows)):
+        take[max((i for i in take if take[i] < pool[i]), key=lambda i: pool[i] - take[i])] += 1
+    got = {r.intent: r["take"] for r in catalog.queries()["stratified_alloc"](spark, SF).collect()}
+    assert got == {i: n for i, n in take.items() if pool[i]} and sum(got.values()) == min(P.TARGET, len(rows))
+    picked = catalog.queries()["quota_pick"](spark, SF).collect()
+    assert Counter(r.gold for r in picked) == {i: n for i, n in got.items() if n}
+    for i, n in got.items():
+        hard, easy = (sum(g == i and h == want for g, h in rows.values()) for want in (True, False))
+        first = min(hard, max(1, round(n * P.HARD_QUOTA)))
+        assert sum(r.gold == i and r.is_hard for r in picked) == min(hard, max(first, n - easy))
+
+
+def test_shuffled_options_hold_every_intent(spark):
+    from parlance.functions import patterns as P
+
+    rows = catalog.queries()["label_pass"](spark, SF).collect()
+    assert all(sorted(r.options.split(",")) == sorted(P.INTENTS) for r in rows)
+    assert len({r.options for r in rows}) > len(rows) // 2 and {r.intent for r in rows if r.failed} == {"other"}
+
+
+def test_characters_within_words(spark):
+    from math import log, sqrt
+
+    docs = [(r.doc_id, re.findall("[a-z0-9]+", r.text.lower())) for r in table(spark, "documents") if r.text is not None]
+    tf, df = {}, defaultdict(int)
+    for i, words in docs:
+        tf[i] = defaultdict(int)
+        for w in words:
+            p = f" {w} "
+            for n in (3, 4, 5):
+                if len(p) >= n:
+                    for k in range(len(p) - n + 1):
+                        tf[i][p[k : k + n]] += 1
+        for g in tf[i]:
+            df[g] += 1
+    got = {r.id: r for r in catalog.queries()["tfidf_union"](spark, SF).where("half = 'char'").collect()}
+    for i, _ in docs:
+        w = [(1 + log(n)) * (log((1 + len(docs)) / (1 + df[g])) + 1) for g, n in tf[i].items() if df[g] >= 3]
+        if w:
+            assert got[i].terms == len(w) and np.isclose(got[i].total, sum(w) / sqrt(sum(x * x for x in w)), atol=1e-5)
+        else:
+            assert i not in got
+
+
+def test_the_agent_answers_every_passage_from_the_corpus_split(spark):
+    rows = {r.id: r for r in catalog.queries()["agent_handle"](spark, SF).collect()}
+    assert set(rows) == {r.item_id for r in table(spark, "benchmark")}
+    assert all(r.leaked == 0 and 0 <= r.max_sim <= 1 and len(r.reply) <= 281 and r.route in ("auto", "escalate") for r in rows.values())
+    assert any(r.retrieved for r in rows.values())
