@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.plans.common import both, examples, messages
+from parlance.plans.common import PHRASES, both, brand, examples, messages
 
 D = lambda x: f"CAST({x} AS DOUBLE)"
 N = lambda cond: f"CAST(sum(CAST({cond} AS INT)) AS BIGINT)"
@@ -124,7 +124,11 @@ def _(d):
 
 @both("reply_checks")
 def _(d):
-    return f"WITH {examples(d)} SELECT system, round(avg({D('length(reply)')}), 6) AS mean_chars, {N(T.trim(d, 'reply') + ' = ' + chr(39) * 2)} AS empties, round(avg({D('CAST(sim >= 0.3 AS INT)')}), 6) AS grounded FROM x GROUP BY system"
+    """Mean length, empty replies, grounded ones, and those that say three fifths or more of what they must not."""
+    said = f"{D(d.size(d.filter('nw', 'w', d.has('rw', 'w'))))} / nullif({d.size('nw')}, 0)"
+    never = d.at(brand(d), f"(id * 3 + system) % {len(PHRASES)} + 1")
+    return f"""WITH {examples(d)}, w AS (SELECT system, reply, sim, {T.content_words(d, 'reply')} AS rw, {T.content_words(d, never)} AS nw FROM x)
+SELECT system, round(avg({D('length(reply)')}), 6) AS mean_chars, {N(T.trim(d, 'reply') + ' = ' + chr(39) * 2)} AS empties, round(avg({D('CAST(sim >= 0.3 AS INT)')}), 6) AS grounded, {N(f'coalesce({said} >= 0.6, false)')} AS violations FROM w GROUP BY system"""
 
 
 @both("pipeline_reliability")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
+from parlance.functions.dialect import SPARK
+from parlance.functions.unicode import nfkc
 from parlance.plans.common import both, messages
+from parlance.session import ship, table
 
 
 def simple(name: str, expression, column: str, source: str = "text"):
@@ -173,3 +180,11 @@ def _(d):
 c AS (SELECT CAST(sum(CAST(pred AND gold AS INT)) AS DOUBLE) AS tp, CAST(sum(CAST(pred AND NOT gold AS INT)) AS DOUBLE) AS fp, CAST(sum(CAST(NOT pred AND gold AS INT)) AS DOUBLE) AS fn, CAST(count(*) AS DOUBLE) AS n FROM p),
 a AS (SELECT *, n - tp - fp - fn AS tn FROM c), k AS (SELECT *, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (n - tp - fp) * (n - tp - fn)) / (n * n) AS pe FROM a)
 SELECT round(tp / nullif(tp + fp, 0), 6) AS p, round(tp / nullif(tp + fn, 0), 6) AS r, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((po - pe) / greatest(1e-9, 1 - pe), 6) AS kappa FROM k"""
+
+
+@query("normalise_unicode")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in NFKC, then normalised; the normaliser is Python's, so there is no SQL for it."""
+    ship(spark)
+    form = table(spark, sf_dir, "documents").select("doc_id", nfkc(F.col("text")).alias("text"))
+    return form.selectExpr("doc_id AS id", f"{T.normalise(SPARK, 'text')} AS normalised")

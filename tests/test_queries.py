@@ -73,8 +73,75 @@ def test_nfkc(spark):
     assert [r[0] for r in df.select(nfkc(df.x)).collect()] == ["fine 1", None, "plain"]
 
 
-def test_missing_subpackage_is_guarded():
-    import ast
+def test_the_rest_works_without_the_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
 
-    text = open(os.path.join(os.path.dirname(__file__), "..", "__spark_entry__.py")).read()
-    assert any(isinstance(n, ast.Try) for n in ast.walk(ast.parse(text)))
+    root = os.path.join(os.path.dirname(__file__), "..")
+    shutil.copytree(os.path.join(root, "parlance"), tmp_path / "parlance", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_broken_modules_of_the_subpackage_are_errors(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.join(os.path.dirname(__file__), "..")
+    shutil.copytree(os.path.join(root, "parlance"), tmp_path / "parlance", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "parlance" / "llm").mkdir()
+    (tmp_path / "parlance" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "parlance" / "llm" / "registry.py").write_text("import no_such_module")
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, timeout=120).returncode != 0
+
+
+def both_engines(spark, duck, sql, **tables):
+    """Rows of a query over small tables, the same in both engines."""
+    out = []
+    for name, df in tables.items():
+        spark.createDataFrame(df).createOrReplaceTempView(name)
+        duck.register(name, df)
+    for d, run in ((SPARK, lambda q: spark.sql(q).toPandas()), (DUCK, lambda q: duck.execute(q).df())):
+        out.append(run(sql(d)))
+    assert rows(out[0]) == rows(out[1])
+    return out[0]
+
+
+def test_scores_of_classes_by_hand(spark, duck):
+    from parlance.plans.metrics import prf
+
+    x = pd.DataFrame({"system": 0, "gold": list("aabbc"), "pred": list("abbba")})
+    got = both_engines(spark, duck, lambda d: f"WITH {prf(d)} SELECT * FROM prf", x=x).set_index("label")
+    assert [round(v, 4) for v in got.loc["a", ["precision", "recall", "f1"]]] == [0.5, 0.5, 0.5] and got.loc["a", "support"] == 2
+    assert [round(v, 4) for v in got.loc["b", ["precision", "recall"]]] == [0.6667, 1] and got.loc["c", "f1"] == 0 and got.loc["c", "support"] == 1
+
+
+def test_ranks_by_hand(spark, duck):
+    from parlance.plans.metrics import spearman
+
+    for a, b, rho in (([1, 1, 2, 2], [3, 3, 5, 5], 1), ([1, 2, 3, 4], [4, 3, 2, 1], -1), ([1, 1, 1], [1, 2, 3], 0)):
+        assert both_engines(spark, duck, lambda d: f"WITH {spearman('rated', 'a', 'b')} SELECT n, rho FROM z", rated=pd.DataFrame({"a": a, "b": b})).rho[0] == rho
+
+
+def test_routing_by_hand(spark, duck):
+    from parlance.plans.metrics import ROUTING
+
+    x = pd.DataFrame({"system": [0] * 4 + [1] * 10 + [2] * 10, "gold_esc": [True, True, False, False] + [True] + [False] * 19, "pred_esc": [True, False, True, False] + [False] * 10 + [True] + [False] * 9})
+    got = both_engines(spark, duck, lambda d: f"WITH {ROUTING} SELECT system, CAST(fn AS DOUBLE) AS fn, CAST(fp AS DOUBLE) AS fp, CAST(n AS DOUBLE) AS n, CAST((10 * fn + fp) AS DOUBLE) / n * 100 AS cost FROM r", x=x).set_index("system")
+    assert list(got.loc[0, ["fn", "fp", "n"]]) == [1, 1, 4] and got.loc[1, "cost"] == 100 and got.loc[2, "cost"] == 10
+
+
+def test_whole_texts_in_nfkc(spark):
+    import unicodedata
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.id: r.normalised for r in catalog.queries()["normalise_unicode"](spark, SF).collect()}
+    assert got.keys() == text.keys()
+    squeezed = lambda t: "".join(t.split())
+    plain_ones = [i for i, t in text.items() if t is not None and not any(c in t for c in "&!?.,")]
+    assert all(unicodedata.is_normalized("NFKC", t) for t in got.values() if t is not None)
+    assert all(squeezed(got[i]) == squeezed(unicodedata.normalize("NFKC", text[i])) for i in plain_ones)
