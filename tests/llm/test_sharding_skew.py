@@ -28,3 +28,14 @@ def test_left_sets_touch_few_shards_beyond_one_bucket(spark, monkeypatch):
     assert len(where["hot"]) <= 7 and all(len(of) <= 2 for t, of in where.items() if t != "hot")
     where = placed(spark, rows, shards=20)
     assert len(where["hot"]) == 6 and all(len(of) == 1 for t, of in where.items() if t != "hot")
+
+
+def test_fewer_sets_are_cut_than_by_hash_and_hardly_more_than_must_be(spark):
+    rows = ["hot"] * 700 + [f"group {k // 9}" for k in range(900)] + [f"pair {k // 2}" for k in range(300)] + [f"own {k}" for k in range(500)]
+    table = docs(spark, list(enumerate(rows)))
+    mine = sharding.cut_sets(sharding.assign(table, shards=24)).first()  # 100 rows a shard
+    hashed = table.selectExpr("crc32(encode(text, 'utf-8')) AS text_crc32", "pmod(xxhash64(doc_id), 24) AS shard")
+    other = sharding.cut_sets(hashed).first()
+    assert mine.sets == other.sets == 251 and other.cut > 200
+    must = 1  # the hot text alone holds more rows than a shard
+    assert must <= mine.cut <= must + 24  # at most one set at the end of each shard
