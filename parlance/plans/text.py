@@ -10,7 +10,7 @@ from parlance.functions import patterns as P
 from parlance.functions import text as T
 from parlance.functions.dialect import SPARK
 from parlance.functions.unicode import nfkc
-from parlance.plans.common import both, messages
+from parlance.plans.common import PHRASES, both, brand, messages
 from parlance.session import ship, table
 
 
@@ -104,8 +104,14 @@ SELECT id, coalesce({share()} >= 0.5, false) AS included, coalesce({against} >=
 
 @both("build_prompt")
 def _(d):
-    return f"""WITH {messages(d)} SELECT id, concat_ws('{chr(10) if d.name == 'duck' else chr(92) + 'n'}', CASE WHEN has_context THEN concat('Earlier: ', substr(context, 1, 200)) END,
-  concat('Message: ', substr(text, 1, 300)), concat('Known reply: ', substr(reply, 1, 240))) AS prompt FROM m"""
+    """The last three of the earlier turns, the message and the known replies, each cut to its limit."""
+    line = chr(10) if d.name == "duck" else chr(92) + "n"
+    turn = lambda k: d.at(brand(d), f"(id * {k} + 5) % {len(PHRASES)} + 1")
+    last = f"slice({d.array(*map(turn, (11, 3, 17, 23)))}, greatest(n - 3, 0) + 1, least(n, 3))" if d.name == "spark" else f"({d.array(*map(turn, (11, 3, 17, 23)))})[greatest(n - 3, 0) + 1 : n]"
+    earlier = d.join(d.map("turns", "t", "concat('Earlier: ', substr(t, 1, 200))"), line)
+    known = d.join(d.map(d.array("reply", "context"), "r", "concat('Known reply: ', substr(r, 1, 240))"), line)
+    return f"""WITH {messages(d)}, n AS (SELECT id, text, reply, context, CAST(id % 5 AS INT) AS n FROM m), t AS (SELECT *, {last} AS turns FROM n)
+SELECT id, concat_ws('{line}', CASE WHEN n > 0 THEN {earlier} END, concat('Message: ', substr(text, 1, 300)), {known}) AS prompt FROM t"""
 
 
 @both("json_extract")
