@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import release, tidy
-from parlance.session import ship
+from parlance.llm._cluster import Scratch, release, tidy
 
 EACH, TREES, DEPTH, BINS, RATE, RIDGE = 4000, 120, 4, 64, 0.15, 1.0
 #: Texts whose byte histograms are held at a time.
@@ -167,9 +166,9 @@ def _described(batches):
 def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = EACH):
     """The broadcast trees, or the score of all texts where there are not both labels. usable is a condition on doc_id."""
     spark = docs.sparkSession
-    ship(spark)
-    ids = docs.where(usable).select("doc_id").distinct()
-    told = labels.where(usable & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")).join(ids, "doc_id", "left_semi")
+    s = Scratch(spark, "quality")
+    told = labels.where(usable & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    told = s.table(told.join(docs.where(usable).select("doc_id"), "doc_id", "left_semi"))
     hash_of = F.xxhash64("doc_id")
     picked, total = [], {}
     for label in (0, 1):
@@ -189,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, each: int = EACH):
     model = grow(x, y, weight / weight.mean())
     del table, found, x
     release()
+    s.keep()
     return spark.sparkContext.broadcast(model)
 
 

@@ -8,25 +8,32 @@ p * E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - p * E_toxic[loss(-)]), and
 its gradient is reversed, so that a flexible model can't overfit the confirmed texts. An L1 step keeps weights sparse.
 
 At most TOXIC confirmed and UNLABELLED unlabelled texts are used, those of the least hash of doc_id and one for each
-doc_id (the least of those that share it); their features are hashed on the executors. Scoring covers every row and
+doc_id (the least of those that share it), with IDS features in all (the longest texts of the sample are left out beyond
+that); the features are hashed on the executors. Labels count only for doc_ids that the documents hold, so those of other
+documents change neither sample nor prior. The prior is the share of toxic ones among the labelled documents: whoever
+labels by another rule than by chance should know that it is taken for that of all texts. Scoring covers every row and
 the whole of its text, of any length. Labels of doc_ids in the held-out fold are never read. Null and empty texts have
 no features and score by the intercept. A null doc_id is never labelled and never held out. Without any confirmed
-toxic text every score is 0. Rows that repeat a doc_id are scored one by one; of labels that disagree, toxic wins. An
-empty table gives an empty result; further columns are ignored by scores() and kept by keep_civil(), whatever their names.
+toxic text among the documents, or without any other text, every score is 0, with a warning where labels confirm none. Rows
+that repeat a doc_id are scored one by one; of labels that disagree, toxic wins. An empty table gives an empty result;
+further columns are ignored by scores() and kept by keep_civil(), whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import plain, release, tidy
-from parlance.session import ship
+from parlance.llm._cluster import Scratch, plain, release, tidy
 
 TOXIC, UNLABELLED, BITS = 1000, 3000, 18
+#: Features of the texts learnt from, together; the longest texts are left out of the sample beyond.
+IDS = 24_000_000
 #: How strongly the reversed gradient counts; the texts whose features are unpacked at a time.
 BACK, BLOCK = 0.1, 250
 #: Occurrences in a text from which a feature counts anew.
@@ -61,11 +68,11 @@ def ids(found: np.ndarray) -> np.ndarray:
 
 
 def _extract(batches):
-    """(toxic, features) of sampled texts."""
+    """(doc_id, toxic, features) of sampled texts."""
     for batch in batches:
-        out = [ids(f) for _, f in features(batch.column(1))]
+        out = [ids(f) for _, f in features(batch.column(2))]
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))], ["toxic", "found"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))], ["doc_id", "toxic", "found"])
 
 
 def fit(rows: list[np.ndarray], sure: np.ndarray, prior: float, rounds: int = 100, rate: float = 0.1, l1: float = 0.15) -> tuple[np.ndarray, float]:
@@ -126,18 +133,24 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC, unlabelled: int = UNLABELLED):
-    """The broadcast model, or None without a confirmed toxic text. usable is a condition on doc_id."""
-    ship(docs.sparkSession)
-    told = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC, unlabelled: int = UNLABELLED, most_ids: int = IDS):
+    """The broadcast model, or None without a confirmed toxic text among docs. usable is a condition on doc_id."""
+    spark = docs.sparkSession
+    s = Scratch(spark, "toxicity")
+    ids = s.table(docs.where(usable).select("doc_id").distinct())
+    told = s.table(labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(ids, "doc_id", "left_semi"))
     share = told.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
     if not share:
+        warnings.warn("no label marks a document of the table as toxic; nothing is learnt", stacklevel=2)
         return None
     by = F.xxhash64("doc_id")
     sure = told.where("toxic = 1").select("doc_id").orderBy(by, "doc_id").limit(toxic).withColumn("toxic", F.lit(1))
-    rest = docs.where(usable).select("doc_id").distinct().orderBy(by, "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sure.unionByName(rest)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = chosen.select("toxic", "text").mapInArrow(tidy(_extract), "toxic int, found array<int>").toArrow()
+    rest = ids.orderBy(by, "doc_id").limit(unlabelled).withColumn("toxic", F.lit(0))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sure.unionByName(rest)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = s.table(chosen.mapInArrow(tidy(_extract), "doc_id long, toxic int, found array<int>"))
+    sizes = sample.select("doc_id", "toxic", F.size("found").alias("n")).toPandas().sort_values(["n", "doc_id", "toxic"], ignore_index=True)  # as many rows as the sample
+    longest = int(sizes["n"][sizes["n"].cumsum() <= most_ids].max()) if (sizes["n"].cumsum() <= most_ids).any() else 0
+    found = sample.where(F.size("found") <= longest).orderBy(by, "doc_id", "toxic").select("toxic", "found").toArrow()
     marks, lists = found["toxic"].to_numpy(zero_copy_only=False) == 1, found["found"].combine_chunks()
     if not marks.any() or marks.all():
         return None
@@ -147,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, toxic: int = TOXIC
     model = fit(rows, marks, min(max(share, 1e-4), 0.9))
     del found, lists, flat, rows
     release()
-    return docs.sparkSession.sparkContext.broadcast(model)
+    s.keep()
+    return spark.sparkContext.broadcast(model)
 
 
 def held_out() -> Column:
