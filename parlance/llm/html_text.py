@@ -2,7 +2,8 @@
 
 A page becomes a tree of its elements with its text blocks as leaves. Each node is content or not; a node's own
 evidence (tag, words of class, id and role, and for blocks length, links, punctuation and length against the page's longest
-block outside links, apart for pages with and without an article element) and a table of
+block outside links, footers and the like, apart for pages with and without an article element; blocks inside the first article or main
+element, and not in a part of it that is set apart, are marked as such instead) and a table of
 parent-child potentials give the joint distribution. Messages passed from the leaves up and from the root down
 (sum-product) yield each block's exact marginal; blocks with EVEN or more are the text. The potentials are trained by
 gradient ascent on the likelihood of labelled pages, which this module makes by laying out known articles among known
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from parlance.llm._cluster import tidy
 from parlance.session import ship
 
-EVEN, PAGES, ROUNDS, SEED = 0.5, 800, 200, 3
+EVEN, PAGES, ROUNDS, SEED = 0.5, 1000, 200, 3
 
 #: A tag's name; a name with its value, or what stands between two. Quantifiers that give nothing back keep both linear.
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
@@ -52,16 +53,28 @@ HINTS = "article content main post entry story body text page nav menu header ma
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 _HINT_AT = {h: len(TAGS) + 1 + k for k, h in enumerate(HINTS)}
 _BLOCK_AT = len(TAGS) + 1 + len(HINTS)
-SIZE = _BLOCK_AT + 21
+SIZE = _BLOCK_AT + 27
+#: Elements and names that set apart what is not part of the article around it, and the few of these names that also do so on an article element itself.
+APART = frozenset("nav aside footer form button select fieldset".split())
+APART_HINTS = frozenset("nav menu footer copyright legal sidebar side aside rail widget ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal gdpr comment comments reply discussion respond share social related recommended breadcrumb breadcrumbs login signup form search newsletter subscribe pagination tags meta toolbar disclaimer".split())
+_APART_AT = frozenset([_TAG_AT[t] for t in APART] + [_HINT_AT[h] for h in APART_HINTS])
+_TALK_AT = frozenset(_HINT_AT[h] for h in ("comment", "comments", "reply"))
+#: Where a block lies: in the first article element, in the main element of a page without one, in main beside the article, in a later article; whether linked or short there.
+IN_ARTICLE, IN_MAIN, BESIDE, LATER, LINKED_INSIDE, SHORT_INSIDE = range(_BLOCK_AT + 21, _BLOCK_AT + 27)
+
+
+#: Zones of a page: inside the first article, inside main, inside a later article of main, set apart from what is around.
+_FIRST, _MAIN, _NEXT, _APART = 1, 2, 3, 4
 
 
 class Tree:
     """Nodes in page order, so that parents come before children: parent, active features, and the text of blocks (None for elements)."""
 
     def __init__(self):
-        self.parent, self.active, self.text, self.mark = [], [], [], []
+        self.parent, self.active, self.text, self.mark, self.zone = [], [], [], [], []
 
-    def add(self, parent: int, active: list[int], text: str | None = None, mark: str = "") -> int:
+    def add(self, parent: int, active: list[int], text: str | None = None, mark: str = "", zone: int = 0) -> int:
+        self.zone.append(zone)
         self.parent.append(parent)
         self.active.append(active)
         self.text.append(text)
@@ -91,7 +104,7 @@ def _block(text: str, linked: int) -> list[int]:
     out.append(k + 7 + (share > 0.33) + (share > 0.8))
     if text[-1] in ".!?:…\"»”":
         out.append(k + 10)
-    if "©" in text[:40] or "copyright" in text[:80].lower():
+    if "©" in text[:40] or "copyright" in text[:80].lower() or "all rights reserved" in text[:200].lower():
         out.append(k + 11)
     return out
 
@@ -129,7 +142,7 @@ def parse(page: str) -> Tree:
     scan = Scanner(page)
     parts: list[str] = []
     linked = links = at = 0
-    n, met = len(page), False
+    n, met = len(page), set()
 
     def flush():
         nonlocal linked
@@ -137,7 +150,7 @@ def parse(page: str) -> Tree:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                tree.add(stack[-1][1], _block(text, min(linked, len(text))), text)
+                tree.add(stack[-1][1], _block(text, min(linked, len(text))), text, zone=tree.zone[stack[-1][1]])
         linked = 0
 
     def close(upto: int):
@@ -208,14 +221,32 @@ def parse(page: str) -> Tree:
         elif stack[-1][0] == "p" or (tag in HEADINGS and stack[-1][0] in HEADINGS):
             close(len(stack) - 1)
         active, mark = _cached_element(tag, attributes) if len(attributes) < 200 else _element(tag, attributes)
-        if tag in ("article", "main") and not met:
-            met, active = True, [*active, _BLOCK_AT + 20]  # the first one is rarely a comment
-        stack.append((tag, tree.add(stack[-1][1], active, None, mark)))
+        around = zone = tree.zone[stack[-1][1]]
+        if tag in ("article", "main"):
+            if around != _APART and tag not in met and _TALK_AT.isdisjoint(active):
+                met.add(tag)
+                active, zone = [k for k in active if k not in _APART_AT] + [_BLOCK_AT + 20], _FIRST if tag == "article" else _MAIN  # whatever it is called
+            elif around == _MAIN:
+                zone = _NEXT
+        if _APART_AT.intersection(active):
+            zone = _APART
+        stack.append((tag, tree.add(stack[-1][1], active, None, mark, zone)))
         is_open[tag] = is_open.get(tag, 0) + 1
     flush()
-    loose = [len(t) if t is not None and _BLOCK_AT + 7 in a else 0 for t, a in zip(tree.text, tree.active, strict=True)]
-    longest = max(loose)
-    for size, active in zip(loose, tree.active, strict=True):
+    loose = [len(t) if t is not None and _BLOCK_AT + 7 in a and z != _APART else 0 for t, a, z in zip(tree.text, tree.active, tree.zone, strict=True)]
+    longest, alone = max(loose), "article" not in met
+    for text, size, active, zone in zip(tree.text, loose, tree.active, tree.zone, strict=True):
+        if text is None:
+            continue
+        if zone == _FIRST or (zone == _MAIN and alone):  # neither its length nor its links count as elsewhere
+            active.append(IN_ARTICLE if zone == _FIRST else IN_MAIN)
+            if _BLOCK_AT + 7 not in active:
+                active.append(LINKED_INSIDE)
+            if len(text) < 32:
+                active.append(SHORT_INSIDE)
+            continue
+        if zone in (_MAIN, _NEXT):
+            active.append(BESIDE if zone == _MAIN else LATER)
         if size:
             active.append(_BLOCK_AT + (12 if met else 16) + (0 if size == longest else 1 if size * 3 >= longest else 2 if size * 10 >= longest else 3))
     return tree
@@ -314,7 +345,7 @@ class Model:
 
 
 #: What made-up pages look like: a telling layout; an article element and little else; text among links without telling names; bare text.
-SHAPES = ("laid out", "short article", "plain", "bare")
+SHAPES = ("laid out", "short article", "plain", "bare", "nested")
 
 
 def labelled_page(r: random.Random, shape: str = SHAPES[0]) -> str:
@@ -357,7 +388,7 @@ def labelled_page(r: random.Random, shape: str = SHAPES[0]) -> str:
     junk = {
         "menu": lambda: r.choice([f"<nav>{links(3, 8)}</nav>", f"<div{sure('nav', 'menu', 'breadcrumb', 'toolbar')}>{r.choice([links(3, 8), ' | '.join(link(words(1, 2)) for _ in range(5))])}</div>", f"<ul{sure('menu', 'nav')}>{links(2, 6)[4:]}"]),
         "header": lambda: r.choice([f"<header>{r.choice([f'<h1>{words(1, 3)}</h1>', link(words(1, 3)), ''])}<p>{words(2, 8)}</p></header>", f"<div{sure('header', 'masthead', 'top')}>{r.choice([prose(), link(words(1, 3))])}</div>"]),
-        "footer": lambda: r.choice([f"<footer>{r.choice(['&copy; ', 'Copyright ', ''])}{prose()}</footer>", f"<div{sure('footer', 'bottom', 'copyright', 'legal')}>{r.choice(['&copy; ', ''])}{prose()}</div>"]),
+        "footer": lambda: r.choice([f"<footer>{r.choice(['&copy; ', 'Copyright ', ''])}{r.choice([prose(), prose(), words(20, 120) + '.'])}</footer>", f"<div{sure('footer', 'bottom', 'copyright', 'legal')}>{r.choice(['&copy; ', ''])}{prose()}</div>"]),
         "sidebar": lambda: r.choice([f"<aside>{r.choice([prose(), '<h3>' + words(1, 3) + '</h3>' + links(3, 6)])}</aside>", f"<div{sure('sidebar', 'side', 'rail', 'widget', 'related', 'recommended')}>{r.choice(['', '<h3>' + words(1, 4) + '</h3>'])}{r.choice([prose(), links(3, 6)])}</div>"]),
         "ad": lambda: f"<{'div'}{sure('ad', 'ads', 'advert', 'advertisement', 'banner', 'promo', 'sponsor', 'sponsored')}>{prose()}</div>",
         "notice": lambda: f"<{r.choice(['div', 'section'])}{sure('cookie', 'consent', 'notice', 'alert', 'popup', 'modal', 'gdpr')}>{prose()}{r.choice(['', '<button>' + word() + '</button>'])}</".replace("</", "</", 1) + "div>",
@@ -380,6 +411,28 @@ def labelled_page(r: random.Random, shape: str = SHAPES[0]) -> str:
         tail = "".join(marked(k) for k in ("comments", "footer", "sidebar", "menu") if r.random() < 0.2)
         head = "".join(marked(k) for k in ("header", "menu", "notice") if r.random() < 0.2)
         return page(head + f'<{tag}{named("post", "entry", word())} data-label="yes">' + "".join(inside) + f"</{tag}>" + tail)
+    copyright_line = lambda: r.choice([f"&copy; {words(1, 6)}", f"{words(1, 3)}. All rights reserved.", "All rights reserved.", f"Copyright {words(2, 8)}."])
+    last = lambda: no(r.choice([f"<footer>{words(3, 20)}.</footer>", f"<footer><p>{words(20, 160)}.</p></footer>", f"<footer>{words(20, 160)}</footer>", f"<div>{copyright_line()}</div>", f"<p>{copyright_line()}</p>", f"<footer>{copyright_line()}</footer>"]))
+    if shape == "nested":  # an article in main or in a division, often a single sentence; its own name may lie; readers' comments are articles too
+        linked = lambda: "<ul>" + "".join(f"<li>{link(words(2, 12))}{r.choice(['', ' ' + words(1, 8)])}{shut('li')}" for _ in range(r.randint(1, 6))) + "</ul>"
+        inside = [r.choice(["", "", f"<h1>{words(1, 10)}</h1>", f"<header><h1>{words(2, 10)}</h1></header>"])]
+        for _ in range(r.choice([1, 1, 1, 2, 3, 6])):
+            inside.append(r.choice([content, lambda: f"<p>{long()}{shut('p')}", lambda: f"<p>{long()}{shut('p')}", linked, lambda: f"<p>{link(words(4, 30))}{r.choice(['', '.'])}{shut('p')}", long])())
+            if r.random() < 0.1:
+                inside.append(marked(r.choice(["ad", "share", "form", "sidebar", "menu"])))
+        lie = f' class="{r.choice(sorted(APART_HINTS - {"comment", "comments", "reply"}))}-{word()}"'
+        tag = r.choice(["article", "article", "article", "main"])
+        text = f'<{tag}{r.choice(["", "", named("post", "entry", "story", word()), lie])} data-label="yes">' + "".join(inside) + f"</{tag}>"
+        talk = [no(f"<article{named('comment', 'reply')}>{r.choice(['', '<b>' + word() + '</b>'])}<p>{paragraph()}</p></article>") for _ in range(r.choice([0, 0, 0, 1, 3, 5]))] if tag == "article" else []
+        talk = [no(f"<{(t := r.choice(['section', 'div']))}{sure('comments', 'discussion')}>" + "".join(talk) + f"</{t}>")] if talk and r.random() < 0.4 else talk
+        near = [marked(k) for k in ("sidebar", "menu", "ad", "share") if r.random() < 0.15]
+        if tag == "article" and r.random() < 0.6:
+            text = f"<main{named('page', 'content', 'main', 'wrapper')}>" + text + "".join(talk + near) + "</main>"
+        elif r.random() < 0.7:
+            text = f"<div{sure('content', 'page', 'main', 'container', 'body')}>" + text + "".join(near) + "</div>" + "".join(talk)
+        else:
+            text += "".join(talk)
+        return page("".join(marked(k) for k in ("header", "menu", "notice") if r.random() < 0.2) + text + r.choice(["", "", last(), last(), marked("footer")]))
     if shape in ("plain", "bare"):
         tag = r.choice(["p", "p", "div"])
         one = lambda: f"<{tag}>{long()}{shut(tag)}" if shape == "plain" else long() + r.choice(["<br><br>", "<p>", "<hr>"])
@@ -387,7 +440,7 @@ def labelled_page(r: random.Random, shape: str = SHAPES[0]) -> str:
         text = f'<div data-label="yes">{text}</div>' if r.random() < 0.3 else f'<center data-label="yes">{text}</center>' if shape == "bare" else f'<div data-label="yes">{r.choice(["<div>", ""])}{text}</div>'
         menu = lambda: no(r.choice([links(2, 6), "".join(f"<div>{link(words(1, 3))}</div>" for _ in range(r.randint(2, 5))), "<p>" + " | ".join(link(words(1, 2)) for _ in range(r.randint(2, 6))) + "</p>", " ".join(link(words(1, 2)) for _ in range(3)), f"<table><tr><td>{link(words(1, 2))}<td>{link(words(1, 2))}</table>"]))
         foot = lambda: no(r.choice([f"<p>&copy; {words(1, 6)}</p>", f"<div>Copyright {words(2, 8)}.</div>", f"<hr><small>&copy; {words(2, 6)}</small>"]))
-        return page(r.choice(["", "", menu()]) + text + r.choice(["", menu()]) + r.choice(["", "", foot()]))
+        return page(r.choice(["", "", menu()]) + text + r.choice(["", menu()]) + r.choice(["", "", foot(), last()]))
     body = [r.choice([f"<h1>{words(2, 12)}</h1>", f"<h1>{words(2, 12)}</h1>", f"<header><h1>{words(2, 12)}</h1></header>", ""])]
     for _ in range(r.choice([1, 2, 4, 8, 15])):
         body.append(content())
@@ -429,7 +482,7 @@ def _bare(tree: Tree) -> Tree:
         if tree.mark[k] == "no":
             new[k] = new[tree.parent[k]]
         else:
-            new[k] = out.add(new[tree.parent[k]] if k else -1, tree.active[k], tree.text[k], tree.mark[k])
+            new[k] = out.add(new[tree.parent[k]] if k else -1, tree.active[k], tree.text[k], tree.mark[k], tree.zone[k])
     return out
 
 
