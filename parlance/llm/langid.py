@@ -1,10 +1,11 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
 Bytes (A-Z lower case) are embedded in EMBED dimensions; filters of several widths pass over a window of WINDOW bytes,
-each keeps its largest response, and softmax over these gives the languages. Training takes DOCS texts at most and
-PIECES windows of each: of the LANGS most frequent languages, as many texts of each, those of the least hash of doc_id
-(one for each doc_id and language, the least of those that share it). Prediction cuts the whole text, of any length,
-into windows, padded with blanks at its end, and averages their probabilities weighted by the letters in them.
+each keeps its largest response, and softmax over these gives the languages. Training takes PIECES
+windows of each of some DOCS texts: as many texts of each language, and at least LEAST, those of the least hash of doc_id
+(one for each doc_id and language, the least of those that share it). Every language there is is learnt, so both the sample and
+the softmax layer grow with the number of languages alone. Prediction cuts the whole text, of any length, into
+windows, padded with blanks at its end, and averages their probabilities weighted by the letters in them.
 
 Only text and lang of usable rows are learnt from; lang, source and doc_id never enter a prediction. A text that is
 null or has no letters (Unicode category L: numerals such as ½ or Ⅷ are none) is `und` with score 0, and so is every
@@ -20,11 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._cluster import tidy
-from parlance.session import ship
+from parlance.llm._cluster import Scratch, small, tidy
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
-DOCS, LANGS, PIECES, EPOCHS, BATCH = 4000, 200, 3, 6, 128
+DOCS, LEAST, PIECES, EPOCHS, BATCH = 4000, 4, 3, 6, 128
+#: Steps of the training a language at least, so that many languages are learnt too.
+STEPS = 6
 _LETTER = B.table([*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
@@ -125,12 +127,17 @@ def _samples(batches):
 
 def train(docs: DataFrame, usable: Column, most: int = DOCS):
     """(languages, network) from at most so many usable rows, or None if there are none."""
-    ship(docs.sparkSession)
+    s = Scratch(docs.sparkSession, "langid")
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
-    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(each))
-    chosen = F.broadcast(ids.where(F.col("k") <= max(1, most // max(1, len(langs)))).select("lang", "doc_id"))
+    ids = s.table(rows.select("lang", F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    sizes = s.table(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(LEAST, most // max(1, sizes.count()))
+    place = F.xxhash64("doc_id")
+    # only the least hashes meet in one task: several times as many as are wanted, whatever the language's share of the corpus
+    near = ids.join(small(sizes), "lang").where(F.pmod(place, F.lit(1 << 30)) < F.lit(16 * each + 64) / F.col("n") * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id")
+    chosen = s.table(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "doc_id"))
+    chosen = small(chosen)
     texts = rows.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     found = texts.select("lang", "text").mapInArrow(tidy(_samples), "lang string, piece binary").toArrow()
     if not found.num_rows:
@@ -141,13 +148,16 @@ def train(docs: DataFrame, usable: Column, most: int = DOCS):
     langs, y = np.unique(names[order], return_inverse=True)
     counts = np.bincount(y)
     often = np.repeat(np.arange(len(y)), -(-counts.max() // (4 * counts))[y])  # so that rare languages are seen a quarter as often as the most frequent one
-    return langs.tolist(), Network(len(langs)).fit(x[order][often].astype(np.int64), y[often])
+    s.keep()
+    steps = -(-len(often) // BATCH)
+    return langs.tolist(), Network(len(langs)).fit(x[order][often].astype(np.int64), y[often], max(EPOCHS, -(-STEPS * len(langs) // steps)))
 
 
 def _predict(model, most: int = 32):
     def run(batches):
         langs, net = model.value
-        for batch in batches:
+        step = max(1, (1 << 22) // len(langs))  # rows whose probabilities are held at a time
+        for batch in (b.slice(a, step) for b in batches for a in range(0, max(1, b.num_rows), step)):
             n = batch.num_rows
             data, offsets = B.texts(batch.column(1))
             total, weight = np.zeros((n, len(langs))), np.zeros(n)
