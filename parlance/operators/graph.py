@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.tables import cut
+
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
     """(node, hop): everything within so many hops of the seeds, either way along edges, with its least hop."""
-    ways = _cut(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).distinct())
-    level = seen = _cut(seeds.toDF("node").distinct().withColumn("hop", F.lit(0)))
+    ways = cut(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).distinct())
+    level = seen = cut(seeds.toDF("node").distinct().withColumn("hop", F.lit(0)))
     for k in range(1, hops + 1):
         after = level.join(ways, level.node == ways.a).select(F.col("b").alias("node")).distinct()
-        level = _cut(after.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)))
+        level = cut(after.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -42,21 +43,10 @@ def best_branches(tweets: DataFrame, edges: DataFrame, brand: str, depth: int =
         on = live.alias("w").join(edges.alias("e"), (F.col("w.node") == F.col("e.parent")) & ~F.array_contains("w.path", F.col("e.child")))
         after = mark(on.select("w.root", F.col("e.child").alias("node"), F.array_append("w.path", F.col("e.child")).alias("path"), "w.has_brand"))
         leaves.append(live.join(on.select("w.root", "w.path").distinct(), ["root", "path"], "left_anti"))
-        live = _cut(after)
+        live = cut(after)
         if live.isEmpty():
             break
     else:
         leaves.append(live)
     every = reduce(DataFrame.unionByName, leaves).select("root", F.array_join("path", " ").alias("path"), "has_brand", F.size("path").alias("n"))
     return every.groupBy("root").agg(F.max(F.struct("has_brand", "n", "path")).alias("top")).select("root", "top.path", "top.has_brand")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir, or in local mode without one in a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="parlance-"))
-    return df.checkpoint()

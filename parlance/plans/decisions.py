@@ -10,11 +10,11 @@ from parlance.plans.metrics import D
 BLOB = "CASE WHEN has_context THEN concat(text, ' ', context) ELSE text END"
 
 
-def heads(d, source: str | None = None, sim: str | None = None) -> str:
+def heads(d, source: str | None = None, sim: str | None = None, intent: str | None = None, confidence: str | None = None) -> str:
     """h(id, blob, intent, confidence, sim, verdict columns): messages with the outputs of the model heads, as a replay table would hold them."""
     intents = d.array(*[f"'{i}'" for i in P.INTENTS])
     codes = d.array("'troubleshooting_already_failed'", "'requires_account_specific_pii'", "NULL")
-    return f"""{source or messages(d)}, h AS (SELECT id, text, {BLOB} AS blob, {d.at(intents, 'id % 11 + 1')} AS intent, {D('(id * 7919) % 1000')} / 1000 AS confidence, {sim or D('(id * 31) % 997') + ' / 997'} AS sim,
+    return f"""{source or messages(d)}, h AS (SELECT id, text, {BLOB} AS blob, {intent or d.at(intents, 'id % 11 + 1')} AS intent, {confidence or D('(id * 7919) % 1000') + ' / 1000'} AS confidence, {sim or D('(id * 31) % 997') + ' / 997'} AS sim,
   id % 23 <> 0 AS parsed, id % 6 = 1 AS model_escalates, {d.at(codes, 'id % 3 + 1')} AS model_code, CASE WHEN id % 5 = 0 THEN 0.5 ELSE {D('id % 100')} / 100 END AS model_confidence FROM m)"""
 
 
@@ -43,9 +43,9 @@ def _(d):
     return f"WITH {heads(d)} SELECT id, CASE WHEN confidence < 0.1 THEN 'low_model_confidence' WHEN sim < 0.3 THEN 'no_retrieval_support' END AS gate FROM h"
 
 
-def cascade(d, tau: float = 0.0, sigma: float = 0.3, source: str | None = None, sim: str | None = None) -> str:
+def cascade(d, tau: float = 0.0, sigma: float = 0.3, source: str | None = None, sim: str | None = None, intent: str | None = None, confidence: str | None = None) -> str:
     """c(id, layer, code): the first layer that decides, and its code."""
-    return f"""{heads(d, source, sim)}, r AS (SELECT *, {T.first_rule(d, 'blob', P.RULES)} AS rule, {corroborated(d)} AS joined FROM h),
+    return f"""{heads(d, source, sim, intent, confidence)}, r AS (SELECT *, {T.first_rule(d, 'blob', P.RULES)} AS rule, {corroborated(d)} AS joined FROM h),
 c AS (SELECT id, text, intent, confidence, sim, model_confidence, parsed, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN joined IS NOT NULL THEN 'intent_rule' WHEN NOT parsed OR model_escalates THEN 'model' WHEN confidence < {tau} OR sim < {sigma} THEN 'gate' ELSE 'model' END AS layer,
   CASE WHEN rule IS NOT NULL THEN rule WHEN joined IS NOT NULL THEN joined WHEN NOT parsed THEN 'low_model_confidence' WHEN model_escalates THEN coalesce(model_code, 'requires_account_specific_pii')
     WHEN confidence < {tau} THEN 'low_model_confidence' WHEN sim < {sigma} THEN 'no_retrieval_support' ELSE 'informational_answer' END AS code FROM r)"""

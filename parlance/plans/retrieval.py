@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.functions.dialect import DUCK
+from parlance.functions.dialect import DUCK, SPARK
+from parlance.operators import bm25 as bm25_index
+from parlance.operators import hybrid as fuse
+from parlance.operators import textvec
 from parlance.operators.dense import nearest
-from parlance.plans.common import both
+from parlance.operators.guards import none_held
+from parlance.operators.tables import once, stamp
+from parlance.plans.common import PHRASES, both, brand, messages, run_sql
 from parlance.plans.decisions import cascade
 from parlance.plans.metrics import D, ordinal
+from parlance.session import table
 
 DEPTH = 3 * P.TOP_N
 
 
-def bm25(d) -> str:
-    """s(qid, id, score): BM25 of each benchmark passage against the documents that share a term with it, by postings."""
+#: The first 70 in 100 documents by id are the corpus, the rest the dev and test splits.
+CUT = "(SELECT floor((max(doc_id) + 1) * 0.7) FROM documents)"
+
+
+def bm25(d, asked: str = "SELECT item_id AS qid, text FROM benchmark", where: str = "") -> str:
+    """s(qid, id, score): BM25 of each text of asked(qid, text) against the documents that share a term with it, term by term. The oracle's form; the engine searches the stored index."""
     k1, b, eps = D("1.5"), D("0.75"), D("0.25")
-    return f"""dt AS (SELECT doc_id AS id, {d.explode(T.terms(d, 'text'))} AS term FROM documents WHERE doc_id IS NOT NULL),
-qt AS (SELECT item_id AS qid, term, count(*) AS q FROM (SELECT item_id, {d.explode(T.terms(d, 'text'))} AS term FROM benchmark) u GROUP BY item_id, term),
+    return f"""dt AS (SELECT doc_id AS id, {d.explode(T.terms(d, 'text'))} AS term FROM documents WHERE doc_id IS NOT NULL {where}),
+qt AS (SELECT qid, term, count(*) AS q FROM (SELECT qid, {d.explode(T.terms(d, 'text'))} AS term FROM ({asked}) a) u GROUP BY qid, term),
 tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY id, term), dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY id),
 st AS (SELECT {D('count(*)')} AS n, avg({D('dl')}) AS avgdl FROM dl), df AS (SELECT term, {D('count(*)')} AS df FROM tf GROUP BY term),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), mean AS (SELECT avg(idf) AS m FROM raw),
@@ -30,6 +40,39 @@ s AS (SELECT qt.qid, tf.id, sum(qt.q * idf.idf * tf.tf * ({k1} + 1) / (tf.tf + {
   FROM qt JOIN tf ON qt.term = tf.term JOIN idf ON idf.term = qt.term JOIN dl ON dl.id = tf.id CROSS JOIN st GROUP BY qt.qid, tf.id)"""
 
 
+def stored(spark: SparkSession, sf_dir: str, split: bool = False) -> dict:
+    """The index of all documents, or of the corpus split; built once for all queries of an application."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if split:
+        docs = docs.where(F.col("doc_id") < F.lit(int(((docs.agg(F.max("doc_id").alias("m")).first()["m"] or 0) + 1) * 0.7)))
+    key = (stamp(spark, f"{sf_dir.rstrip('/')}/documents.parquet"), split)
+    return bm25_index.index(docs, key) | {"key": key}
+
+
+def stored_vectors(spark: SparkSession, found: dict) -> DataFrame:
+    """The vectors of the documents of an index, made once too."""
+    return once(spark, ("vectors", *found["key"]), lambda: {"vectors": textvec.vectors(found["counts"], found["terms"], found["n"])})["vectors"]
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def text_vectors(d) -> str:
+    """vec(kind, id, dim, x): vectors of documents (d) and queries (q) by the terms of bm25(), components other than zero."""
+    at, x = textvec.drawn(d, "term", "k")
+    return f"""pr AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf, {at} AS dim, {x} AS x FROM df CROSS JOIN st CROSS JOIN (SELECT {d.explode(d.range('0', str(textvec.EACH - 1)))} AS k) ks WHERE df >= {textvec.MIN_DF}),
+tx AS (SELECT kind, c.id, p.dim, sum((1 + ln({D('c.tf')})) * p.idf * p.x) AS x FROM (SELECT 'd' AS kind, id, term, tf FROM tf UNION ALL SELECT 'q', qid, term, q FROM qt WHERE qid IS NOT NULL) c JOIN pr p ON c.term = p.term GROUP BY kind, c.id, p.dim),
+vec AS (SELECT tx.kind, tx.id, tx.dim, tx.x / l.l AS x FROM tx JOIN (SELECT kind, id, sqrt(sum(x * x)) AS l FROM tx GROUP BY kind, id) l ON tx.kind = l.kind AND tx.id = l.id WHERE l.l > 0)"""
+
+
+@query("text_vectors", f"WITH {bm25(DUCK)}, {text_vectors(DUCK)} SELECT id, CAST(dim AS INT) AS dim, round(x, 6) + 0 AS x FROM vec WHERE kind = 'd' AND abs(x) > 1e-9")
+def _(spark, sf_dir):
+    found = stored(spark, sf_dir)
+    rows = textvec.projected(found["counts"], found["terms"], found["n"]).where(F.abs("x") > 1e-9)
+    return rows.select("id", "dim", (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
 def top(source: str, k: int) -> str:
     return f"SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM {source}) r WHERE rank < {k}"
 
@@ -40,19 +83,19 @@ def dense(d) -> str:
 v AS (SELECT q.qid, c.id, {d.dot('q.qe', 'c.embedding')} AS score, q.ql, c.label FROM q CROSS JOIN c)"""
 
 
-@both("bm25_scores")
-def _(d):
-    return f"WITH {bm25(d)} SELECT qid, id, round(score, 4) AS score FROM s"
+@query("bm25_scores", f"WITH {bm25(DUCK)} SELECT qid, id, round(score, 4) AS score FROM s")
+def _(spark, sf_dir):
+    return bm25_index.scores(stored(spark, sf_dir), passages(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
-@both("bm25_topk")
-def _(d):
-    return f"WITH {bm25(d)} SELECT qid, id, rank, round(score, 4) AS score FROM ({top('s', DEPTH)}) t"
+@query("bm25_topk", f"WITH {bm25(DUCK)} SELECT qid, id, rank, round(score, 4) AS score FROM ({top('s', DEPTH)}) t")
+def _(spark, sf_dir):
+    return bm25_index.search(stored(spark, sf_dir), passages(spark, sf_dir), DEPTH).select("qid", "id", "rank", F.round("score", 4).alias("score"))
 
 
-@both("bm25_top1")
-def _(d):
-    return f"WITH {bm25(d)} SELECT qid, id, round(least({D('1')}, score / 25), 6) AS confidence FROM ({top('s', 1)}) t WHERE score > 0"
+@query("bm25_top1", f"WITH {bm25(DUCK)} SELECT qid, id, round(least({D('1')}, score / 25), 6) AS confidence FROM ({top('s', 1)}) t WHERE score > 0")
+def _(spark, sf_dir):
+    return bm25_index.search(stored(spark, sf_dir), passages(spark, sf_dir), 1).where("score > 0").select("qid", "id", F.round(F.least(F.lit(1.0), F.col("score") / 25), 6).alias("confidence"))
 
 
 def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -73,29 +116,57 @@ def _(spark, sf_dir):
     return dense_hits(spark, sf_dir, 10)[0].select("qid", "id", "rank")
 
 
-def fused(d) -> str:
-    """f(qid, id, bm25_rank, dense_rank, rrf, sim): both channels of the documents; the dense one compares the length of every passage with that of every document as a stand-in for vectors.
-
-    Lengths are taken before the join, and the limit is on the row number itself, so that Spark keeps the best of each partition before it shuffles."""
-    sim = f"{D('1')} / (1 + abs(b.n - t.n) / {D('100')})"
-    return f"""{bm25(d)}, lex AS ({top('s', DEPTH)}), dn AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL), bn AS (SELECT item_id, length(text) AS n FROM benchmark WHERE item_id IS NOT NULL),
-near AS (SELECT b.item_id AS qid, t.doc_id AS id, {sim} AS score FROM dn t CROSS JOIN bn b),
-den AS (SELECT qid, id, score, r - 1 AS rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM near) z WHERE r <= {DEPTH}),
-f AS (SELECT coalesce(l.qid, e.qid) AS qid, coalesce(l.id, e.id) AS id, l.rank AS bm25_rank, e.rank AS dense_rank, e.score AS sim,
+def fused(d, asked: str = "SELECT item_id AS qid, text FROM benchmark", where: str = "") -> str:
+    """f(qid, id, bm25_rank, dense_rank, rrf): both channels, near(qid, id, score) the inner products of text vectors. The oracle's form."""
+    return f"""{bm25(d, asked, where)}, {text_vectors(d)}, lex AS ({top('s', DEPTH)}),
+near AS (SELECT q.id AS qid, c.id, sum(q.x * c.x) AS score FROM vec q JOIN vec c ON q.kind = 'q' AND c.kind = 'd' AND q.dim = c.dim GROUP BY q.id, c.id), den AS ({top('near', DEPTH)}),
+f AS (SELECT coalesce(l.qid, e.qid) AS qid, coalesce(l.id, e.id) AS id, l.rank AS bm25_rank, e.rank AS dense_rank,
   coalesce({D('1')} / ({P.RRF_K} + l.rank), 0) + coalesce({D('1')} / ({P.RRF_K} + e.rank), 0) AS rrf FROM lex l FULL OUTER JOIN den e ON l.qid = e.qid AND l.id = e.id)"""
 
 
-@both("rrf_fuse")
-def _(d):
-    return f"WITH {fused(d)} SELECT qid, id, coalesce(bm25_rank, -1) AS bm25_rank, coalesce(dense_rank, -1) AS dense_rank, round(rrf, 9) AS rrf FROM f"
+def hybrid(d, asked: str = "SELECT item_id AS qid, text FROM benchmark", where: str = "") -> str:
+    """z(qid, id, final, rank): the fused list ranked again by how well the document's reply resolves and how recent it is. The oracle's form."""
+    return f"""{fused(d, asked, where)}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, id) AS k FROM f) x WHERE k <= {P.TOP_N}), {facts(d, where)},
+g AS (SELECT a.qid, a.id, rrf * 1000 + 0.35 * least(fa.res_score, 6) + 0.25 * fa.recency AS final FROM a JOIN fa ON a.id = fa.id),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank FROM g) y WHERE rank <= {P.TOP_K})"""
 
 
-@both("hybrid_search")
-def _(d):
-    return f"""WITH {fused(d)}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, id) AS k FROM f) x WHERE k <= {P.TOP_N}),
-m AS (SELECT max(doc_id) AS hi, min(doc_id) AS lo FROM documents),
-g AS (SELECT a.qid, a.id, rrf * 1000 + 0.35 * least(a.id % 9, 6) + 0.25 * {D('a.id - lo')} / greatest(hi - lo, 1) AS final FROM a, m)
-SELECT qid, id, round(final, 6) AS final, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, id) AS rank FROM g) z WHERE rank <= {P.TOP_K}"""
+def facts(d, where: str = "") -> str:
+    """fa(id, reply, res_score, recency): each document's reply, how well it resolves, and its place between the first id and the last."""
+    return f"""{messages(d)}, sc AS ({T.score_reply(d, 'reply', 'm', 'id, reply')}), ex AS (SELECT max(doc_id) AS hi, min(doc_id) AS lo FROM documents WHERE doc_id IS NOT NULL {where}),
+fa AS (SELECT sc.id, sc.reply, sc.score AS res_score, {D('sc.id - ex.lo')} / greatest(ex.hi - ex.lo, 1) AS recency FROM sc CROSS JOIN ex)"""
+
+
+def dense_channel(found: dict, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k documents nearest to each of asked(qid, text), and the vectors of asked."""
+    own = textvec.vectors(textvec.counted(asked), found["terms"], found["n"])
+    return nearest(own, stored_vectors(asked.sparkSession, found), k), own
+
+
+def both_channels(spark: SparkSession, found: dict, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fused list of both channels for asked(qid, text), and the vectors of asked."""
+    den, own = dense_channel(found, asked, DEPTH)
+    return fuse.fused(bm25_index.search(found, asked, DEPTH), den), own
+
+
+def hybrid_hits(spark: SparkSession, sf_dir: str, asked: DataFrame, split: bool = False) -> DataFrame:
+    """(qid, id, rrf, final, rank, sim): the hits of hybrid search among all documents or the corpus split, with the inner product of the vectors."""
+    found = stored(spark, sf_dir, split)
+    rows, own = both_channels(spark, found, asked)
+    ranked = fuse.reranked(rows, run_sql(spark, sf_dir, f"WITH {facts(SPARK, f'AND doc_id < {CUT}' if split else '')} SELECT id, res_score, recency FROM fa"))
+    pair = ranked.join(own.toDF("qid", "a"), "qid", "left").join(stored_vectors(spark, found).toDF("id", "b"), "id", "left")
+    return pair.withColumn("sim", F.coalesce(F.expr(SPARK.dot("a", "b")), F.lit(0.0))).drop("a", "b")
+
+
+@query("rrf_fuse", f"WITH {fused(DUCK)} SELECT qid, id, coalesce(bm25_rank, -1) AS bm25_rank, coalesce(dense_rank, -1) AS dense_rank, round(rrf, 9) AS rrf FROM f")
+def _(spark, sf_dir):
+    rows, _ = both_channels(spark, stored(spark, sf_dir), passages(spark, sf_dir))
+    return rows.select("qid", "id", F.coalesce("bm25_rank", F.lit(-1)).alias("bm25_rank"), F.coalesce("dense_rank", F.lit(-1)).alias("dense_rank"), F.round("rrf", 9).alias("rrf"))
+
+
+@query("hybrid_search", f"WITH {hybrid(DUCK)} SELECT qid, id, round(final, 6) AS final, rank FROM z")
+def _(spark, sf_dir):
+    return hybrid_hits(spark, sf_dir, passages(spark, sf_dir)).select("qid", "id", F.round("final", 6).alias("final"), "rank")
 
 
 @query("max_similarity", f"WITH {dense(DUCK)} SELECT qid, round(coalesce(max(score), 0), 6) AS max_sim FROM v GROUP BY qid")
@@ -116,14 +187,20 @@ def leaks(d) -> str:
     return f"{bm25(d)}, c AS (SELECT floor((max(doc_id) + 1) * 0.7) AS c FROM documents), l AS (SELECT qid, id FROM ({top('s', P.TOP_N)}) t CROSS JOIN c WHERE id >= c.c)"
 
 
-@both("leakage_check")
-def _(d):
-    return f"WITH {leaks(d)} SELECT qid, id FROM l"
+def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "documents").agg(F.floor((F.max("doc_id") + 1) * 0.7).alias("c"))
+    hits = bm25_index.search(stored(spark, sf_dir), passages(spark, sf_dir), P.TOP_N)
+    return hits.crossJoin(F.broadcast(cut)).where("id >= c").select("qid", "id")  # one row
 
 
-@both("leakage_summary")
-def _(d):
-    return f"WITH {leaks(d)} SELECT count(*) AS hits, count(DISTINCT id) AS leaked, min(id) AS first_id FROM l"
+@query("leakage_check", f"WITH {leaks(DUCK)} SELECT qid, id FROM l")
+def _(spark, sf_dir):
+    return leaked(spark, sf_dir)
+
+
+@query("leakage_summary", f"WITH {leaks(DUCK)} SELECT count(*) AS hits, count(DISTINCT id) AS leaked, min(id) AS first_id FROM l")
+def _(spark, sf_dir):
+    return leaked(spark, sf_dir).agg(F.count("*").alias("hits"), F.count_distinct("id").alias("leaked"), F.min("id").alias("first_id"))
 
 
 @both("ngram_overlap")
@@ -160,24 +237,57 @@ other AS (SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY l
 SELECT p.label, n.size, p.kind, p.place, p.vec_id FROM (SELECT label, 'near' AS kind, place, vec_id FROM near UNION ALL SELECT label, 'random', place, vec_id FROM other) p JOIN n ON p.label = n.label"""
 
 
-@both("baseline_b1")
-def _(d):
-    """The best match of each passage by BM25, its text as reply up to the limit, and the keyword rules; without a match no reply."""
-    return f"""WITH {bm25(d)}, t AS (SELECT qid, id, score FROM ({top('s', 1)}) z WHERE score > 0), k AS (SELECT item_id, {T.first_rule(d, 'text', P.KEYWORD_RULES)} AS code FROM benchmark)
+def b1(d, hits: str) -> str:
+    """The best match of each passage by BM25, its text as reply up to the limit, and the keyword rules; without a match no reply. hits has t(qid, id, score)."""
+    return f"""WITH {hits}, k AS (SELECT item_id, {T.first_rule(d, 'text', P.KEYWORD_RULES)} AS code FROM benchmark)
 SELECT k.item_id AS qid, t.id AS retrieved, coalesce(substr(r.text, 1, {P.REPLY_CHARS}), '') AS reply, t.id IS NOT NULL AS used_retrieval, round(coalesce(least({D('1')}, t.score / 25), 0), 6) AS max_sim,
   CASE WHEN k.code IS NULL THEN 'auto' ELSE 'escalate' END AS route, coalesce(k.code, 'known_troubleshooting_flow') AS code, CASE WHEN k.code IS NULL THEN {D('0.5')} ELSE {D('1')} END AS confidence
 FROM k LEFT JOIN t ON k.item_id = t.qid LEFT JOIN documents r ON r.doc_id = t.id"""
 
 
-@both("agent_handle")
-def _(d):
-    """Each passage of the benchmark through all steps: search in the corpus split, the leakage guard's finding, the replayed class, a draft and the cascade."""
-    source = f"""{bm25(d)}, cut AS (SELECT floor((max(doc_id) + 1) * 0.7) AS cut FROM documents), own AS (SELECT s.* FROM s CROSS JOIN cut WHERE id < cut.cut), hits AS (SELECT qid, id, score, rank FROM ({top('own', P.TOP_K)}) z),
-hl AS (SELECT qid, max(least({D('1')}, score / 25)) AS max_sim, {d.join(d.collect(d.text('id'), 'rank'), ',')} AS retrieved, sum(CASE WHEN id >= cut.cut THEN 1 ELSE 0 END) AS leaked FROM hits CROSS JOIN cut GROUP BY qid),
-m AS (SELECT b.item_id AS id, b.text, FALSE AS has_context, '' AS context, hl.max_sim, hl.retrieved, hl.leaked FROM benchmark b LEFT JOIN hl ON b.item_id = hl.qid WHERE b.item_id IS NOT NULL)"""
+@query("baseline_b1", b1(DUCK, f"{bm25(DUCK)}, t AS (SELECT qid, id, score FROM ({top('s', 1)}) z WHERE score > 0)"))
+def _(spark, sf_dir):
+    bm25_index.search(stored(spark, sf_dir), passages(spark, sf_dir), 1).where("score > 0").createOrReplaceTempView("first_hits")
+    return run_sql(spark, sf_dir, b1(SPARK, "t AS (SELECT qid, id, score FROM first_hits)"))
+
+
+def asked_of_agent(d) -> str:
+    """(qid, text): a message for each passage of the benchmark, of a support sentence and the passage."""
+    return f"SELECT item_id AS qid, concat({d.at(brand(d), f'item_id % {len(PHRASES)} + 1')}, ' ', text) AS text FROM benchmark WHERE item_id IS NOT NULL"
+
+
+def handle(d, hits: str) -> str:
+    """Every message through all steps. hits has z(qid, id, rank, sim), hits of the corpus split that the guard let through, and fa(id, reply).
+
+    The class is that of the first keyword probe that matches, surer the fewer do; the draft is the reply of the best hit, within its limit,
+    and a fixed sentence where there is no hit or the model's answer can't be read; the cascade decides on both."""
+    families = [d.like("text", p) for p in P.PROBES.values()]
+    met = " + ".join(f"CAST({f} AS INT)" for f in families)
+    source = f"""{hits}, hl AS (SELECT qid, max(sim) AS max_sim, {d.join(d.collect(d.text('id'), 'rank'), ',')} AS retrieved, min(CASE WHEN rank = 1 THEN id END) AS best FROM z GROUP BY qid),
+m AS (SELECT b.qid AS id, b.text, FALSE AS has_context, '' AS context, coalesce(hl.max_sim, 0) AS max_sim, coalesce(hl.retrieved, '') AS retrieved, fa.reply, hl.best FROM ({asked_of_agent(d)}) b LEFT JOIN hl ON b.qid = hl.qid LEFT JOIN fa ON hl.best = fa.id)"""
     auto = ordinal("code", P.AUTO_CODES)
-    return f"""WITH {cascade(d, source=source, sim='round(coalesce(max_sim, 0), 6)')}
-SELECT c.id, c.intent, CASE WHEN c.parsed THEN {T.truncate_reply(d, 'c.text')} ELSE {d.lit(P.HANDED_ON)} END AS reply, coalesce(m.retrieved, '') AS retrieved, CAST(coalesce(m.leaked, 0) AS BIGINT) AS leaked, round(c.sim, 4) AS max_sim, CASE WHEN {auto} THEN 'auto' ELSE 'escalate' END AS route, code, layer FROM c JOIN m ON c.id = m.id"""
+    used = "c.parsed AND m.best IS NOT NULL AND m.reply <> ''"
+    return f"""WITH {cascade(d, source=source, sim='round(max_sim, 6)', intent=T.first_rule(d, 'text', list(P.PROBES.items()), "'other'"), confidence=f"{D('1')} / greatest({met}, 1) * CASE WHEN {met} = 0 THEN 0.5 ELSE 1 END")}
+SELECT c.id, c.intent, round(c.confidence, 6) AS confidence, CASE WHEN {used} THEN {T.truncate_reply(d, 'm.reply')} ELSE {d.lit(P.HANDED_ON)} END AS reply, m.retrieved, CASE WHEN {used} THEN {d.text('m.best')} ELSE '' END AS grounded_in, {used} AS used_retrieval,
+  round(c.sim, 4) AS max_sim, CASE WHEN {auto} THEN 'auto' ELSE 'escalate' END AS route, code, layer FROM c JOIN m ON c.id = m.id"""
+
+
+HELD = f"AND doc_id < {CUT}"
+_SIM = "p AS (SELECT z.qid, z.id, z.rank, coalesce(near.score, 0) AS sim FROM z LEFT JOIN near ON z.qid = near.qid AND z.id = near.id)"
+
+
+@query("agent_handle", handle(DUCK, f"h0 AS (WITH {hybrid(DUCK, asked_of_agent(DUCK), HELD)}, {_SIM} SELECT p.*, fa.reply FROM p JOIN fa ON p.id = fa.id), z AS (SELECT qid, id, rank, sim FROM h0), fa AS (SELECT DISTINCT id, reply FROM h0)"))
+def agent_handle(spark, sf_dir):
+    """Search of the corpus split by both channels, the guard in the plan, class, draft from the hits, and the cascade."""
+    return handled(spark, sf_dir, hybrid_hits(spark, sf_dir, run_sql(spark, sf_dir, asked_of_agent(SPARK)), split=True))
+
+
+def handled(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """The messages with these hits; the job stops if one is of the dev or test split."""
+    held = run_sql(spark, sf_dir, f"SELECT doc_id AS id FROM documents WHERE doc_id >= {CUT}")
+    none_held(hits.select("qid", "id", "rank", "sim"), held).createOrReplaceTempView("agent_hits")
+    replies = f"fa AS (SELECT f.id, f.reply FROM (WITH {facts(SPARK)} SELECT id, reply FROM fa) f LEFT SEMI JOIN agent_hits h ON f.id = h.id)"
+    return run_sql(spark, sf_dir, handle(SPARK, f"z AS (SELECT * FROM agent_hits), {replies}"))
 
 
 @both("tfidf_union")
