@@ -18,8 +18,10 @@ last, and of texts under one doc_id that of the lesser hash comes first. Null te
 have no units; an empty table gives an empty result. Texts have no limit of length: what a task holds at least is one
 text and the numbers of its repeats. Other columns pass through untouched, whatever their names.
 
-The originals of repeated digests are written before units meet them, so that a join whose digest holds a large share
-of all units can be split. Both joins are shuffled at every size: neither side has a bound.
+Units are cut once and written, as are the originals of repeated digests, with the number of their units. Digests of more
+than HOT units, and of more than a MOST_HOTth of all, are at most MOST_HOT; these are broadcast, so that a line which fills
+a quarter of the corpus is met where it lies. All others are joined by a shuffle at every size, and so are the documents with
+the numbers of their repeats.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from parlance.llm import _bytes as B
 from parlance.llm._cluster import Scratch, free, own, plain, quoted, tidy
 
 LEAST_WORDS, LEAST_CHARS = 20, 100
+#: Units from which a digest counts as frequent, and how many frequent digests there can be at most (10 bytes a number: some MB).
+HOT, MOST_HOT = 10_000, 100_000
 #: Marks the number of a line, which is that of its first unit.
 LINE = 1 << 30
 
@@ -180,20 +184,30 @@ def _strip(least: int, every_line: bool, least_chars: int, text_at: int, repeats
     return run
 
 
+def _meet(units: DataFrame, firsts: DataFrame, hot: int = HOT, most: int = MOST_HOT) -> DataFrame:
+    """units with the originals of their digests. Digests of very many units, whose number the count of all units bounds, are sent to where the units are; the others are shuffled."""
+    least = max(hot, units.count() // most)
+    frequent = firsts.where(F.col("n") > least).drop("n")
+    if frequent.isEmpty():
+        return units.join(firsts.drop("n"), ["h1", "h2"])
+    frequent, rest = F.broadcast(frequent), firsts.where(F.col("n") <= least).drop("n")
+    return units.join(frequent, ["h1", "h2"]).unionByName(units.join(frequent, ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
+
+
 def strip_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, every_line: bool = False, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs with repeats cut out of text, and last of all _units, _removed (units) and _spans (offsets into the original text); with more underscores where docs has such columns."""
     s = Scratch(docs.sparkSession, "substring_dedup")
     late, did, tid, repeats, units_, removed, spans = free(docs, "_late", "_did", "_tid", "_repeats", "_units", "_removed", "_spans")
     text = F.col("text")
     key = [F.col("doc_id").isNull().alias(late), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias(did), F.xxhash64(text).alias(tid)]
-    units = docs.select(*key, "text").mapInArrow(tidy(_units(every_line)), "h1 long, h2 long, late boolean, did long, tid long, number int")
+    units = s.table(docs.select(*key, "text").mapInArrow(tidy(_units(every_line)), "h1 long, h2 long, late boolean, did long, tid long, number int"))
     where = F.struct("late", "did", "tid", "number")
-    firsts = units.groupBy("h1", "h2").agg(F.min(where).alias("o"), F.max(where).alias("z")).where("o <> z").select("h1", "h2", "o")
+    firsts = units.groupBy("h1", "h2").agg(F.min(where).alias("o"), F.max(where).alias("z"), F.count("*").alias("n")).where("o <> z").select("h1", "h2", "o", "n")
     firsts = s.table(firsts)
-    again = units.join(firsts, ["h1", "h2"]).where(where != F.col("o"))
+    again = _meet(units, firsts).where(where != F.col("o"))
     lists = again.groupBy(*(F.col(a).alias(b) for a, b in (("late", late), ("did", did), ("tid", tid)))).agg(F.collect_set("number").alias(repeats))
     lists = s.table(lists)
-    s.drop(firsts)
+    s.keep(lists)
     joined = docs.select("*", *key).join(lists, [late, did, tid], "left").select(*own(docs), repeats)
     facts = [F.lit(0).cast("long").alias(units_), F.lit(0).cast("long").alias(removed), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias(spans)]
     schema = docs.select(*own(docs), *facts).schema
