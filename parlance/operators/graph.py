@@ -50,3 +50,33 @@ def best_branches(tweets: DataFrame, edges: DataFrame, brand: str, depth: int =
         leaves.append(live)
     every = reduce(DataFrame.unionByName, leaves).select("root", F.array_join("path", " ").alias("path"), "has_brand", F.size("path").alias("n"))
     return every.groupBy("root").agg(F.max(F.struct("has_brand", "n", "path")).alias("top")).select("root", "top.path", "top.has_brand")
+
+
+def lines(tweets: DataFrame, edges: DataFrame, brand: str, depth: int = 20) -> DataFrame:
+    """(node, top, path, has_brand): the way from the topmost message down to each one that is at most so many messages away from it, by pointer jumping.
+
+    Every message first points to its parent; in each round it points to where that one points, and puts what lies between in
+    front of its own way. After log2(depth) joins all ways that are short enough reach the top; those that grow beyond
+    depth, and those that run in a circle, are dropped. Each message may have one parent; the least of several counts.
+    """
+    up = edges.where("parent <> child").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("far"))
+    nodes = tweets.groupBy(F.col("tweet_id").alias("node")).agg(F.max((F.col("author_id") == brand).cast("int")).alias("has_brand"))
+    now = cut(nodes.join(up, "node", "left").select("node", "far", F.array("node").alias("path"), F.coalesce("has_brand", F.lit(0)).alias("has_brand")))
+    for _ in range((depth - 1).bit_length()):
+        live = now.where("far is not null")
+        if live.isEmpty():
+            break
+        on = now.select(F.col("node").alias("far"), F.col("far").alias("next"), F.col("path").alias("above"), F.col("has_brand").alias("b"))
+        moved = live.join(on, "far").select("node", F.col("next").alias("far"), F.concat("above", "path").alias("path"), F.greatest("has_brand", "b").alias("has_brand"))
+        keep = F.when(F.col("far").isNull(), F.size("path") <= depth).otherwise(F.size("path") < depth)
+        now = cut(now.where("far is null").unionByName(moved.where(keep)))
+    return now.where("far is null").select("node", F.element_at("path", 1).alias("top"), "path", "has_brand")
+
+
+def best_lines(tweets: DataFrame, edges: DataFrame, brand: str, depth: int = 20) -> DataFrame:
+    """(root, path as array, has_brand): of each root's ways to a leaf, or to the depth, the one with a brand turn, then the longest, then the largest as text."""
+    ways = lines(tweets, edges, brand, depth).join(roots(tweets).distinct(), F.col("top") == F.col("root"), "left_semi")
+    parents = edges.where("parent <> child").select(F.col("parent").alias("node")).distinct()
+    ends = ways.where(F.size("path") == depth).unionByName(ways.where(F.size("path") < depth).join(parents, "node", "left_anti"))
+    top = F.max(F.struct("has_brand", F.size("path").alias("n"), F.array_join("path", " ").alias("text"), "path")).alias("best")
+    return ends.groupBy(F.col("top").alias("root")).agg(top).select("root", "best.path", "best.has_brand")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.plans.common import PHRASES, both, brand, examples, messages
+from parlance.functions.dialect import DUCK, SPARK
+from parlance.operators.resample import intervals
+from parlance.plans.common import PHRASES, both, brand, examples, messages, run_sql
 
 D = lambda x: f"CAST({x} AS DOUBLE)"
 N = lambda cond: f"CAST(sum(CAST({cond} AS INT)) AS BIGINT)"
@@ -79,26 +87,92 @@ def _(d):
 SELECT a.system, a.bin, coalesce(n, 0) AS n, round(acc, 6) AS accuracy, round(conf, 6) AS confidence FROM a LEFT JOIN g ON a.system = g.system AND a.bin = g.bin"""
 
 
-def resample(d, value: str, replicates: int = 1000) -> str:
-    """b(system, replicate, mean) over resamples of x with replacement, drawn by md5 alike for systems of one size; f(system, mean) over x itself."""
-    return f"""k AS (SELECT system, {value} AS v, row_number() OVER (PARTITION BY system ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM x),
-f AS (SELECT system, avg(v) AS mean, max(n) AS n FROM k GROUP BY system),
-q AS (SELECT f.n, r.replicate, {d.hex32("concat(" + d.text('r.replicate') + ", '-', " + d.text('j.i') + ", '-20260909')")} % f.n AS i FROM (SELECT DISTINCT n FROM f) f, (SELECT {d.explode(d.range('0', str(replicates - 1)))} AS replicate) r, (SELECT DISTINCT i FROM k) j WHERE j.i < f.n),
-b AS (SELECT k.system, q.replicate, avg(k.v) AS mean FROM q JOIN k ON q.n = k.n AND q.i = k.i GROUP BY k.system, q.replicate)"""
+def cells(d, value: str, source: str = "x") -> str:
+    """k(system, v, w, hi, n): each value of a system with its count, the count of all up to it and that of the system; f(system, mean, n)."""
+    return f"""c AS (SELECT system, v, count(*) AS w FROM (SELECT system, {value} AS v FROM {source}) s GROUP BY system, v),
+k AS (SELECT system, v, w, sum(w) OVER (PARTITION BY system ORDER BY v) AS hi, sum(w) OVER (PARTITION BY system) AS n FROM c), f AS (SELECT system, sum(v * w) / sum(w) AS mean, max(n) AS n FROM k GROUP BY system)"""
 
 
-@both("bootstrap_ci")
-def _(d):
-    return f"""WITH {examples(d)}, {resample(d, D('CAST(gold = pred AS INT)'))} SELECT f.system, round(f.mean, 6) AS point, c.lo, c.hi FROM f JOIN (
-  SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi FROM b GROUP BY system) c ON f.system = c.system"""
+def resampled(d, draws: str, few: str = "") -> str:
+    """b(system, replicate, mean) over resamples with replacement: a draw of draws(n, replicate, u) is the example at place u of its system in order of value, so it meets a value's range and no row."""
+    return f"b AS (SELECT {few} k.system, q.replicate, avg(k.v) AS mean FROM {draws} q JOIN k ON q.n = k.n AND q.u >= k.hi - k.w AND q.u < k.hi GROUP BY k.system, q.replicate)"
 
 
-@both("paired_bootstrap")
-def _(d):
+REPLICATES = 1000
+
+
+def _drawn(d, replicate: str, j: str, n: str) -> str:
+    return f"{d.hex32('concat(' + d.text(replicate) + ", '-', " + d.text(j) + ", '-20260909')")} % {n}"
+
+
+def bootstrapped(name: str, relations, value, answer, source: str = "x") -> None:
+    """Register a query over resamples. relations(d) holds source, value(d) is what is averaged and answer(d) reads f and b.
+
+    The engine reads the rows once, for the few distinct values and their counts; draws are numbers made in parallel."""
+    own = "(SELECT f.n, r.replicate, " + _drawn(DUCK, "r.replicate", "j.j", "f.n") + " AS u FROM (SELECT DISTINCT n FROM f) f, (SELECT unnest(range(0, " + str(REPLICATES) + ")) AS replicate) r, (SELECT unnest(range(0, (SELECT max(n)::BIGINT FROM f))) AS j) j WHERE j.j < f.n)"
+    oracle = f"WITH {relations(DUCK)}, {cells(DUCK, value(DUCK), source)}, {resampled(DUCK, own)} {answer(DUCK)}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = run_sql(spark, sf_dir, f"WITH {relations(SPARK)}, {cells(SPARK, value(SPARK), source)} SELECT * FROM k").toPandas()  # distinct values of each system
+        if len(found) > 100_000:
+            raise ValueError(f"{name} resamples values of which there are few; use operators.resample for others")
+        schema = f"system {'string' if len(found) and isinstance(found.system[0], str) else 'int'}, v double, w long, hi long, n long"
+        spark.createDataFrame(list(found.itertuples(index=False, name=None)), schema).createOrReplaceTempView("resampled_cells")
+        none = spark.createDataFrame([], "n long, replicate long, u long")
+        parts = [spark.range(int(n) * REPLICATES).selectExpr(f"{n}L AS n", f"id DIV {n} AS replicate", f"id % {n} AS j").selectExpr("n", "replicate", f"{_drawn(SPARK, 'replicate', 'j', 'n')} AS u") for n in sorted(set(found.n))]
+        reduce(DataFrame.unionByName, parts, none).createOrReplaceTempView("resampled_draws")
+        k = "k AS (SELECT * FROM resampled_cells), f AS (SELECT system, sum(v * w) / sum(w) AS mean, max(n) AS n FROM k GROUP BY system)"
+        return spark.sql(f"WITH {k}, {resampled(SPARK, 'resampled_draws', '/*+ BROADCAST(k) */')} {answer(SPARK)}")
+
+    query(name, oracle)(run)
+
+
+def _interval(d) -> str:
+    return f"SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi, round(avg({D('CAST(mean < 0 AS INT)')}), 6) AS helps FROM b GROUP BY system"
+
+
+HIT = D("CAST(gold = pred AS INT)")
+bootstrapped("bootstrap_ci", examples, lambda d: HIT, lambda d: f"SELECT f.system, round(f.mean, 6) AS point, c.lo, c.hi FROM f JOIN ({_interval(d)}) c ON f.system = c.system")
+
+
+def f1_states(classes: list[str]) -> tuple[dict[str, str], str]:
+    """What an example of (gold, pred) adds to each class, and macro-F1 over the classes that occur in gold as an expression over the sums."""
+    states, parts, present = {}, [], []
+    for k, c in enumerate(classes):
+        states |= {f"t{k}": f"CAST(gold = '{c}' AND pred = '{c}' AS INT)", f"g{k}": f"CAST(gold = '{c}' AS INT)", f"p{k}": f"CAST(pred = '{c}' AS INT)"}
+        parts.append(f"CASE WHEN g{k} > 0 THEN 2 * t{k} / (g{k} + p{k}) ELSE 0 END")
+        present.append(f"CAST(g{k} > 0 AS INT)")
+    return states, f"({' + '.join(parts)}) / greatest({' + '.join(present)}, 1)"
+
+
+@query("bootstrap_metrics")
+def bootstrap_metrics(spark, sf_dir):
+    """Macro-F1, accuracy, cost of 100 examples and its difference from the last system, of every system on all examples, with intervals from 1000 resamples."""
+    states, macro = f1_states(P.INTENTS)
+    states |= {"one": "1", "hit": "CAST(gold = pred AS INT)", "cost": f"CASE WHEN gold_esc AND NOT pred_esc THEN {P.COST_MISSED} WHEN pred_esc AND NOT gold_esc THEN {P.COST_NEEDLESS} ELSE 0 END"}
+    rows = run_sql(spark, sf_dir, f"WITH {examples(SPARK)} SELECT CAST(system AS STRING) AS grp, {', '.join(f'{e} AS {n}' for n, e in states.items())} FROM x")
+    found = intervals(rows, list(states), {"macro_f1": macro, "accuracy": "hit / one", "cost_per_100": "100 * cost / one"})
+    cost = rows_of_costs(spark, sf_dir)
+    gap = intervals(cost, ["one", "gap"], {"cost_gap": "gap / one"})
+    out = found.unionByName(gap)
+    return out.select(F.col("grp").cast("int").alias("system"), "statistic", *(F.round(c, 6).alias(c) for c in ("point", "lo", "hi", "half_width")))
+
+
+def rows_of_costs(spark, sf_dir):
+    """(grp, one, gap): by how much the last system costs more than each of the others, an example each."""
+    cost = f"CASE WHEN gold_esc AND NOT pred_esc THEN {P.COST_MISSED} WHEN pred_esc AND NOT gold_esc THEN {P.COST_NEEDLESS} ELSE 0 END"
+    y = f"y AS (SELECT id, max(CASE WHEN system = 3 THEN {cost} END) AS last, max(CASE WHEN system = 0 THEN {cost} END) AS c0, max(CASE WHEN system = 1 THEN {cost} END) AS c1, max(CASE WHEN system = 2 THEN {cost} END) AS c2 FROM x GROUP BY id)"
+    return run_sql(spark, sf_dir, f"WITH {examples(SPARK)}, {y} SELECT CAST(s AS STRING) AS grp, 1 AS one, last - c AS gap FROM (SELECT last, stack(3, 0, c0, 1, c1, 2, c2) AS (s, c) FROM y) z")
+
+
+def _cost_gaps(d) -> str:
     cost = "CASE WHEN gold_esc AND NOT pred_esc THEN 10.0 WHEN pred_esc AND NOT gold_esc THEN 1.0 ELSE 0.0 END"
-    return f"""WITH {examples(d)[:-1]}), y AS (SELECT id, system, {D(cost)} AS cost FROM x), diff AS (SELECT a.id, b.system, a.cost - b.cost AS v FROM y a JOIN y b ON a.id = b.id AND a.system = 3 AND b.system < 3),
-{resample(d, 'v').replace('FROM x)', 'FROM diff)', 1)} SELECT f.system, round(f.mean, 6) AS mean_diff, c.lo, c.hi, c.helps, c.hi < 0 AS meaningful FROM f JOIN (
-  SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi, round(avg({D('CAST(mean < 0 AS INT)')}), 6) AS helps FROM b GROUP BY system) c ON f.system = c.system"""
+    return f"{examples(d)}, y AS (SELECT id, system, {D(cost)} AS cost FROM x), diff AS (SELECT a.id, b.system, a.cost - b.cost AS gap FROM y a JOIN y b ON a.id = b.id AND a.system = 3 AND b.system < 3)"
+
+
+bootstrapped(
+    "paired_bootstrap", _cost_gaps, lambda d: "gap", lambda d: f"SELECT f.system, round(f.mean, 6) AS mean_diff, c.lo, c.hi, c.helps, c.hi < 0 AS meaningful FROM f JOIN ({_interval(d)}) c ON f.system = c.system", "diff"
+)
 
 
 @both("system_pairs")
@@ -106,10 +180,10 @@ def _(d):
     return f"WITH {examples(d)}, a AS (SELECT system, avg({D('CAST(gold = pred AS INT)')}) AS m FROM x GROUP BY system) SELECT p.system AS a, q.system AS b, round(p.m - q.m, 6) AS gap FROM a p JOIN a q ON p.system < q.system"
 
 
-@both("meaningful_gap")
-def _(d):
-    return f"""WITH {examples(d)}, {resample(d, D('CAST(gold = pred AS INT)'))}, c AS (SELECT system, {d.quantile('mean', 0.025)} AS lo, {d.quantile('mean', 0.975)} AS hi FROM b GROUP BY system)
-SELECT p.system AS a, q.system AS b, p.lo > q.hi OR q.lo > p.hi AS meaningful FROM c p JOIN c q ON p.system < q.system"""
+bootstrapped(
+    "meaningful_gap", examples, lambda d: HIT,
+    lambda d: f"SELECT p.system AS a, q.system AS b, p.lo > q.hi OR q.lo > p.hi AS meaningful FROM (SELECT system, {d.quantile('mean', 0.025)} AS lo, {d.quantile('mean', 0.975)} AS hi FROM b GROUP BY system) p JOIN (SELECT system, {d.quantile('mean', 0.025)} AS lo, {d.quantile('mean', 0.975)} AS hi FROM b GROUP BY system) q ON p.system < q.system",
+)
 
 
 @both("slice_hard_easy")
@@ -212,12 +286,13 @@ def _(d):
     return f"WITH {raters(d)} SELECT p.id, p.a, q.b FROM p JOIN (SELECT id, CASE WHEN id % 4 <> 0 THEN b END AS b FROM p) q ON p.id = q.id WHERE q.b IS NOT NULL"
 
 
-@both("judge_means")
-def _(d):
-    """Scored axes and, as one more, whether a reply may go out unedited; means, and intervals of their resamples."""
+def _axes(d) -> str:
+    """Scored axes and, as one more, whether a reply may go out unedited; a rating in ten is missing."""
     axes = d.array("'groundedness'", "'actionability'", "'brand_fit'", "'safety'")
-    return f"""WITH {raters(d)}, x AS (SELECT {d.at(axes, 'id % 4 + 1')} AS system, id, {D('a')} AS score FROM p WHERE id % 10 <> 0 UNION ALL SELECT 'send_unedited', id, {D('CAST(b >= 4 AS INT)')} FROM p), {resample(d, 'score')}
-SELECT f.system AS axis, f.n, round(f.mean, 6) AS mean, c.lo, c.hi FROM f JOIN (SELECT system, round({d.quantile('mean', 0.025)}, 6) AS lo, round({d.quantile('mean', 0.975)}, 6) AS hi FROM b GROUP BY system) c ON f.system = c.system"""
+    return f"""{raters(d)}, w AS (SELECT {d.at(axes, 'id % 4 + 1')} AS system, CASE WHEN id % 10 <> 0 THEN {D('a')} END AS score FROM p UNION ALL SELECT 'send_unedited', {D('CAST(b >= 4 AS INT)')} FROM p), x AS (SELECT * FROM w WHERE score IS NOT NULL)"""
+
+
+bootstrapped("judge_means", _axes, lambda d: "score", lambda d: f"SELECT f.system AS axis, CAST(f.n AS BIGINT) AS n, round(f.mean, 6) AS mean, c.lo, c.hi FROM f JOIN ({_interval(d)}) c ON f.system = c.system")
 
 
 @both("judge_clamp")

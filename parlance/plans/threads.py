@@ -56,23 +56,35 @@ walk(root, node, path) AS (
   SELECT w.root, e.child, {d.append('w.path', 'e.child')} FROM walk w JOIN e ON w.node = e.parent WHERE {d.size('w.path')} < 20 AND NOT {d.has('w.path', 'e.child')}
 ), next AS (SELECT DISTINCT w.root, w.path FROM walk w JOIN e ON w.node = e.parent WHERE NOT {d.has('w.path', 'e.child')}),
 leaf AS (SELECT w.root, w.path FROM walk w LEFT JOIN next n ON n.root = w.root AND n.path = w.path WHERE n.root IS NULL OR {d.size('w.path')} >= 20),
-scored AS (SELECT l.root, l.path, max(CASE WHEN t.author_id = 'brand' THEN 1 ELSE 0 END) AS has_brand FROM leaf l JOIN t ON {d.has('l.path', 't.tweet_id')} AND t.conv_id = CAST(l.root AS BIGINT) {'DIV' if d.name == 'spark' else '//'} 1000 GROUP BY l.root, l.path),
+steps AS (SELECT root, path, {d.explode('path')} AS tweet_id FROM leaf),
+scored AS (SELECT s.root, s.path, max(CASE WHEN t.author_id = 'brand' THEN 1 ELSE 0 END) AS has_brand FROM steps s JOIN t ON s.tweet_id = t.tweet_id GROUP BY s.root, s.path),
 best AS (SELECT root, path, has_brand FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY has_brand DESC, {d.size('path')} DESC, {d.join('path', ' ')} DESC) AS r FROM scored) s WHERE r = 1)"""
 
 
-@both("best_branch")
-def _(d):
-    return f"WITH {branch_sql(d)} SELECT root, {d.join('path', ' ')} AS path, {d.size('path')} AS length, has_brand FROM best"
+def _tweets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return run_sql(spark, sf_dir, f"WITH {tweets(SPARK)} SELECT * FROM t"), run_sql(spark, sf_dir, f"WITH {tweets(SPARK)}, {edges(SPARK)} SELECT * FROM e")
 
 
-@both("reconstruct_threads")
-def _(d):
-    return f"""WITH {branch_sql(d)}, kept AS (SELECT root, {d.explode('path')} AS tweet_id FROM best WHERE {d.size('path')} >= 2)
-SELECT k.root, count(*) AS n_turns, min(t.created_at) AS created_at, max(length(t.text)) AS longest, CAST(sum(CAST(t.author_id = 'brand' AS INT)) AS BIGINT) AS brand_turns FROM kept k JOIN t ON k.tweet_id = t.tweet_id GROUP BY k.root"""
+@query("best_branch", f"WITH {branch_sql(DUCK)} SELECT root, {DUCK.join('path', ' ')} AS path, {DUCK.size('path')} AS length, has_brand FROM best")
+def best_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, e = _tweets(spark, sf_dir)
+    return graph.best_lines(t, e, "brand", depth=20).select("root", F.array_join("path", " ").alias("path"), F.size("path").alias("length"), "has_brand")
 
 
-def _tweets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return run_sql(spark, sf_dir, f"WITH {tweets(SPARK)} SELECT * FROM t"), run_sql(spark, sf_dir, f"WITH {tweets(SPARK)}, {edges(SPARK)} SELECT * FROM e")
+def threads(tweets: DataFrame, edges: DataFrame, brand: str = "brand") -> DataFrame:
+    """(root, place, and what tweets has) of the turns of each root's best branch, of two turns or more, in order."""
+    best = graph.best_lines(tweets, edges, brand, depth=20).where(F.size("path") >= 2)
+    return best.select("root", F.posexplode("path").alias("place", "tweet_id")).join(tweets, "tweet_id")
+
+
+@query(
+    "reconstruct_threads",
+    f"""WITH {branch_sql(DUCK)}, kept AS (SELECT root, {DUCK.explode('path')} AS tweet_id FROM best WHERE {DUCK.size('path')} >= 2)
+SELECT k.root, count(*) AS n_turns, min(t.created_at) AS created_at, max(length(t.text)) AS longest, CAST(sum(CAST(t.author_id = 'brand' AS INT)) AS BIGINT) AS brand_turns FROM kept k JOIN t ON k.tweet_id = t.tweet_id GROUP BY k.root""",
+)
+def reconstruct_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, e = _tweets(spark, sf_dir)
+    return threads(t, e).groupBy("root").agg(F.count("*").alias("n_turns"), F.min("created_at").alias("created_at"), F.max(F.length("text")).alias("longest"), F.sum((F.col("author_id") == "brand").cast("int")).alias("brand_turns"))
 
 
 @query(
