@@ -1,6 +1,6 @@
 """Quality of documents by histogram gradient-boosted trees over statistics of the text.
 
-The executors turn each text into NAMES, some forty numbers: lengths, shares of kinds of characters, how words begin,
+The executors turn each text into NAMES, 37 numbers: lengths, shares of kinds of characters, how words begin,
 end and repeat, lines and sentences. The trees are grown in numpy on the driver: numbers are binned at quantiles of the
 sample, and every level of a tree takes the best split of each of its nodes from histograms of first and second
 derivatives of the logistic loss. All trees are complete to DEPTH levels and kept in three arrays (feature, threshold,
