@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.plans.common import both, messages
+from parlance.functions.dialect import DUCK, SPARK
+from parlance.operators.client import ONLY_JSON, replies
+from parlance.operators.labelling import labels
+from parlance.operators.tables import shared_folder
+from parlance.plans.common import both, messages, run_sql
 from parlance.plans.metrics import D
+from parlance.sources.store import KeyedStore
 
 BLOB = "CASE WHEN has_context THEN concat(text, ' ', context) ELSE text END"
 
@@ -83,17 +96,62 @@ def _(d):
     return f"SELECT doc_id AS id, {d.join(kept, ',')} AS grounded_in, {d.size(kept)} > 0 AND doc_id % 3 <> 0 AS used_retrieval FROM documents"
 
 
-@both("cache_lookup")
-def _(d):
-    key = lambda x: d.sha256(f"concat('mini|', {x})")
-    return f"""WITH {messages(d)}, p AS (SELECT id, {key('text')} AS k FROM m), c AS (SELECT DISTINCT {key('text')} AS k, length(text) AS answer FROM m WHERE id % 3 <> 0)
+def _keys(d) -> str:
+    return d.sha256("concat('mini|', text)")
+
+
+def _lookup(d) -> str:
+    return f"""WITH {messages(d)}, p AS (SELECT id, {_keys(d)} AS k FROM m), c AS (SELECT DISTINCT {_keys(d)} AS k, length(text) AS answer FROM m WHERE id % 3 <> 0)
 SELECT p.id, c.k IS NOT NULL AS hit, coalesce(c.answer, -1) AS answer FROM p LEFT JOIN c ON p.k = c.k"""
 
 
-@both("cache_miss_count")
-def _(d):
-    key = lambda x: d.sha256(f"concat('mini|', {x})")
-    return f"WITH {messages(d)}, c AS (SELECT {key('text')} AS k FROM m WHERE id % 3 <> 0) SELECT count(*) AS misses FROM (SELECT {key('text')} AS k FROM m) p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = p.k)"
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, KeyedStore]:
+    """The messages of a table by key, and a store that holds the answers to two of three."""
+    asked = run_sql(spark, sf_dir, f"WITH {messages(SPARK)} SELECT id, {_keys(SPARK)} AS key, CAST(length(text) AS BIGINT) AS size FROM m")
+    store = KeyedStore(spark, f"{shared_folder(spark)}/answers-{uuid.uuid4().hex[:12]}", "answer long")
+    store.put(asked.where("id % 3 <> 0").select("key", F.col("size").alias("answer")))
+    return asked, store
+
+
+@query("cache_lookup", _lookup(DUCK))
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of keys against the keyed store: each key's answer, or -1."""
+    asked, store = _cached(spark, sf_dir)
+    return store.get(asked.select("id", "key")).selectExpr("id", "found AS hit", "coalesce(answer, -1) AS answer")
+
+
+@query("cache_miss_count", f"WITH {messages(DUCK)}, c AS (SELECT {_keys(DUCK)} AS k FROM m WHERE id % 3 <> 0) SELECT count(*) AS misses FROM (SELECT {_keys(DUCK)} AS k FROM m) p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = p.k)")
+def cache_miss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without an answer in the keyed store."""
+    asked, store = _cached(spark, sf_dir)
+    return store.get(asked.select("id", "key")).agg(F.count_if(~F.col("found")).alias("misses"))
+
+
+class EchoModel:
+    """Stands for a model where none can be called: a verdict by the hash of the message, in prose for a tenth of the messages until it is asked for JSON only, and for a twentieth then too."""
+
+    def ask(self, model, system, prompt, temperature, max_tokens):
+        message = prompt[prompt.index('MESSAGE:\n"') + 10 : prompt.rindex('"')]
+        h = int(hashlib.md5(message.encode()).hexdigest()[:8], 16)
+        if h % 20 == 0 or (h % 10 == 0 and not prompt.endswith(ONLY_JSON)):
+            return "I can't tell.", len(prompt) // 4, 4
+        verdict = {"intent": [*P.INTENTS, "made_up"][h % (len(P.INTENTS) + 1)], "confidence": h % 100 / 100 if h % 7 else "high"}
+        return f"Here it is: {json.dumps(verdict)}", len(prompt) // 4, 12
+
+
+def _corpus_labels(d) -> str:
+    intents = d.array(*[f"'{i}'" for i in P.INTENTS], "'other'")
+    return f"""WITH {messages(d)}, h AS (SELECT id, {d.hex32('text')} AS h FROM m) SELECT id, CASE WHEN h % 20 = 0 THEN 'other' ELSE {d.at(intents, f'h % {len(P.INTENTS) + 1} + 1')} END AS intent,
+  CASE WHEN h % 20 = 0 OR h % 7 = 0 THEN 0 ELSE {D('h % 100')} / 100 END AS confidence, h % 20 = 0 AS parse_failed FROM h"""
+
+
+@query("label_corpus", _corpus_labels(DUCK))
+def label_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pass over all messages: requests, calls from the executors behind the store of replies, a second request where the first reply holds no object."""
+    rows = run_sql(spark, sf_dir, f"WITH {messages(SPARK)} SELECT id, text, CAST(array() AS ARRAY<STRING>) AS context FROM m")
+    book = spark.createDataFrame([(i, i.replace("_", " ")) for i in P.INTENTS], "intent string, definition string")
+    store = replies(spark, f"{shared_folder(spark)}/replies-{uuid.uuid4().hex[:12]}")
+    return labels(rows, book, "corpus", "stub", store, EchoModel()).select("id", "intent", "confidence", "parse_failed")
 
 
 @both("draft_head")

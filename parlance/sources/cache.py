@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.sources.store import KeyedStore
+
 
 class OfflineMiss(RuntimeError):
     """A reply that is not in the cache was asked for while no model may be called."""
@@ -20,15 +23,20 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_document(spark: SparkSession, path: str, value) -> None:
-    """One JSON document, in any store that Spark knows; it takes its place whole or not at all."""
+    """One JSON document, in any store that Spark knows; it takes its place in one rename, so readers see the old one or the new one, and of two writers one wins whole."""
     fs, at, jvm = _fs(spark, path)
-    part = jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    out = fs.create(part, True)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
     out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2).encode()))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"{path} can't be written")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(part, at, how)
+    except Exception:
+        fs.delete(part, False)
+        raise
 
 
 def read_document(spark: SparkSession, path: str):
@@ -46,7 +54,7 @@ def read_document(spark: SparkSession, path: str):
 
 
 class Replies:
-    """Model replies by key, one document each; a broken document counts as missing."""
+    """Model replies by key, one document each, for single calls on the driver; a broken document counts as missing. Tables of requests go through operators/client.py."""
 
     def __init__(self, spark: SparkSession, root: str, offline: bool = True):
         self.spark, self.root, self.offline = spark, root.rstrip("/"), offline
@@ -75,11 +83,14 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)
 
 
-def embedded(texts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, embedding) of the distinct texts of a table; embed turns (key, text) into (key, embedding) for those that the table at path lacks, which then holds them too."""
-    spark = texts.sparkSession
+def embedded(texts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], buckets: int = 64) -> DataFrame:
+    """(key, embedding) of the distinct texts of a table; embed turns (key, text) into (key, embedding) for those that the store at path lacks, which then holds them too.
+
+    Two runs at once may both embed a text; it is kept once. A run that dies leaves the store as it was.
+    """
     wanted = texts.select(F.sha2("text", 256).alias("key"), "text").where("text is not null").dropDuplicates(["key"])
-    fs, at, _ = _fs(spark, path)
-    new = wanted.join(spark.read.parquet(path).select("key"), "key", "left_anti") if fs.exists(at) else wanted
-    embed(new).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted.select("key"), "key", "left_semi")
+    store = KeyedStore(texts.sparkSession, path, "embedding array<double>", buckets)
+    new = wanted.join(store.missing(wanted), "key", "left_semi")
+    if not new.isEmpty():
+        store.put(embed(new))
+    return store.get(wanted.select("key")).where("found").select("key", "embedding")
