@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.tables import written
+
 #: Rows that a task sorts; ranges at most.
 ROWS, RANGES = 200_000, 256
 
@@ -29,3 +31,26 @@ def numbered(df: DataFrame, by: str, then: str, name: str = "place") -> tuple[Da
     offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range") + 1)
     within = F.row_number().over(Window.partitionBy("_range").orderBy(by, then))
     return df.withColumn(name, offset + within).drop("_range"), n
+
+
+def ranged(df: DataFrame, order: list[str], tie: str = "_tie", rows: int = ROWS) -> DataFrame:
+    """df, written to the shared folder, with _range, which rises in the order of the columns, and a number that tells equal rows apart.
+
+    The ranges are cut by Spark's sample over all columns of the order, some rows each whatever the size of the table, so
+    neither many rows nor one frequent value of the first column make a long range. Rows that are equal in the whole order share one.
+    """
+    n = df.count()
+    cut = df.repartitionByRange(max(1, -(-n // rows)), *order).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias(tie))
+    return written(cut, "ranges")
+
+
+def in_file_order(df: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a plain file scan, written to the shared folder, with their 0-based place in the order of file paths and of rows in each file.
+
+    Each split of a file counts its own rows; the splits before it give its offset, so no task sees more than a split.
+    """
+    seen = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    kept = written(seen, "places")
+    splits = kept.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("n"))
+    offset = F.sum("n").over(Window.orderBy("_file", "_block")) - F.col("n")  # a row a split
+    return kept.join(splits.select("_file", "_block", "_first", offset.alias("_offset")), ["_file", "_block"]).withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_file", "_block", "_first", "_offset", "_id")

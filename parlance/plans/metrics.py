@@ -11,7 +11,9 @@ from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
 from parlance.functions.dialect import DUCK, SPARK
+from parlance.operators.guards import side_by_side
 from parlance.operators.resample import intervals
+from parlance.operators.tables import written
 from parlance.plans.common import PHRASES, both, brand, examples, messages, run_sql
 
 D = lambda x: f"CAST({x} AS DOUBLE)"
@@ -357,11 +359,19 @@ def _(d):
     return f"WITH {passes(d)} SELECT a, b, count(*) AS n FROM v WHERE a <> b GROUP BY a, b ORDER BY n DESC, a, b LIMIT 8"
 
 
-@both("aligned_passes")
-def _(d):
+def _aligned(d) -> str:
     return f"WITH {passes(d)}, l AS (SELECT id, a FROM v), r AS (SELECT id, b FROM v) SELECT count(*) AS n, {N('l.a = r.b')} AS same, count(*) = (SELECT count(*) FROM v) AS aligned FROM l JOIN r ON l.id = r.id"
 
 
+@query("aligned_passes", _aligned(DUCK))
+def aligned_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes, each in its own files, joined by place; rows that are not side by side stop the job."""
+    v = written(run_sql(spark, sf_dir, f"WITH {passes(SPARK)} SELECT id, a, b FROM v"), "passes")
+    left, right = (written(v.select("id", c).orderBy("id"), f"pass_{c}") for c in ("a", "b"))
+    pairs = side_by_side(left, right)
+    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("left.a") == F.col("right.b")).alias("same"), (F.coalesce(F.max("place") + 1, F.lit(0)) == F.count("*")).alias("aligned"))
+
+
 @both("review_queue")
 def _(d):
     return f"WITH {passes(d)} SELECT id, 'disagreement' AS why FROM v WHERE a <> b OR ea <> eb UNION ALL SELECT id, 'spot check' FROM (SELECT id, {d.hex32('concat(' + d.text('id') + ', ' + chr(39) + '-review' + chr(39) + ')')} % 5 AS k FROM v WHERE a = b AND ea = eb) s WHERE k = 0"

@@ -9,6 +9,7 @@ from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
 from parlance.functions.dialect import DUCK, SPARK
+from parlance.operators.budget import decided
 from parlance.operators.ordering import numbered
 from parlance.plans.common import both, messages, run_sql
 from parlance.plans.metrics import D, N
@@ -64,6 +65,29 @@ b AS (SELECT event_type, h, sum(usd) OVER (PARTITION BY event_type ORDER BY h RO
   FROM e JOIN b ON e.event_type = b.event_type AND e.h = b.h) SELECT event_id, spent >= 25 AS over, spent >= 20 AS near FROM s"""
 
 
+MODELS = [*P.PRICES, "unknown"]
+CAP_NANO = 1_000_000_000
+
+
+def _calls(d) -> str:
+    return f"SELECT {d.text('event_id')} AS call_id, ts, {d.at(d.array(*[f'{chr(39)}{m}{chr(39)}' for m in MODELS]), 'event_id % 5 + 1')} AS model, event_id % 4000 AS prompt_tokens, length(props) AS completion_tokens FROM events WHERE event_id IS NOT NULL"
+
+
+def _stops(d) -> str:
+    cost = lambda m: "prompt_tokens * CASE " + " ".join(f"WHEN {m} = '{k}' THEN {round(a * 1000)}" for k, (a, _) in P.PRICES.items()) + " ELSE 0 END + completion_tokens * CASE " + " ".join(f"WHEN {m} = '{k}' THEN {round(b * 1000)}" for k, (_, b) in P.PRICES.items()) + " ELSE 0 END"
+    before = lambda x: f"coalesce(sum({x}) OVER (ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"""WITH c AS ({_calls(d)}), o AS (SELECT *, {cost('model')} AS own, {cost("'lite'")} AS cheap FROM c), w AS (SELECT *, {before('own')} * 100 >= {CAP_NANO * 80} AND model <> 'lite' AS late FROM o),
+t AS (SELECT *, CASE WHEN late THEN cheap ELSE own END AS cost FROM w), b AS (SELECT *, {before('cost')} AS spent FROM t)
+SELECT call_id, model, CASE WHEN spent >= {CAP_NANO} THEN NULL WHEN late THEN 'lite' ELSE model END AS used, CASE WHEN spent >= {CAP_NANO} THEN 'refused' WHEN late THEN 'downgraded' ELSE 'made' END AS status,
+  CAST(CASE WHEN spent >= {CAP_NANO} THEN 0 ELSE cost END AS BIGINT) AS nano_usd, CAST(CASE WHEN spent < {CAP_NANO} THEN spent END AS BIGINT) AS before_nano FROM b"""
+
+
+@query("budget_stops", _stops(DUCK))
+def budget_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of one spending limit over all calls: made, made by the cheapest model, or refused."""
+    return decided(run_sql(spark, sf_dir, _calls(SPARK)), P.PRICES, "lite", CAP_NANO)
+
+
 @both("recency")
 def _(d):
     return f"SELECT event_id, round(coalesce(({d.seconds('lo', 'ts')}) / nullif({d.seconds('lo', 'hi')}, 0), 0.5), 6) AS recency FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events) m"

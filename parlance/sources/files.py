@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.sources.records import read_records
+
 TWEET_COLUMNS = ("tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id")
 
 
 def read_tweets(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A CSV file with every column as text and missing values as empty text; raises if one of the seven columns is missing."""
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if missing := [c for c in TWEET_COLUMNS if c not in header.columns]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    rows = header.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TWEET_COLUMNS])
+    """CSV files with every column as text and missing values as empty text; raises if a file lacks one of the seven columns. Bad records are left out; tweets_and_bad() has them."""
+    rows, _ = tweets_and_bad(spark, path)
     return rows.limit(limit) if limit is not None else rows
 
 
+def tweets_and_bad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The messages of CSV files, and (file, line, reason, record) of records with torn quotes, too many fields or too few."""
+    return read_records(spark, path, TWEET_COLUMNS)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines under a declared schema, so that ids stay text."""
     return spark.read.schema(schema).json(path)
