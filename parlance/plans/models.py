@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions.dialect import SPARK
+from parlance.operators import kmeans, logreg
 from parlance.plans.common import run_sql
 from parlance.plans.decisions import cascade
 from parlance.session import table
@@ -25,45 +26,31 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.select("doc_id", parts.alias("embedding"))
 
 
-@query("logreg_predict")
-def logreg_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word 1- and 2-grams with balanced class weights; trained on four documents of five, applied to the fifth."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
+#: Labelled texts of either label that the classifier is fitted on, at most.
+EACH = 4000
 
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    train = docs.where("doc_id % 5 <> 0")
-    n = train.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
-    ones, zeros = max(1.0, n["ones"] or 0.0), max(1.0, n["n"] - (n["ones"] or 0.0))
-    train = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(n["n"] / (2 * ones))).otherwise(F.lit(n["n"] / (2 * zeros))))
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="w", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="w", outputCol="b"), SQLTransformer(statement="SELECT *, concat(w, b) AS terms FROM __THIS__"),
-        HashingTF(inputCol="terms", outputCol="features", numFeatures=1 << 12), LogisticRegression(weightCol="weight", regParam=0.01, maxIter=20),
-    ]
-    from pyspark.ml.functions import vector_to_array
 
-    out = Pipeline(stages=stages).fit(train).transform(docs.where("doc_id % 5 = 0"))
-    return out.select("doc_id", "label", "prediction", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+@query("logreg_predict")
+def logreg_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, word pairs and characters with balanced class weights, fitted on labelled documents outside the held-out fifth, applied to every labelled document."""
+    known = table(spark, sf_dir, "labels").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").join(known, "doc_id").select(F.col("doc_id").alias("id"), "text", "label", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0").alias("held_out"))
+    seeded = lambda label: docs.where(f"label = {label} and not held_out").orderBy(F.md5(F.col("id").cast("string")), "id").limit(EACH)
+    model = logreg.fit(seeded(0).unionByName(seeded(1)).dropDuplicates(["id"]))
+    found = logreg.predict(model, docs.select("id", "text").dropDuplicates(["id"])).select("id", F.col("label").alias("prediction"), F.round("probability", 6).alias("probability"))
+    return docs.select("id", "label", "held_out").join(found, "id").withColumnRenamed("id", "doc_id")
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silhouette of k-means over the embeddings for k from 6 to 20, taken on 2000 seeded vectors at most; the highest of all, and the best within 8 to 14, which is the one to use."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    judge = ClusteringEvaluator(distanceMeasure="cosine")
-    sample = vectors.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("-20260909"))), "vec_id").limit(2000).cache()
-    if sample.isEmpty():
-        return spark.createDataFrame([], "k int, silhouette double, highest boolean, best boolean")
-    rows = [(k, float(judge.evaluate(KMeans(k=k, seed=20260909, maxIter=10).fit(vectors).transform(sample)))) for k in range(6, 21)]
-    for held in (sample, vectors):
-        held.unpersist()
-    highest, best = max(rows, key=lambda r: r[1])[0], max((r for r in rows if 8 <= r[0] <= 14), key=lambda r: r[1])[0]
-    return spark.createDataFrame([(k, round(s, 6), k == highest, k == best) for k, s in rows], "k int, silhouette double, highest boolean, best boolean")
+    """k-means over all embeddings for k from 6 to 20 with ten starts each: the best start's inertia, its silhouette on 2000 seeded vectors at most; the highest of all, and the best within 8 to 14, which is the one to use."""
+    models, scores = kmeans.sweep(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", range(6, 21))
+    known = {k: s for k, s in scores.items() if s is not None}
+    highest = max(known, key=known.get) if known else None
+    band = {k: s for k, s in known.items() if 8 <= k <= 14}
+    best = max(band, key=band.get) if band else None
+    rows = [(m.k, round(m.inertia, 6), None if scores[m.k] is None else round(scores[m.k], 6), m.k == highest, m.k == best) for m in models]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, highest boolean, best boolean")
 
 
 @query("agent_decide")
