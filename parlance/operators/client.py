@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.tables import written
+from parlance.operators.tables import shared_folder, written
 from parlance.session import ship
 from parlance.sources.cache import OfflineMiss
 from parlance.sources.store import KeyedStore
@@ -30,6 +31,8 @@ ATTEMPTS = 5
 PASSING = ("429", "500", "502", "503", "504", "overloaded", "timeout")
 #: Calls in flight at once over all executors, calls at once in a task, and calls between two writes of the store.
 IN_FLIGHT, THREADS, WAVE = 64, 8, 100_000
+#: Waves at most (more requests make longer ones), and keys that are broadcast.
+WAVES, SENT = 1000, 500_000
 ONLY_JSON = "\n\nReturn ONLY a single valid JSON object. No prose, no code fences."
 
 
@@ -60,9 +63,8 @@ def attempt(call: Callable[[], tuple[str, int, int]], sleep: Callable[[float], N
     raise ValueError("attempts must be 1 or more")
 
 
-def called(requests: DataFrame, connector: Connector, in_flight: int = IN_FLIGHT, threads: int = THREADS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(key, text, prompt_tokens, completion_tokens, attempts, error) of requests(key, ...), a call a row, with no more than in_flight calls at once."""
-    threads = min(threads, in_flight)
+def called(requests: DataFrame, connector: Connector, threads: int = THREADS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, text, prompt_tokens, completion_tokens, attempts, error) of requests(key, ...), a call a row, with as many at once as a task has threads."""
     ship(requests.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,8 +75,8 @@ def called(requests: DataFrame, connector: Connector, in_flight: int = IN_FLIGHT
                 if replies:
                     yield pd.DataFrame(replies).astype({"text": object, "error": object})
 
-    plain = requests.select("key", F.col("model").cast("string"), F.coalesce("system", F.lit("")).alias("system"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("temperature").cast("double"), F.col("max_tokens").cast("int"))
-    return plain.repartition(max(1, in_flight // threads)).mapInPandas(run, f"key string, {REPLY}")
+    plain = requests.selectExpr("key", "CAST(model AS STRING) AS model", "coalesce(system, '') AS system", "coalesce(prompt, '') AS prompt", "CAST(temperature AS DOUBLE) AS temperature", "CAST(max_tokens AS INT) AS max_tokens")
+    return plain.mapInPandas(run, f"key string, {REPLY}")
 
 
 def replies(spark, root: str, buckets: int = 64) -> KeyedStore:
@@ -82,30 +84,48 @@ def replies(spark, root: str, buckets: int = 64) -> KeyedStore:
     return KeyedStore(spark, root, REPLY, buckets)
 
 
-def _missed(asked: DataFrame, store: KeyedStore) -> DataFrame:
-    """(key, ...) of the distinct requests without a reply."""
-    known = store.get(asked.select("key").distinct()).where("found and error is null").select("key")
-    return asked.select("key", *REQUEST).join(known, "key", "left_anti").dropDuplicates(["key"])
+def _call_missing(asked: DataFrame, keys: DataFrame, store: KeyedStore, connector: Connector, in_flight: int = IN_FLIGHT, threads: int = THREADS, wave: int = WAVE, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Calls for the requests that the store lacks and keeps the replies, wave by wave. Texts are shuffled once and written by wave, so a wave reads its own."""
+    known = store.get(keys).where("found and error is null").select("key")
+    missing = written(keys.join(known, "key", "left_anti"), "missing")
+    n = missing.count()
+    if n == 0:
+        return
+    waves = min(WAVES, -(-n // wave))
+    threads = min(threads, in_flight)
+    tasks = in_flight // threads
+    wanted = asked.select("key", *REQUEST).join(F.broadcast(missing) if n <= SENT else missing, "key", "left_semi")
+    one = wanted.repartition(tasks, "key").dropDuplicates(["key"]).withColumn("wave", F.pmod(F.xxhash64("key", F.lit("wave")), F.lit(waves)))
+    path = f"{shared_folder(store.spark)}/requests-{uuid.uuid4().hex[:12]}"
+    one.write.partitionBy("wave").parquet(path)
+    every = store.spark.read.schema(one.schema).parquet(path)
+    for w in range(waves):
+        store.put(called(every.where(F.col("wave") == w).coalesce(tasks), connector, threads, sleep), distinct=True)
+
+
+def _keys(asked: DataFrame) -> DataFrame:
+    return written(asked.select("key").distinct(), "keys")
 
 
-def complete(requests: DataFrame, store: KeyedStore, connector: Connector | None = None, in_flight: int = IN_FLIGHT, threads: int = THREADS, wave: int = WAVE, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def _offline(out: DataFrame) -> DataFrame:
+    """out, stopping the job that reads it at a request without a reply."""
+    stop = F.raise_error(F.concat(F.lit(f"{OfflineMiss.__name__}: no reply for model="), F.coalesce(F.col("model").cast("string"), F.lit("")), F.lit(" key="), F.substring("key", 1, 12)))
+    return out.withColumn("text", F.when(F.col("found") & F.col("error").isNull(), F.col("text")).otherwise(stop.cast("string")))
+
+
+def complete(requests: DataFrame, store: KeyedStore, connector: Connector | None = None, **how) -> DataFrame:
     """requests with key, found and the columns of REPLY.
 
     Without a connector no call is made, and the job that reads the rows stops at a request that the store lacks. With
-    one, misses are called and kept; a call that failed to the end leaves its error in the store, which the next
+    one, misses are called (in_flight, threads, wave and sleep say how) and kept; a call that failed to the end leaves its error in the store, which the next
     run takes for a miss. Null prompts are empty ones; repeated rows share a reply; an empty table makes no call.
     """
     asked = keyed(requests)
-    if connector is None:
-        out = store.get(asked)
-        stop = F.raise_error(F.concat(F.lit(f"{OfflineMiss.__name__}: no reply for model="), F.coalesce(F.col("model").cast("string"), F.lit("")), F.lit(" key="), F.substring("key", 1, 12)))
-        return out.withColumn("text", F.when(F.col("found") & F.col("error").isNull(), F.col("text")).otherwise(stop.cast("string")))
-    missed = written(_missed(asked, store), "requests")  # a table, so that no wave depends on what the store holds by then
-    waves = max(1, -(-missed.count() // wave))
-    for w in range(waves):
-        part = missed.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == w)
-        store.put(called(part, connector, in_flight, threads, sleep))
-    return store.get(asked)
+    keys = _keys(asked)
+    if connector is not None:
+        _call_missing(asked, keys, store, connector, **how)
+    out = store.get(asked, among=keys)
+    return out if connector is not None else _offline(out)
 
 
 def json_object(text: str):
@@ -115,19 +135,20 @@ def json_object(text: str):
 
 
 def complete_json(requests: DataFrame, store: KeyedStore, connector: Connector | None = None, **how) -> DataFrame:
-    """complete() with parsed, a JSON object or null; replies without one are asked for once more in plain words."""
-    first = complete(requests, store, connector, **how).withColumn("parsed", json_object("text"))
-    if connector is None:
-        return _again(first, store)
-    retry = first.where("parsed is null and error is null").select(*[F.concat(F.coalesce("prompt", F.lit("")), F.lit(ONLY_JSON)).alias(c) if c == "prompt" else c for c in REQUEST])
-    second = keyed(retry)
-    complete(second.drop("key"), store, connector, **how)
-    return _again(first, store)
-
-
-def _again(first: DataFrame, store: KeyedStore) -> DataFrame:
-    """first with the second reply in place of one that holds no object."""
-    again = keyed(first.select(*REQUEST, F.col("key").alias("_first")).where(F.col("parsed").isNull()).withColumn("prompt", F.concat(F.coalesce("prompt", F.lit("")), F.lit(ONLY_JSON)))).select("key", "_first").dropDuplicates(["_first"])
-    found = store.get(again).where("error is null").select(F.col("_first").alias("key"), json_object("text").alias("_parsed"))
-    out = first.join(found, "key", "left").withColumn("parsed", F.coalesce("parsed", "_parsed")).drop("_parsed")
-    return out.withColumn("parse_failed", F.col("parsed").isNull())
+    """complete() with parsed, a JSON object or null, and parse_failed; replies without one are asked for once more in plain words."""
+    asked = keyed(requests)
+    keys = _keys(asked)
+    if connector is not None:
+        _call_missing(asked, keys, store, connector, **how)
+    bad = written(store.get(keys).where(F.col("found") & F.col("error").isNull() & json_object("text").isNull()).select("key"), "unparsed")
+    texts = asked.select(F.col("key").alias("_first"), *REQUEST).join(F.broadcast(bad) if bad.count() <= SENT else bad, F.col("_first") == F.col("key"), "left_semi")
+    again = written(keyed(texts.withColumn("prompt", F.concat(F.coalesce("prompt", F.lit("")), F.lit(ONLY_JSON)))), "again")
+    seconds = _keys(again)
+    if connector is not None:
+        _call_missing(again, seconds, store, connector, **how)
+    pairs = again.select("_first", "key", "model").dropDuplicates(["_first"])
+    found = store.get(pairs, among=seconds)
+    found = (found if connector is not None else _offline(found)).select(F.col("_first").alias("key"), json_object("text").alias("_second"))
+    out = store.get(asked, among=keys)
+    out = (out if connector is not None else _offline(out)).join(found, "key", "left")
+    return out.withColumn("parsed", F.coalesce(json_object("text"), "_second")).drop("_second").withColumn("parse_failed", F.col("parsed").isNull())

@@ -136,21 +136,24 @@ class KeyedStore:
         last = rows.groupBy("bucket", "key").agg(F.max_by(F.struct(*self.value.names), place).alias("v"))
         return last.select("key", "v.*")
 
-    def put(self, rows: DataFrame) -> int:
-        """Adds rows(key, ...) in one version, which is returned; a known key gets the new value."""
+    def put(self, rows: DataFrame, distinct: bool = False) -> int:
+        """Adds rows(key, ...) in one version, which is returned; a known key gets the new value. distinct says that no key comes twice."""
         chosen = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).where("key is not null")
-        one = chosen.groupBy("key").agg(F.min_by(F.struct(*self.value.names), F.to_json(F.struct(*self.value.names), {"ignoreNullFields": "false"})).alias("v")).select("key", "v.*")
+        one = chosen if distinct else chosen.groupBy("key").agg(F.min_by(F.struct(*self.value.names), F.to_json(F.struct(*self.value.names), {"ignoreNullFields": "false"})).alias("v")).select("key", "v.*")
         if len(self.manifest()["batches"]) >= BATCHES:
             self.compact()
         batch = self._write(one)
         return self._commit(lambda batches: [*batches, batch])
 
-    def get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
-        """keys(key, ...) with found and the columns of the value, null where there is none; only the buckets of the keys are read."""
+    def get(self, keys: DataFrame, version: int | None = None, among: DataFrame | None = None) -> DataFrame:
+        """keys(key, ...) with found and the columns of the value, null where there is none.
+
+        Only the buckets of the keys are read; among(key), where given, is a table that is known to hold them all and is cheaper to read.
+        """
         if clash := (set(self.value.names) | {"found", "bucket"}) & set(keys.columns):
             raise ValueError(f"columns that get() adds: {', '.join(sorted(clash))}")
         manifest = self.manifest(version)
-        buckets = sorted(r["b"] for r in keys.where("key is not null").select(self._bucket().alias("b")).distinct().collect())  # as many as there are buckets, at most
+        buckets = sorted(r["b"] for r in (keys if among is None else among).where("key is not null").select(self._bucket().alias("b")).distinct().collect())  # as many as there are buckets, at most
         values = self._latest(manifest["batches"], buckets).withColumn("found", F.lit(True))
         return keys.join(values, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 

@@ -161,8 +161,9 @@ def test_calls_in_flight(spark, tmp_path):
             os.unlink(mine)
             return str(n), 0, 0
 
-    asked = client.keyed(spark.range(60).selectExpr("'m' AS model", "'' AS system", "CAST(id AS STRING) AS prompt", "0.0 AS temperature", "1 AS max_tokens"))
-    most = client.called(asked, Counting(), in_flight=6, threads=3).selectExpr("max(CAST(text AS INT)) AS n").first().n
+    store = client.replies(spark, str(tmp_path / "r"), 4)
+    asked = spark.range(60).selectExpr("'m' AS model", "'' AS system", "CAST(id AS STRING) AS prompt", "0.0 AS temperature", "1 AS max_tokens")
+    most = client.complete(asked, store, Counting(), in_flight=6, threads=3).selectExpr("max(CAST(text AS INT)) AS n").first().n
     assert 2 <= most <= 6
 
 
