@@ -7,30 +7,24 @@ from pyspark.sql import functions as F
 
 from parlance.operators.tables import written
 
-#: Rows that a task sorts; ranges at most.
-ROWS, RANGES = 200_000, 256
+#: Rows that a task sorts.
+ROWS = 200_000
 
 
 def numbered(df: DataFrame, by: str, then: str, name: str = "place") -> tuple[DataFrame, int]:
-    """df with the 1-based place of each row in the order of (by, then), nulls of by first, and the number of rows.
+    """df with the 1-based place of each row in the order of (by, then), nulls first, and the number of rows.
 
-    Quantiles of by cut the rows into ranges; a row's place is the size of the ranges before its own and its place there.
-    Rows with one value of by share a range.
+    A row's place is the number of rows in the ranges before its own and its place there; there are as many ranges as
+    the rows need, cut over both columns, so a frequent value of by makes no long range.
     """
-    value = F.col(by).cast("double")
     n = df.count()
-    ranges = min(RANGES, max(1, -(-n // ROWS)))
-    cuts = [] if ranges == 1 else sorted(set(df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000).alias("c")).first()["c"] or []))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)), F.lit(0)) if cuts else F.lit(0)
-    df = df.withColumn("_range", part)
-    sizes = {r["_range"]: r["n"] for r in df.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # RANGES rows at most
-    before, seen = [], 0
-    for k in range(len(cuts) + 1):
-        before.append(seen)
-        seen += sizes.get(k, 0)
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range") + 1)
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(by, then))
-    return df.withColumn(name, offset + within).drop("_range"), n
+    if n <= ROWS:
+        return df.withColumn("_range", F.lit(0)).withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(by, then))).drop("_range"), n
+    rows = ranged(df, [by, then], "_tie", ROWS)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("s"))
+    start = sizes.select("_range", (F.sum("s").over(Window.orderBy("_range")) - F.col("s")).alias("_start"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by, then, "_tie"))
+    return rows.withColumn(name, within).join(F.broadcast(start), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start", "_tie"), n
 
 
 def ranged(df: DataFrame, order: list[str], tie: str = "_tie", rows: int = ROWS) -> DataFrame:

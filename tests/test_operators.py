@@ -48,6 +48,14 @@ def test_neighbourhood_stops_and_keeps_the_least_hop(spark):
     assert {r.node for r in neighbourhood(edges, spark.createDataFrame([("a",)], "n string"), 1).collect()} == {"a", "b", "d"}
 
 
+def test_places_over_many_ranges(spark, monkeypatch):
+    rows = [(i, None if i % 11 == 0 else 7 if i % 3 else i % 40) for i in range(900)]  # 7 is most of the rows
+    monkeypatch.setattr(ordering, "ROWS", 50)
+    got, n = ordering.numbered(spark.createDataFrame(rows, "id long, v int").repartition(5), "v", "id")
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert n == 900 and [(r.id, r.v) for r in got.orderBy("place").collect()] == want and got.agg(F.max("place")).first()[0] == 900
+
+
 def test_retrieved_rows_of_a_held_out_split_stop_the_run(spark):
     hits, held = spark.createDataFrame([(1, k) for k in range(20)], "qid int, id int"), spark.range(12, 30).withColumn("id", F.col("id").cast("int"))
     with pytest.raises(Leakage, match="12, 13, 14, 15, 16$"):
