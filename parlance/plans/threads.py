@@ -26,9 +26,15 @@ down AS (SELECT id AS parent, {d.explode("split(children, ',')" if d.name == 'sp
 SELECT DISTINCT a.parent, a.child FROM (SELECT * FROM up UNION ALL SELECT * FROM down) a JOIN t ON a.child = t.tweet_id WHERE a.parent <> a.child"""
 
 
-@both("find_roots")
-def _(d):
-    return f"WITH {tweets(d)} SELECT tweet_id FROM t WHERE inbound AND NOT (parent <> tweet_id AND parent IN (SELECT tweet_id FROM t))"
+@query("find_roots", f"WITH {tweets(DUCK)} SELECT tweet_id FROM t WHERE inbound AND NOT (parent <> tweet_id AND parent IN (SELECT tweet_id FROM t))")
+def find_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents meet ids in an equi-join; Spark runs a negated IN within OR as a nested loop. An id that is null makes the IN of the unmatched null, as in SQL."""
+    t = run_sql(spark, sf_dir, f"WITH {tweets(SPARK)} SELECT tweet_id, inbound, parent FROM t")
+    ids = t.select(F.col("tweet_id").alias("parent")).distinct().withColumn("met", F.lit(True))
+    unnamed = t.agg(F.coalesce(F.bool_or(F.col("tweet_id").isNull()), F.lit(False)).alias("unnamed"))
+    there = F.when(F.col("met"), True).when(~F.col("unnamed"), False)
+    found = t.where("inbound").join(ids.where("parent is not null"), "parent", "left").crossJoin(F.broadcast(unnamed))  # one row
+    return found.where(~((F.col("parent") != F.col("tweet_id")) & there)).select("tweet_id")
 
 
 @both("threads_with_brand")
