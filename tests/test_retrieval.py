@@ -204,3 +204,13 @@ def test_a_leaked_hit_stops_the_agent_and_a_draft_is_the_reply_of_the_best_hit(s
     whole = retrieval.hybrid_hits(spark, sf, asked)  # an index of all documents
     with pytest.raises(Exception, match="held-out split: "):
         retrieval.handled(spark, sf, whole).collect()
+
+
+def test_an_index_is_inverted_in_place_and_scores_shuffle_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    rows = corpus(random.Random(6), 90)
+    stored = bm25.build(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {(x.id, x.term): x.tf for x in stored["counts"].collect()} == {(i, t): n for i, text in rows for t, n in Counter(text.split()).items()}
+    assert stored["inverted"].select("shard", F.explode("ids").alias("id")).distinct().groupBy("id").count().where("count > 1").isEmpty()
+    found = bm25.scores(stored, spark.createDataFrame(rows[:5], DOCS))
+    assert "hashpartitioning(qid" not in found._jdf.queryExecution().executedPlan().toString()
