@@ -214,3 +214,13 @@ def test_an_index_is_inverted_in_place_and_scores_shuffle_no_pairs(spark, monkey
     assert stored["inverted"].select("shard", F.explode("ids").alias("id")).distinct().groupBy("id").count().where("count > 1").isEmpty()
     found = bm25.scores(stored, spark.createDataFrame(rows[:5], DOCS))
     assert "hashpartitioning(qid" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_an_index_are_those_of_its_counts_without_a_shuffle_by_document(spark):
+    rows = corpus(random.Random(9), 80) + [(900, "onlyhere"), (901, None)]
+    stored = bm25.build(spark.createDataFrame(rows, DOCS).repartition(3))
+    found = textvec.of_index(stored["inverted"], stored["terms"], stored["n"])
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {x.id: x.embedding for x in textvec.vectors(stored["counts"], stored["terms"], stored["n"]).collect()}
+    got = {x.id: x.embedding for x in found.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want) and 900 not in got
