@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from parlance.catalog import query
 from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.functions.dialect import SPARK
+from parlance.functions.dialect import ASCII, SPARK
 from parlance.functions.unicode import nfkc
 from parlance.plans.common import PHRASES, both, brand, messages
 from parlance.session import ship, table
 
 
 def simple(name: str, expression, column: str, source: str = "text"):
-    @both(name)
+    @both(name, ASCII)
     def _(d):
         return f"WITH {messages(d)} SELECT id, {expression(d, source)} AS {column} FROM m"
 
@@ -49,34 +49,34 @@ def _(d):
     return f"SELECT doc_id AS id, {d.join(T.split_children(d, d.at(raw, 'doc_id % 5 + 1')), '|')} AS children FROM documents"
 
 
-@both("quality_reason")
+@both("quality_reason", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, c AS (SELECT id, {T.clean_customer(d, 'text')} AS cleaned FROM m), r AS (SELECT {T.quality_reason(d, 'cleaned')} AS reason FROM c)
 SELECT reason, count(*) AS n FROM r GROUP BY reason"""
 
 
-@both("score_reply")
+@both("score_reply", ASCII)
 def _(d):
     return f"WITH {messages(d)} " + T.score_reply(d, "reply", "m", "id")
 
 
-@both("score_message")
+@both("score_message", ASCII)
 def _(d):
     return f"WITH {messages(d)} " + T.score_reply(d, "text", "m", "id")
 
 
-@both("resolution_filter")
+@both("resolution_filter", ASCII)
 def _(d):
     return f"WITH {messages(d)}, s AS ({T.score_reply(d, 'reply', 'm', 'id')}) SELECT id, score FROM s WHERE score >= 2"
 
 
-@both("score_distribution")
+@both("score_distribution", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, s AS ({T.score_reply(d, 'reply', 'm', 'id')}), g AS (SELECT score, count(*) AS n FROM s GROUP BY score)
 SELECT score, n, round(CAST(sum(n) OVER (ORDER BY score DESC) AS DOUBLE) / sum(n) OVER (), 6) AS share_at_or_above FROM g"""
 
 
-@both("hard_flags")
+@both("hard_flags", ASCII)
 def _(d):
     flags = T.hard_flags(d, "text", "has_context")
     names = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in flags.items())
@@ -88,7 +88,7 @@ def is_hard(d) -> str:
     return f"({f['sarcasm']} OR {f['multi_intent']} OR {f['very_short']} OR {f['escalation_trigger']} OR ({f['negation']} AND has_context))"
 
 
-@both("is_hard")
+@both("is_hard", ASCII)
 def _(d):
     return f"WITH {messages(d)} SELECT id, {is_hard(d)} AS is_hard FROM m"
 
@@ -128,20 +128,20 @@ def _(d):
     return f"WITH {messages(d)} SELECT id, {d.sha256(f'concat_ws(chr(31), {d.lit('mini')}, text, {d.text('id % 3')})')} AS cache_key FROM m"
 
 
-@both("probe_counts")
+@both("probe_counts", ASCII)
 def _(d):
     hits = [f"CAST(sum(CAST({d.like('text', p)} AS INT)) AS BIGINT) AS {k}" for k, p in P.PROBES.items()]
     praise = f"CAST(sum(CAST({d.like('text', P.PRAISE)} AND NOT {d.like('text', P.NOT_PRAISE)} AS INT)) AS BIGINT) AS praise_or_chitchat"
     return f"WITH {messages(d)} SELECT count(*) AS total, {', '.join(hits)}, {praise} FROM m"
 
 
-@both("dedupe_first")
+@both("dedupe_first", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, k AS (SELECT id, {T.dedupe_key(d, T.clean_customer(d, 'text'))} AS k FROM m)
 SELECT id, k AS dedupe_key FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM k) x WHERE r = 1"""
 
 
-@both("non_empty_reply")
+@both("non_empty_reply", ASCII)
 def _(d):
     return f"WITH {messages(d)} SELECT id, {T.clean_brand(d, 'reply')} AS cleaned FROM m WHERE {T.trim(d, T.clean_brand(d, 'reply'))} <> ''"
 
@@ -156,31 +156,31 @@ def _(d):
     return f"""WITH {messages(d)} SELECT g, reply FROM (SELECT id % 50 AS g, reply, row_number() OVER (PARTITION BY id % 50 ORDER BY length(reply) DESC, id) AS r FROM m) x WHERE r = 1"""
 
 
-@both("thread_resolution_score")
+@both("thread_resolution_score", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, s AS ({T.score_reply(d, 'reply', 'm', 'id')}), r AS (SELECT id % 50 AS g, score, signals, row_number() OVER (PARTITION BY id % 50 ORDER BY score DESC, id) AS r FROM s)
 SELECT g, greatest(0, score) AS score, CASE WHEN score > 0 THEN signals ELSE '' END AS signals FROM r WHERE r = 1"""
 
 
-@both("best_reply_raw")
+@both("best_reply_raw", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, s AS ({T.score_reply(d, 'reply', 'm', 'id, reply')}), r AS (SELECT id % 50 AS g, score, reply, row_number() OVER (PARTITION BY id % 50 ORDER BY score DESC, id) AS r FROM s)
 SELECT g, score, reply FROM r WHERE r = 1"""
 
 
-@both("first_signature")
+@both("first_signature", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, s AS (SELECT id, {T.signature(d, 'reply')} AS sig FROM m), r AS (SELECT id % 50 AS g, sig, row_number() OVER (PARTITION BY id % 50 ORDER BY id) AS r FROM s WHERE sig <> '')
 SELECT g, sig FROM r WHERE r = 1"""
 
 
-@both("viability_check")
+@both("viability_check", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, c AS (SELECT id, {T.clean_customer(d, 'text')} AS cleaned FROM m), r AS (SELECT {T.quality_reason(d, 'cleaned')} AS reason FROM c)
 SELECT sum(CAST(reason = 'kept' AS INT)) >= 2000 AND avg(CAST(reason = 'kept' AS DOUBLE)) >= 0.15 AS viable, round(avg(CAST(reason = 'kept' AS DOUBLE)), 6) AS rate FROM r"""
 
 
-@both("filter_validation")
+@both("filter_validation", ASCII)
 def _(d):
     return f"""WITH {messages(d)}, s AS ({T.score_reply(d, 'reply', 'm', 'id')}), p AS (SELECT score >= 2 AS pred, id % 3 = 0 OR score >= 3 AS gold FROM s WHERE id % 2 = 0),
 c AS (SELECT CAST(sum(CAST(pred AND gold AS INT)) AS DOUBLE) AS tp, CAST(sum(CAST(pred AND NOT gold AS INT)) AS DOUBLE) AS fp, CAST(sum(CAST(NOT pred AND gold AS INT)) AS DOUBLE) AS fn, CAST(count(*) AS DOUBLE) AS n FROM p),

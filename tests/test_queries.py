@@ -145,3 +145,19 @@ def test_whole_texts_in_nfkc(spark):
     plain_ones = [i for i, t in text.items() if t is not None and not any(c in t for c in "&!?.,")]
     assert all(unicodedata.is_normalized("NFKC", t) for t in got.values() if t is not None)
     assert all(squeezed(got[i]) == squeezed(unicodedata.normalize("NFKC", text[i])) for i in plain_ones)
+
+
+def test_texts_are_not_searched_letter_by_letter(spark):
+    from parlance.functions import patterns as P
+    from parlance.functions.dialect import ASCII, held
+
+    assert "regexp_count" not in T.is_english(SPARK, "x").split(" ELSE false END")[1] and "[^a-z0-9 ]" not in T.dedupe_key(SPARK, "x")
+    assert [held(p) for p in (r"\btry(ing)?\b", r"\b(dis|en)abl(e|ing)\b", r"a|b", r"https?://\S+", r"ab*c?x{0,2}", "[xyz]")] == ["try", "abl", "", "http", "a", ""]
+    texts = ["", "RETRYING to Log out", "TRY now, re-install!", "it takes up to 3 days\x0bx", " \t a \n", "abcdefg", "A1b2c3d4 e.f'g h", "x'" * 300 + " the end", "Is' it", "a s", "ИЛИ это the письмо", "abc " * 120 + "thes", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    every = [p for v in (P.TROUBLESHOOT, P.HANDOFF, P.ACK_ONLY, P.STRONG_LINK, P.WEAK_LINK, P.FEATURE, P.POLICY, P.ACTION) for p in v] + [P.NEGATION, P.SARCASM, P.MULTI_INTENT, P.TRIGGER, *P.PROBES.values()]
+    for r in df.where("octet_length(x) = length(x)").selectExpr("x", *[f"({ASCII.like('x', p)}) <=> ({SPARK.like('x', p)}) AS p{i}" for i, p in enumerate(every)]).collect():
+        assert all(r[1:]), r
+    con = duckdb.connect()
+    for r in df.where("x is not null").selectExpr("x", f"{T.is_english(SPARK, 'x')} AS e", f"{T.dedupe_key(SPARK, 'x')} AS k", f"{T.trim(ASCII, 'x')} <=> {T.trim(SPARK, 'x')} AS t").collect():
+        assert (r.e, r.k, r.t) == (*con.execute(f"SELECT {T.is_english(DUCK, 'x')}, {T.dedupe_key(DUCK, 'x')} FROM (SELECT ? AS x)", [r.x]).fetchone(), True), r
