@@ -131,3 +131,25 @@ def test_roots_are_found_by_an_equi_join(spark, tmp_path, nameless):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(r.tweet_id for r in found.collect()) == sorted(r[0] for r in con.execute(catalog.oracles()["find_roots"]).fetchall())
+
+
+def test_draws_are_the_hashes_of_the_sql(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from parlance.plans import metrics
+
+    for r, a, b in ((0, 0, 10), (7, 10, 99), (999, 99_998, 100_000), (12, 100_000, 100_200)):
+        for x in {a: range(a, min(b, 10 ** len(str(a)))), b - 1: range(b - 1, b)}.values():
+            want = [int(hashlib.md5(f"{r}-{j}-20260909".encode()).hexdigest()[:8], 16) for j in x]
+            assert metrics.md5_heads(f"{r}-", np.array(x), "-20260909").tolist() == want
+    whole = list(metrics._counted({1234: np.array([100, 1234])})([__import__("pandas").DataFrame({"n": [1234], "replicate": [5], "a": [0], "b": [1234]})]))[0]
+    low = sum(int(hashlib.md5(f"5-{j}-20260909".encode()).hexdigest()[:8], 16) % 1234 < 100 for j in range(1234))
+    assert whole.w.tolist() == [low, 1234 - low]
+    monkeypatch.setattr(metrics, "DRAWS", 7)
+    from parlance import catalog
+
+    again = catalog.queries()["bootstrap_ci"](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.undo()
+    assert sorted(again) == sorted(catalog.queries()["bootstrap_ci"](spark, "/root/testdata/sf0.001").collect())
