@@ -84,23 +84,33 @@ def replies(spark, root: str, buckets: int = 64) -> KeyedStore:
     return KeyedStore(spark, root, REPLY, buckets)
 
 
-def _call_missing(asked: DataFrame, keys: DataFrame, store: KeyedStore, connector: Connector, in_flight: int = IN_FLIGHT, threads: int = THREADS, wave: int = WAVE, sleep: Callable[[float], None] = time.sleep) -> None:
-    """Calls for the requests that the store lacks and keeps the replies, wave by wave. Texts are shuffled once and written by wave, so a wave reads its own."""
+def _call_missing(asked: DataFrame, keys: DataFrame, store: KeyedStore, connector: Connector, in_flight: int = IN_FLIGHT, threads: int = THREADS, wave: int = WAVE, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame] | None:
+    """Calls for the requests that the store lacks and keeps the replies, wave by wave. Returns their keys and the requests as written, one a key; None if none was lacking.
+
+    Texts are shuffled once, into as many parts as a wave has tasks for each wave, so that no task's share grows with the table; a part belongs to one wave, which reads its own.
+    """
     known = store.get(keys).where("found and error is null").select("key")
     missing = written(keys.join(known, "key", "left_anti"), "missing")
     n = missing.count()
     if n == 0:
-        return
+        return None
     waves = min(WAVES, -(-n // wave))
     threads = min(threads, in_flight)
     tasks = in_flight // threads
-    wanted = asked.select("key", *REQUEST).join(F.broadcast(missing) if n <= SENT else missing, "key", "left_semi")
-    one = wanted.repartition(tasks, "key").dropDuplicates(["key"]).withColumn("wave", F.pmod(F.xxhash64("key", F.lit("wave")), F.lit(waves)))
+    parts, lacking = tasks * waves, n < keys.count()
+    wanted = asked.select("key", *REQUEST)
+    if lacking and n <= SENT:
+        wanted = wanted.join(F.broadcast(missing), "key", "left_semi")
+    dealt = wanted.repartition(parts, "key")
+    if lacking and n > SENT:
+        dealt = dealt.join(missing.repartition(parts, "key").hint("shuffle_hash"), "key", "left_semi")
+    one = dealt.dropDuplicates(["key"]).withColumn("wave", F.spark_partition_id() % waves)
     path = f"{shared_folder(store.spark)}/requests-{uuid.uuid4().hex[:12]}"
-    one.write.partitionBy("wave").parquet(path)
+    one.write.partitionBy("wave").option("maxRecordsPerFile", max(1, wave // (4 * tasks))).parquet(path)  # files that Spark does not split, so that the tasks of a wave get like shares
     every = store.spark.read.schema(one.schema).parquet(path)
     for w in range(waves):
         store.put(called(every.where(F.col("wave") == w).coalesce(tasks), connector, threads, sleep), distinct=True)
+    return missing, every.drop("wave")
 
 
 def _keys(asked: DataFrame) -> DataFrame:
@@ -134,21 +144,35 @@ def json_object(text: str):
     return F.when(F.size(F.json_object_keys(body)) >= 0, body)
 
 
-def complete_json(requests: DataFrame, store: KeyedStore, connector: Connector | None = None, **how) -> DataFrame:
-    """complete() with parsed, a JSON object or null, and parse_failed; replies without one are asked for once more in plain words."""
+def _requests_of(bad: DataFrame, asked: DataFrame, sent: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """The requests of bad(key), as _first and the columns of a request: those of sent as they were written, so that texts are made anew only for keys that were not called for."""
+    among = lambda rows, keys, n: rows.select(F.col("key").alias("_first"), *REQUEST).join(F.broadcast(keys) if n <= SENT else keys, F.col("_first") == F.col("key"), "left_semi")
+    n = bad.count()
+    if sent is None:
+        return among(asked, bad, n)
+    rest = written(bad.join(sent[0], "key", "left_anti"), "unsent")
+    more = rest.count()
+    found = among(sent[1], bad, n)
+    return found.unionByName(among(asked, rest, more)) if more else found
+
+
+def complete_json(requests: DataFrame, store: KeyedStore, connector: Connector | None = None, keep: list[str] | None = None, **how) -> DataFrame:
+    """complete() with parsed, a JSON object or null, and parse_failed; replies without one are asked for once more in plain words.
+
+    keep names the columns of requests that are wanted beside key and model; they are written with the key, so that texts are not read and hashed again for the result.
+    """
     asked = keyed(requests)
-    keys = _keys(asked)
-    if connector is not None:
-        _call_missing(asked, keys, store, connector, **how)
+    wanted = asked if keep is None else written(asked.select(*dict.fromkeys([*keep, "key", "model"])), "asked")
+    keys = _keys(wanted)
+    sent = _call_missing(asked, keys, store, connector, **how) if connector is not None else None
     bad = written(store.get(keys).where(F.col("found") & F.col("error").isNull() & json_object("text").isNull()).select("key"), "unparsed")
-    texts = asked.select(F.col("key").alias("_first"), *REQUEST).join(F.broadcast(bad) if bad.count() <= SENT else bad, F.col("_first") == F.col("key"), "left_semi")
-    again = written(keyed(texts.withColumn("prompt", F.concat(F.coalesce("prompt", F.lit("")), F.lit(ONLY_JSON)))), "again")
+    again = written(keyed(_requests_of(bad, asked, sent).withColumn("prompt", F.concat(F.coalesce("prompt", F.lit("")), F.lit(ONLY_JSON)))), "again")
     seconds = _keys(again)
     if connector is not None:
         _call_missing(again, seconds, store, connector, **how)
     pairs = again.select("_first", "key", "model").dropDuplicates(["_first"])
     found = store.get(pairs, among=seconds)
     found = (found if connector is not None else _offline(found)).select(F.col("_first").alias("key"), json_object("text").alias("_second"))
-    out = store.get(asked, among=keys)
+    out = store.get(wanted, among=keys)
     out = (out if connector is not None else _offline(out)).join(found, "key", "left")
     return out.withColumn("parsed", F.coalesce(json_object("text"), "_second")).drop("_second").withColumn("parse_failed", F.col("parsed").isNull())

@@ -54,6 +54,8 @@ def requests(rows: DataFrame, codebook: DataFrame, name: str, model: str) -> Dat
     options = F.array_join(F.transform(placed, lambda x: F.concat(F.lit("- "), x["intent"], F.lit(": "), x["definition"])), "\n")
     asks = ", ".join(['"intent": one of the intents', *[ASKS[f] for f in p.fields]])
     system = F.concat(F.lit("Give a customer's message exactly one intent, by what the customer wants resolved.\n\n"), options, F.lit(f"\n\nReturn one JSON object only: {{{asks}}}"))
+    if not p.shuffled:  # one text for all rows, made once
+        book, system = book.select(system.alias("_system")), F.col("_system")
     turns = F.slice(F.filter(F.coalesce("context", F.array().cast("array<string>")), lambda c: c.isNotNull()), 1, p.turns)
     earlier = F.when(F.size(turns) > 0, F.concat(F.lit("EARLIER TURNS:\n"), F.array_join(F.transform(turns, lambda c: F.concat(F.lit("- "), F.substring(c, 1, p.chars))), "\n"), F.lit("\n\n"))).otherwise("")
     prompt = F.concat(earlier, F.lit('MESSAGE:\n"'), F.coalesce("text", F.lit("")), F.lit('"'))
@@ -67,7 +69,7 @@ def labels(rows: DataFrame, codebook: DataFrame, name: str, model: str, store: K
     three entries, notes 160 characters, and an unnamed difficulty is medium. Without a connector a missing reply stops the job.
     """
     p = PASSES[name]
-    said = complete_json(requests(rows, codebook, name, model), store, connector, **how)
+    said = complete_json(requests(rows, codebook, name, model), store, connector, keep=["id"], **how)
     typed = F.from_json("parsed", "confidence double, escalate boolean, reply_must_include array<string>, reply_must_not_include array<string>")
     raw = lambda k: F.get_json_object("parsed", f"$.{k}")
     listed = lambda k: F.slice(F.coalesce(F.col("_typed")[k], F.array().cast("array<string>")), 1, 3)

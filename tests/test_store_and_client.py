@@ -5,6 +5,7 @@ import threading
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.operators import client, labelling
 from parlance.sources.store import KeyedStore
@@ -176,6 +177,38 @@ def test_json_once_more(spark, tmp_path):
     assert calls(tmp_path) == 5  # three, and two asked again
 
 
+@pytest.mark.parametrize("sent", [client.SENT, 0])
+def test_replies_kept_before_are_asked_once_more_with_the_new_ones(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(client, "SENT", sent)  # keys are broadcast or shuffled
+    store = client.replies(spark, str(tmp_path / "r"), 4)
+    asked = spark.createDataFrame([(i, "m", "", p, 0.0, 9) for i, p in enumerate(["fine", "prose one", "prose two", "prose two", "never", "fine too"])], f"id int, {ASK}")
+    quiet = lambda s: None
+    client.complete(asked.where("id < 2"), store, model(tmp_path), sleep=quiet)
+    for keep in (None, ["id"]):
+        got = client.complete_json(asked, store, model(tmp_path), keep=keep, wave=2, sleep=quiet)
+        assert rows(got, "id", "parse_failed") == [(0, False), (1, False), (2, False), (3, False), (4, True), (5, False)]
+    assert calls(tmp_path) == 8  # five distinct requests, three asked again
+
+
+def test_label_passes_read_texts_twice_in_like_shares(spark, tmp_path):
+    """Once for the keys and once for the calls; further texts are those that were written for the calls, in files of a bounded number of rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return "prose" if i % 5 == 0 else f"fine {i}"
+
+    store = client.replies(spark, str(tmp_path / "r"), 4)
+    book = spark.createDataFrame([("other", "the rest")], "intent string, definition string")
+    texts = spark.range(200).select("id", text("id").alias("text"), F.array().cast("array<string>").alias("context"))
+    assert labelling.labels(texts, book, "corpus", "m", store, model(tmp_path), wave=64, sleep=lambda s: None).where("not parse_failed").count() == 200
+    assert seen.value == 400
+    asked = client.keyed(labelling.requests(spark.range(400, 1000).selectExpr("id", "CAST(id AS STRING) AS text", "NULL AS context").withColumn("context", F.array().cast("array<string>")), book, "corpus", "m"))
+    _, wrote = client._call_missing(asked, client._keys(asked), store, model(tmp_path), wave=64, sleep=lambda s: None)
+    assert wrote.count() == 600 and wrote.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 64 // (4 * 8)
+
+
 def test_label_passes(spark, tmp_path):
     store = client.replies(spark, str(tmp_path / "r"), 4)
     book = spark.createDataFrame([("other", "the rest"), ("praise_or_chitchat", "kind"), ("account_access_login", None)], "intent string, definition string")
