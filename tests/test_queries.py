@@ -8,8 +8,10 @@ import pandas as pd
 import pytest
 
 from parlance import catalog
+from parlance.functions import patterns as P
 from parlance.functions import text as T
-from parlance.functions.dialect import DUCK, SPARK
+from parlance.functions.dialect import ANY, ASCII, DUCK, END, SPARK, one_of, spelled
+from parlance.plans.common import PHRASES
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +163,19 @@ def test_texts_are_not_searched_letter_by_letter(spark):
     con = duckdb.connect()
     for r in df.where("x is not null").selectExpr("x", f"{T.is_english(SPARK, 'x')} AS e", f"{T.dedupe_key(SPARK, 'x')} AS k", f"{T.trim(ASCII, 'x')} <=> {T.trim(SPARK, 'x')} AS t").collect():
         assert (r.e, r.k, r.t) == (*con.execute(f"SELECT {T.is_english(DUCK, 'x')}, {T.dedupe_key(DUCK, 'x')} FROM (SELECT ? AS x)", [r.x]).fetchone(), True), r
+
+
+def test_words_that_a_match_must_hold(spark):
+    """Replies are searched for patterns only where they hold a word of them; what each pattern spells, and texts close to it, are found as by the pattern alone."""
+    assert one_of(r"\bre-?add(ing|ed)?\b") == ["add", "added", "adding", "readd", "readded", "readding"]
+    assert one_of(r"\b(this|that) (is|was) (now )?fixed\b", ["this", "that"]) == ["fixed"] and one_of(r"\bonce (you|your)\b.{0,50}\bwill\b", ["will", "you"]) == ["once", "your"]
+    assert one_of(r"https?://\S+") == one_of(r"\w+fixed\b") == one_of(r"\bfix\w*") == one_of(r"\b(now )?") == one_of(r"(?i)\bfixed\b") == []
+    patterns = [p for family in P.REPLY_FAMILIES for p in family]
+    said = {t.replace(END, edge).replace(ANY, mid) for p in patterns for t in spelled(p)[:40] for edge, mid in ((" ", " "), ("-", "9"), ("'", ""), ("_", " 9 "), ("\n", "."))}
+    texts = sorted(said | {t.upper() for t in said} | {f"{t}s 7" for t in said} | {*PHRASES, ""})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).selectExpr("t", f"{ASCII.among('t', patterns, P.FUNCTION_WORDS)} AS said").localCheckpoint()
+    for k in range(0, len(patterns), 11):
+        some = patterns[k : k + 11]
+        got = rows.selectExpr(*[f"count_if({ASCII.said('said', 't', p, P.FUNCTION_WORDS)}) AS a{i}" for i, p in enumerate(some)], *[f"count_if(regexp_like(t, {ASCII.lit('(?i)' + p)})) AS b{i}" for i, p in enumerate(some)]).first()
+        assert all(got[f"a{i}"] == got[f"b{i}"] > 0 for i in range(len(some))), [(p, got[f"a{i}"], got[f"b{i}"]) for i, p in enumerate(some)]
+    assert T.score_reply(ASCII, "text", "m", "id").count("contains(") < 12  # others look at the words of a text, which are split once
