@@ -154,3 +154,16 @@ def test_fit_and_scores_make_no_row_for_each_text_and_term(spark, monkeypatch):
     for i, row in x.items():
         z = sum(v * np.array(b[n]) for n, v in enumerate(row) if v) + model.intercepts
         assert np.allclose(got[i], np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+
+
+def test_the_fit_takes_every_labelled_text_outside_the_held_out_fifth(spark, tmp_path, monkeypatch):
+    from zlib import crc32
+
+    n = 11000
+    spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    met = []
+    monkeypatch.setattr(logreg, "fit", lambda texts: met.extend((r.id, r.label) for r in texts.select("id", "label").collect()))
+    monkeypatch.setattr(logreg, "predict", lambda model, texts: texts.selectExpr("id", "1 AS label", "0.5D AS probability"))
+    catalog.queries()["logreg_predict"](spark, str(tmp_path))
+    assert sorted(met) == [(i, i % 2) for i in range(n) if crc32(str(i).encode()) % 5]
