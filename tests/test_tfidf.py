@@ -3,6 +3,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlance import catalog
@@ -27,3 +29,34 @@ def test_chunks_give_what_the_oracle_does_and_shuffle_no_postings(spark, tmp_pat
     want = con.execute(catalog.oracles()[name])
     assert [c[0] for c in want.description] == found.columns
     assert key(map(tuple, found.collect())) == key(want.fetchall())
+
+
+def moved(spark) -> int:
+    return sum(e.totalShuffleWrite() for e in list_of(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+
+def list_of(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_what_moves_is_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tfidf, "CHUNK", 100_000)
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshrd", k=r.randint(2, 7))) for _ in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=100))) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = moved(spark)
+    assert len(catalog.queries()["tfidf_union"](spark, str(tmp_path)).collect()) == 2000
+    assert 0 < moved(spark) - at < 4 * sum(len(t) for _, t in rows)
+
+
+def test_terms_are_dealt_alike_whatever_their_order_even_where_hashes_meet(monkeypatch):
+    terms = [f"{'x' * (i % 5)}{i} y" for i in range(2000)] + ["a" * 100_000]
+    other = random.Random(1).sample(terms, len(terms))
+    dealt = lambda t: ([t[i] for i in tfidf._dealt(pa.array(t), 7)[0]], tfidf._dealt(pa.array(t), 7)[1].tolist())
+    assert dealt(terms) == dealt(other) and len(set(tfidf._hashed(pa.array(terms)).tolist())) == len(terms) and dealt(terms)[1][-1] == len(terms)
+    assert min(b - a for a, b in zip(dealt(terms)[1], dealt(terms)[1][1:])) > 200
+    assert tfidf._hashed(pa.array(terms).slice(70)).tolist() == tfidf._hashed(pa.array(terms)).tolist()[70:]
+    plain = tfidf._hashed
+    monkeypatch.setattr(tfidf, "_hashed", lambda t: plain(t) & np.uint64(7 << 61))
+    assert dealt(terms) == dealt(other)
