@@ -60,3 +60,21 @@ def test_terms_are_dealt_alike_whatever_their_order_even_where_hashes_meet(monke
     plain = tfidf._hashed
     monkeypatch.setattr(tfidf, "_hashed", lambda t: plain(t) & np.uint64(7 << 61))
     assert dealt(terms) == dealt(other)
+
+
+def test_terms_are_words_and_pairs_without_accents(spark, tmp_path):
+    from math import log, sqrt
+
+    texts = {1: "Café CRÈME brûlée, x 1", 2: "cafe creme BRULEE", 3: "Ñandú über_a naïve", 4: "nandu uber_a naive ΟΔΟΣ", 5: "été ΟΔΟΣ été", 6: "? x", 7: None, 8: "日本語 café crème", 9: "日本語"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = {1: "cafe creme brulee", 2: "cafe creme brulee", 3: "nandu uber_a naive", 4: "nandu uber_a naive οδοσ", 5: "ete οδοσ ete", 8: "日本語 cafe creme", 9: "日本語"}
+    tf = {i: [*(w := t.split()), *map(" ".join, zip(w, w[1:]))] for i, t in said.items()}
+    df = {g: sum(g in t for t in tf.values()) for t in tf.values() for g in t}
+    want = {(i, g): (1 + log(t.count(g))) * (log(8 / (1 + df[g])) + 1) for i, t in tf.items() for g in t if df[g] >= 2}
+    found = {(r.id, r.term): r.weight for r in catalog.queries()["tfidf_terms"](spark, str(tmp_path)).collect()}
+    assert found.keys() == want.keys() and (1, "cafe creme") in found and (4, "uber_a naive") in found
+    for (i, g), w in want.items():
+        assert found[i, g] == pytest.approx(w / sqrt(sum(x * x for (j, _), x in want.items() if j == i)), abs=2e-6)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(i, g): w for i, g, w in con.execute(catalog.oracles()["tfidf_terms"]).fetchall()} == pytest.approx(found, abs=2e-6)
